@@ -153,7 +153,7 @@ def reliability(df: DataFrame, prob: str, label: str, bins: int = 10) -> DataFra
     edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(1, bins)])
     p, y = F.col(prob).cast("double"), F.col(label).cast("double")
     filled = df.select(p.alias("p"), y.alias("y")).withColumn(
-        "bin", F.size(F.filter(edges, lambda e: e <= F.col("p")))
+        "bin", F.size(F.filter(edges, lambda e: e <= F.col("p"))).cast("long")
     )
     per_bin = filled.groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"),
@@ -161,7 +161,7 @@ def reliability(df: DataFrame, prob: str, label: str, bins: int = 10) -> DataFra
         F.avg("y").alias("accuracy"),
         F.sum((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("squared_error"),
     )
-    scaffold = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    scaffold = df.sparkSession.range(bins).select(F.col("id").alias("bin"))
     return scaffold.join(per_bin, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 

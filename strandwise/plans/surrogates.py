@@ -45,7 +45,10 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         (F.expr("(user_id div 3) % 2") + 1).cast("long").alias("rep"),
         chrom.alias("chrom"),
         strand.alias("strand"),
-        F.floor(seconds / 300).cast("long").alias("pos"),
+        (
+            F.floor(seconds / 300).cast("long") % 108 * 80
+            + (F.col("user_id") % 2) * (F.col("user_id") % 7)
+        ).alias("pos"),
     )
 
 
