@@ -162,20 +162,14 @@ def chunk_sequence(
 def enumerate_codons(sequences: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every reading position 0..L-3 with its codon and class; codons with an N are skipped."""
     chunks = chunk_sequence(sequences, key, overlap=2)
-    count = F.least(F.lit(CHUNK), F.length("chunk") - 2)
-    rows = chunks.where(F.length("chunk") >= 3).withColumn(
-        "_i", F.explode(F.sequence(F.lit(1), count))
-    )
-    codon = F.upper(F.substring(F.col("chunk"), F.col("_i"), F.lit(3)))
+    # A look-ahead match yields every overlapping triplet of the chunk in one pass.
+    triplets = F.regexp_extract_all(F.upper("chunk"), F.lit("(?s)(?=(...))"), F.lit(1))
+    rows = chunks.select(*key, "length", "chunk_start", F.posexplode(triplets).alias("_i", "codon"))
     return (
-        rows.select(
-            *key,
-            "length",
-            (F.col("chunk_start") + F.col("_i") - 1).alias("mrna_index"),
-            codon.alias("codon"),
-        )
-        .where(~F.contains(F.col("codon"), F.lit("N")))
+        rows.where(~F.contains(F.col("codon"), F.lit("N")))
+        .withColumn("mrna_index", F.col("chunk_start") + F.col("_i"))
         .withColumn("codon_class", candidate_class(F.col("codon")))
+        .select(*key, "length", "mrna_index", "codon", "codon_class")
     )
 
 
@@ -244,3 +238,29 @@ def stops_in_frame(codons: DataFrame, key: Sequence[str]) -> DataFrame:
     return codons.where(F.col("codon").isin(*STOP_CODONS)).select(
         *key, "mrna_index", (F.col("mrna_index") % 3).alias("frame")
     )
+
+
+def label_candidates(candidates: DataFrame, known: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``label``: 1 where the candidate's key is among the known ones (unique by key)."""
+    marked = known.select(*keys).withColumn("_known", F.lit(1))
+    return candidates.join(marked, list(keys), "left").withColumn(
+        "label", F.coalesce("_known", F.lit(0))
+    ).drop("_known")
+
+
+def export_track(values: DataFrame, channel: Sequence[str], order: str) -> DataFrame:
+    """Transcript values back on the genome: one row per base, the first transcript wins."""
+    return values.groupBy(*channel, "chrom", "strand", "pos").agg(
+        F.min_by("value", order).alias("value")
+    )
+
+
+def anchors_to_transcripts(
+    anchors: DataFrame, exon_table: DataFrame, anchor_id: str, order: str, *, width: int = 256
+) -> DataFrame:
+    """The first transcript (by ``order``) with each anchor as an exonic base, and its offset."""
+    points = anchors.select(anchor_id, "chrom", "strand", F.col("anchor").alias("pos"))
+    hits = splice_track(points, exon_table, width=width)
+    return hits.groupBy(anchor_id).agg(
+        F.min(order).alias(order), F.min_by("tx_pos", order).alias("tx_pos")
+    )

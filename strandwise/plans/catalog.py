@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from strandwise.plans import q_intervals, q_ranking, q_starts, q_tracks  # noqa: F401
+from strandwise.plans import q_intervals, q_ranking, q_starts, q_tracks, q_transcripts  # noqa: F401
 from strandwise.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

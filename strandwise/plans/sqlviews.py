@@ -16,7 +16,7 @@ VIEWS: dict[str, tuple[str, str]] = {
                CASE event_type WHEN 'view' THEN 'chr7' WHEN 'signup' THEN 'chr8'
                     WHEN 'error' THEN 'chr9' WHEN 'purchase' THEN 'chr1' ELSE 'chr2' END AS chrom,
                CASE WHEN event_id % 2 = 0 THEN '+' ELSE '-' END AS strand,
-               CAST(floor(floor(epoch(ts) - 1704067200) / 300) AS BIGINT) % 108 * 80 + (user_id % 2) * (user_id % 7) AS pos
+               CAST(floor(floor(epoch(ts) - 1704067200) / 300) AS BIGINT) % 108 * 80 + 5 + (user_id % 2) * (user_id % 7) AS pos
         FROM events""",
     ),
     "track": (
@@ -113,8 +113,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "seqs": (
         "",
         """
-        SELECT doc_id, regexp_replace(translate(upper(text), 'EIOURSLDNMPBFHVWXY',
-               'ACGTACGTACGTACGTAC'), '[^ACGT]', '', 'g') AS seq FROM documents""",
+        SELECT doc_id, regexp_replace(translate(text, 'EIOURSLDNMPBFHVWXYeioursldnmpbfhvwxyacgt',
+               'ACGTACGTACGTACGTACACGTACGTACGTACGTACACGT'), '[^ACGT]', '', 'g') AS seq FROM documents""",
     ),
     "counts": (
         "",

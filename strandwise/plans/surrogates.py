@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 ORIGIN = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
 CHROM_SIZE = 8640
-LETTERS = ("EIOURSLDNMPBFHVWXY", "ACGTACGTACGTACGTAC")
+LETTERS = (
+    "EIOURSLDNMPBFHVWXYeioursldnmpbfhvwxyacgt",
+    "ACGTACGTACGTACGTACACGTACGTACGTACGTACACGT",
+)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -47,6 +50,7 @@ def reads(spark: SparkSession, sf: str) -> DataFrame:
         strand.alias("strand"),
         (
             F.floor(seconds / 300).cast("long") % 108 * 80
+            + 5
             + (F.col("user_id") % 2) * (F.col("user_id") % 7)
         ).alias("pos"),
     )
@@ -147,7 +151,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Documents read as ACGT strings."""
     d = table(spark, sf, "documents")
-    letters = F.translate(F.upper("text"), *LETTERS)
+    letters = F.translate("text", *LETTERS)
     return d.select("doc_id", F.regexp_replace(letters, "[^ACGT]", "").alias("seq"))
 
 
