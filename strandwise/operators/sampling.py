@@ -104,3 +104,11 @@ def store_selection(
     for p in parts[1:]:
         union = union.unionByName(p)
     return number_rows(union.withColumnRenamed(row_id, "src_row_idx"), "src_row_idx", name="row_idx")
+
+
+def test_rows_of(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
+    """Test rows of the requested codon classes; an unknown class is an error."""
+    unknown = set(classes) - {"AUG", "near_cognate", "non_cognate"}
+    if unknown:
+        raise ValueError(f"unknown codon classes {sorted(unknown)}")
+    return rows.where((F.col("split") == "test") & F.col("codon_class").isin(*classes))
