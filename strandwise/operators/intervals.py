@@ -280,15 +280,17 @@ def span_sums(
     """Sum track columns over each span by two prefix lookups.
 
     ``values`` maps output names to track columns. ``channels`` are track columns that are not
-    on the spans: the result then has one row per span and channel that occurs for its keys, and
-    the caller completes it. Without channels every span row is kept, with 0 where no track is.
+    on the spans: the result then has one row per span and channel. Sums are 0 where no track is.
     """
     per = track.groupBy(*keys, *channels, pos).agg(
         *[F.sum(F.col(c).cast("double")).alias(f"_v_{o}") for o, c in values.items()]
     )
     ends = spans.select(*keys, F.explode(F.array("start", "end")).alias(pos)).distinct()
     if channels:
-        ends = ends.join(track.select(*keys, *channels).distinct(), list(keys))
+        # Channels are a dimension of a few names: attached inside each row, not by a join on
+        # the few keys, which would put a chromosome in one task.
+        listed = track.select(*channels).distinct().agg(F.collect_list(F.struct(*channels)))
+        ends = ends.withColumn("_ch", F.explode(listed.scalar())).select(*keys, pos, "_ch.*")
     zero = [F.lit(0.0).alias(f"_v_{o}") for o in values]
     # A lookup row at p comes before the track row at p: the prefix is over positions < p.
     both = per.withColumn("_at", F.lit(1)).unionByName(

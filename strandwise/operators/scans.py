@@ -7,11 +7,13 @@ block. Positional columns use fixed-width blocks; other orders use quantile buck
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK = 4096
 
@@ -91,6 +93,17 @@ def block_running(
     return joined.withColumns(added).drop(*drop)
 
 
+def _hot_edges(df: DataFrame, column: str) -> tuple[list[float], list[float]]:
+    """Cut points of ``column`` and the values that fill whole buckets by themselves.
+
+    A hot value gets a bucket of its own.
+    """
+    n = bucket_count(df)
+    found = df.approxQuantile(column, [i / n for i in range(1, n)], 1.0 / (2 * n))
+    hot = sorted({a for a, b in zip(found, found[1:], strict=False) if a == b})
+    return sorted({*found, *[math.nextafter(v, math.inf) for v in hot]}), hot
+
+
 def number_rows(
     df: DataFrame,
     column: str,
@@ -102,10 +115,19 @@ def number_rows(
 ) -> DataFrame:
     """0-based position of each row in the order of a numeric ``column`` then ``ties``.
 
-    ``keys`` numbers within groups. The order must be total for a reproducible result.
+    ``keys`` numbers within groups. The order must be total for a reproducible result. Rows that
+    share one hot value of ``column`` are cut further by the first tie column if it is numeric.
     """
-    edges = quantile_edges(df, column) if edges is None else edges
+    hot: list[float] = []
+    if edges is None:
+        edges, hot = _hot_edges(df, column)
     cut = with_bucket(df, column, edges, "_bucket").withColumn("_one", F.lit(1).cast("long"))
+    if hot and ties and isinstance(df.schema[ties[0]].dataType, T.NumericType):
+        at = F.col(column).cast("double").isin(hot)
+        inner = quantile_edges(cut.where(at), ties[0])
+        sub = with_bucket(cut, ties[0], inner, "_sub")
+        rank = F.when(at, F.col("_sub")).otherwise(0)
+        cut = sub.withColumn("_bucket", F.col("_bucket") * (len(inner) + 2) + rank).drop("_sub")
     out = block_running(
         cut, keys, "_bucket", [F.col(column), *map(F.col, ties)], {name: "_one"}
     )
@@ -134,39 +156,44 @@ def exact_quantiles(
 ) -> DataFrame:
     """Exact linearly interpolated quantiles of the non-NULL values of ``column`` per key.
 
-    Only the buckets that hold a wanted rank are sorted; no group is held in one aggregate.
+    Equal values are counted first, and only the buckets that hold a wanted rank are sorted.
     """
-    rows = df.where(F.col(column).isNotNull()).select(
-        *keys, F.col(column).cast("double").alias(column)
+    counted = (
+        df.where(F.col(column).isNotNull())
+        .groupBy(*keys, F.col(column).cast("double").alias("_v"))
+        .agg(F.count(F.lit(1)).alias("_k"))
     )
-    edges = quantile_edges(rows, column) if edges is None else edges
-    cut = with_bucket(rows, column, edges, "_bucket")
+    edges = quantile_edges(counted, "_v") if edges is None else edges
+    cut = with_bucket(counted, "_v", edges, "_bucket")
     key_window = Window.partitionBy(*keys)
-    before = key_window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = key_window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     ranks = [
         f((F.col("_n") - 1) * F.lit(float(p))).cast("long")
         for p in probs.values()
         for f in (F.floor, F.ceil)
     ]
-    first, size = F.col("_before"), F.col("_size")
-    held = ranks[0].between(first, first + size - 1)
-    for r in ranks[1:]:
-        held = held | r.between(first, first + size - 1)
+    held = F.lit(False)
+    for r in ranks:
+        held = held | ((r >= F.col("_before")) & (r < F.col("_before") + F.col("_size")))
     wanted = (
         cut.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_size"))
-        .withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0)))
+        .agg(F.sum("_k").alias("_size"))
+        .withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
         .withColumn("_n", F.sum("_size").over(key_window))
         .where(held)
     )
-    within = Window.partitionBy(*keys, "_bucket").orderBy(column)
-    ranked = cut.join(wanted, [*keys, "_bucket"]).withColumn(
-        "_rank", F.row_number().over(within) - 1 + F.col("_before")
+    within = (
+        Window.partitionBy(*keys, "_bucket")
+        .orderBy("_v")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    upto = F.sum("_k").over(within) + F.col("_before")
+    ranked = cut.join(wanted, [*keys, "_bucket"]).withColumn("_upto", upto)
+    holds = lambda r: (r < F.col("_upto")) & (r >= F.col("_upto") - F.col("_k"))
     aggs = []
     for i, (name, p) in enumerate(probs.items()):
-        low = F.max(F.when(F.col("_rank") == ranks[2 * i], F.col(column)))
-        high = F.max(F.when(F.col("_rank") == ranks[2 * i + 1], F.col(column)))
+        low = F.max(F.when(holds(ranks[2 * i]), F.col("_v")))
+        high = F.max(F.when(holds(ranks[2 * i + 1]), F.col("_v")))
         at = F.max((F.col("_n") - 1) * F.lit(float(p)))
         aggs.append((low + (high - low) * (at - F.floor(at))).alias(name))
     return ranked.groupBy(*keys).agg(F.max("_n").alias("n"), *aggs)

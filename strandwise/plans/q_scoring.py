@@ -416,7 +416,12 @@ def _(spark, sf):
     return tile_transcripts(annotation(spark, sf).select("tx", "length"), "tx", 60, 25)
 
 
-@query("window_predictions")
+@query(
+    "window_predictions",
+    """SELECT w.chrom, w.start, round(sum(CASE WHEN strand = '+' THEN value ELSE 0 END) / sum(value), 9) AS share
+    FROM windows w JOIN pooled p ON p.chrom = w.chrom AND p.pos >= w.start AND p.pos < w."end" GROUP BY ALL""",
+    "pooled windows",
+)
 def _(spark, sf):
     """A user's predictor over windows: here the share of each window's reads per strand."""
     from strandwise.operators import intervals
@@ -428,7 +433,7 @@ def _(spark, sf):
 
     def predict(batches):
         for b in batches:
-            b["share"] = (b["plus"] / b["total"]).round(6)
+            b["share"] = (b["plus"] / b["total"]).round(9)
             yield b[["chrom", "start", "share"]]
 
     return predict_windows(w, predict, "chrom string, start long, share double")

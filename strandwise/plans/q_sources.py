@@ -205,7 +205,7 @@ def offset_table(spark, sf):
     "p_site_placement",
     f"""WITH {READS}, o AS (SELECT *, CASE WHEN CASE WHEN is_reverse THEN regexp_matches(md, '\\D0$') ELSE regexp_matches(md, '^0') END THEN 12 + read_length % 3 ELSE 11 + read_length % 4 END AS p,
        coalesce(sum(CASE WHEN op IN (0, 1) THEN len ELSE 0 END) OVER w, 0) AS r, coalesce(sum(CASE WHEN op IN (0, 3) THEN len ELSE 0 END) OVER w, 0) AS g
-      FROM (SELECT *, row_number() OVER () AS uid FROM (SELECT * FROM ops) WHERE i = 0 OR i > 0) WHERE {PASS} AND read_length % 8 <> 0
+      FROM ops WHERE {PASS} AND read_length % 8 <> 0
       WINDOW w AS (PARTITION BY read_id, start, is_reverse, md, l_suppkey, l_partkey, l_quantity, mapq, is_secondary, is_unmapped ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
     q AS (SELECT *, CASE WHEN is_reverse THEN read_length - p ELSE p END AS want, CASE WHEN is_reverse THEN 0 ELSE 1 END AS slack FROM o),
     h AS (SELECT read_id, start, l_suppkey, l_partkey, l_quantity, is_reverse, p, max(read_length) AS n, max("end") AS e,

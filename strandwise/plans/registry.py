@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandwise.plans.sqlviews import with_views
+from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +20,7 @@ def query(name: str, sql: str | None = None, views: str = "") -> Callable[[Query
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf: fn(tune(spark), sf)
         if sql is not None:
             SQL[name] = with_views(views.split(), sql)
         return fn
