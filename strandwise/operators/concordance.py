@@ -21,6 +21,7 @@ from strandwise.functions.numeric import (
     safe_ratio,
 )
 from strandwise.operators.scans import exact_quantiles
+from strandwise.session import durable
 
 # Bins and read limits of the scorecard.
 BIN = 30
@@ -227,7 +228,9 @@ def scorecard(
 
     ``units``: ``condition, tx, length, cds_start, cds_end`` of the transcripts to score.
     """
-    spliced = rows.drop("length") if "length" in rows.columns else rows
+    # Both inputs are read by every scale: written once, so their joins are not planned again.
+    spliced = durable(rows.drop("length") if "length" in rows.columns else rows, "spliced")
+    units = durable(units, "units")
     parts = [
         gene_rows(spliced, units, sources, cds_only=True),
         gene_rows(spliced, units, sources, cds_only=False),

@@ -74,30 +74,42 @@ def group_counts(df: DataFrame, group: str, strata: Sequence[str] = ()) -> DataF
 
 
 def recall_at_budget(
-    curve: DataFrame, groups: DataFrame, budget: float, strata: Sequence[str] = ()
+    curve: DataFrame,
+    groups: DataFrame,
+    budget: float | Sequence[float],
+    strata: Sequence[str] = (),
 ) -> DataFrame:
-    """Largest recall whose false positives per group stay within ``budget``.
+    """Largest recall whose false positives per group stay within each budget, in one pass.
 
     The threshold is the highest one that reaches it. Without positives or a feasible threshold:
     recall 0 at an infinite threshold.
     """
-    if budget < 0:
+    budgets = [budget] if isinstance(budget, (int, float)) else list(budget)
+    if min(budgets) < 0:
         raise ValueError("budget must be non-negative")
     joined = curve.join(groups, list(strata)) if strata else curve.withColumn(
         "n_groups", groups.select("n_groups").scalar()
     )
-    per_group = F.col("fp") / F.greatest(F.col("n_groups"), F.lit(1))
+    n = F.greatest(F.col("n_groups"), F.lit(1))
     row = F.struct("tp", "score", "fp", "all_pos", "n_groups")
-    feasible = (per_group <= budget) & (F.col("all_pos") > 0)
-    best = joined.groupBy(*strata).agg(F.max(F.when(feasible, row)).alias("_b"))
+    found = F.col("all_pos") > 0
+    picks = [
+        F.max(F.when(found & (F.col("fp") / n <= b), row)).alias(f"_{i}")
+        for i, b in enumerate(budgets)
+    ]
+    pairs = [
+        F.struct(F.lit(float(b)).alias("budget"), F.col(f"_{i}").alias("b"))
+        for i, b in enumerate(budgets)
+    ]
+    best = joined.groupBy(*strata).agg(*picks).select(*strata, F.inline(F.array(*pairs)))
     return best.select(
         *strata,
-        F.coalesce(F.col("_b.tp") / F.col("_b.all_pos"), F.lit(0.0)).alias("recall"),
-        F.coalesce(F.col("_b.score"), F.lit(float("inf"))).alias("threshold"),
+        F.coalesce(F.col("b.tp") / F.col("b.all_pos"), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.col("b.score"), F.lit(float("inf"))).alias("threshold"),
         F.coalesce(
-            F.col("_b.fp") / F.greatest(F.col("_b.n_groups"), F.lit(1)), F.lit(0.0)
+            F.col("b.fp") / F.greatest(F.col("b.n_groups"), F.lit(1)), F.lit(0.0)
         ).alias("fp_per_group"),
-        F.lit(float(budget)).alias("budget"),
+        "budget",
     )
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.numeric import count_if
 from strandwise.operators import concordance, intervals, profiles, tracks
-from strandwise.operators.scans import block_running, with_bucket
+from strandwise.operators.scans import block_running, quantile_edges, with_bucket
+from strandwise.session import durable
 
 CHANNEL = ["condition", "library", "strand"]
 
@@ -23,6 +24,7 @@ def channel_metrics(
     are taken from. Genes count where they lie inside a window; ``genes_excluded`` overlap windows
     but fit in none.
     """
+    pooled, genes = durable(pooled, "pooled"), durable(genes, "genes")
     masked = tracks.mask_unexpressed(pooled, genes)
     hits = intervals.points_in_spans(masked, windows, ["chrom"])
     rows = hits.select(
@@ -122,8 +124,6 @@ def shard_offsets(index: DataFrame, shard: str, order: str, length: str) -> Data
 
     Shards are cut into order buckets, so a large shard is not summed in one task.
     """
-    from strandwise.operators.scans import quantile_edges
-
     cut = with_bucket(index, order, quantile_edges(index, order), "_bucket")
     run = block_running(cut, [shard], "_bucket", [F.col(order)], {"_upto": length})
     return run.withColumn("offset", F.col("_upto") - F.col(length)).drop("_upto", "_bucket")

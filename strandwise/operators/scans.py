@@ -221,17 +221,24 @@ def rolling_sums(
 ) -> DataFrame:
     """Sums over ``[pos + lo, pos + hi]`` of sparse rows, absent positions counting as 0.
 
-    ``windows`` maps an output name to ``(column, lo, hi)``. A (key, block) partition holds at
-    most one row per position and channel: ``width`` plus the reach.
+    ``windows`` maps an output name to ``(column, lo, hi)``. A window sum is the difference of two
+    sums from the block's begin: those frames grow row by row, while a sliding frame would be
+    summed afresh for every row. A (key, block) partition holds at most one row per position and
+    channel: ``width`` plus the reach.
     """
     down = max(0, *[-lo for _, lo, _ in windows.values()])
     up = max(0, *[hi for _, _, hi in windows.values()])
     spread = halo(df, pos, down, up, width)
-    out = {}
-    for name, (column, lo, hi) in windows.items():
-        w = Window.partitionBy(*keys, "_blk").orderBy(pos).rangeBetween(lo, hi)
-        out[name] = F.coalesce(F.sum(column).over(w), F.lit(0.0))
-    return spread.withColumns(out).where("_home").drop("_blk", "_home")
+    w = Window.partitionBy(*keys, "_blk").orderBy(pos)
+    bounds = {(c, b) for c, lo, hi in windows.values() for b in (lo - 1, hi)}
+    named = {f"_to_{i}": cb for i, cb in enumerate(sorted(bounds))}
+    upto = {
+        n: F.coalesce(F.sum(c).over(w.rangeBetween(Window.unboundedPreceding, b)), F.lit(0.0))
+        for n, (c, b) in named.items()
+    }
+    at = {cb: F.col(n) for n, cb in named.items()}
+    out = {n: at[(c, hi)] - at[(c, lo - 1)] for n, (c, lo, hi) in windows.items()}
+    return spread.withColumns(upto).where("_home").withColumns(out).drop("_blk", "_home", *named)
 
 
 def previous_marked(

@@ -12,6 +12,7 @@ from strandwise.plans.q_intervals import gene_table, region_replicates
 from strandwise.plans.q_tracks import IN_REGION, REGION, pooled, region, track
 from strandwise.plans.q_transcripts import annotation, txtrack
 from strandwise.plans.registry import query
+from strandwise.session import durable
 
 R = 6
 
@@ -370,9 +371,15 @@ p AS (SELECT s.site_id, s.condition, k.tx_pos - s.tx_pos AS "offset", k.pooled,
    AND abs(k.tx_pos - s.tx_pos) <= 30)"""
 
 
-def sites(spark, sf):
-    t = scored_rows(spark, sf).where("library = 'tis' AND pooled >= 2").drop("length")
-    j = t.join(units(spark, sf), ["condition", "tx"])
+def site_inputs(spark, sf):
+    """Spliced TIS and CHX rows and units, written once for the steps that read them."""
+    return durable(scored_rows(spark, sf), "spliced"), durable(units(spark, sf), "units")
+
+
+def sites(inputs):
+    rows, u = inputs
+    t = rows.where("library = 'tis' AND pooled >= 2").drop("length")
+    j = t.join(u, ["condition", "tx"])
     p = F.col("tx_pos")
     return j.select(
         "condition", "tx", "tx_pos",
@@ -385,12 +392,12 @@ def sites(spark, sf):
     )
 
 
-def site_rows(spark, sf):
-    rows = scored_rows(spark, sf).where("library = 'tis'").select(
+def site_rows(inputs):
+    rows = inputs[0].where("library = 'tis'").select(
         "condition", "tx", "tx_pos", "pooled", "rep1", "rep2",
         (F.col("rep1") + (F.col("tx_pos") % 5) / 8.0).alias("pred"),
     )
-    return peaks.site_profiles(sites(spark, sf), rows)
+    return peaks.site_profiles(sites(inputs), rows)
 
 
 PEAK = """pk AS (SELECT site_id, sum({v}) AS total, coalesce(sum({v}) FILTER ("offset" = 0), 0) / sum({v}) AS share,
@@ -404,7 +411,7 @@ CLS = "CASE WHEN is_atg THEN 'atg' ELSE 'nc' END"
     "txtrack tx expression",
 )
 def _(spark, sf):
-    p = site_rows(spark, sf).groupBy("condition", "offset").agg(
+    p = site_rows(site_inputs(spark, sf)).groupBy("condition", "offset").agg(
         F.count(F.lit(1)).alias("n"), F.sum("pooled").alias("pooled"), F.sum("rep1").alias("rep1"), F.round(F.sum("pred"), 6).alias("pred")
     )
     return p
@@ -416,8 +423,9 @@ def _(spark, sf):
     "txtrack tx expression",
 )
 def _(spark, sf):
-    pk = peaks.site_peaks(site_rows(spark, sf), "pooled")
-    s = sites(spark, sf).select("site_id", "condition", F.when(F.col("codon") == "ATG", "atg").otherwise("nc").alias("class"))
+    inputs = site_inputs(spark, sf)
+    pk = peaks.site_peaks(site_rows(inputs), "pooled")
+    s = sites(inputs).select("site_id", "condition", F.when(F.col("codon") == "ATG", "atg").otherwise("nc").alias("class"))
     return rounded(peaks.peak_summary(pk.join(s, "site_id"), ["condition", "class"]), "meta_share", "argmax0")
 
 
@@ -428,8 +436,9 @@ def _(spark, sf):
     "txtrack tx expression",
 )
 def _(spark, sf):
-    pk = peaks.site_peaks(site_rows(spark, sf), "pred", peaks.SHARP_FLANK)
-    s = sites(spark, sf).select("site_id", "condition", F.explode(peaks.class_of(F.col("codon"), F.col("utr5"))).alias("class"))
+    inputs = site_inputs(spark, sf)
+    pk = peaks.site_peaks(site_rows(inputs), "pred", peaks.SHARP_FLANK)
+    s = sites(inputs).select("site_id", "condition", F.explode(peaks.class_of(F.col("codon"), F.col("utr5"))).alias("class"))
     return rounded(peaks.peak_summary(pk.join(s, "site_id"), ["condition", "class"]), "meta_share", "argmax0")
 
 
@@ -447,8 +456,9 @@ HITS = "h AS (SELECT site_id, " + ", ".join(
     "txtrack tx expression",
 )
 def _(spark, sf):
-    h = peaks.site_hits(site_rows(spark, sf), ["pred", "rep1", "rep2"])
-    s = sites(spark, sf).withColumn("class", F.when(F.col("codon") == "ATG", "atg").otherwise("nc"))
+    inputs = site_inputs(spark, sf)
+    h = peaks.site_hits(site_rows(inputs), ["pred", "rep1", "rep2"])
+    s = sites(inputs).withColumn("class", F.when(F.col("codon") == "ATG", "atg").otherwise("nc"))
     out = peaks.hit_rates(h.join(s, "site_id"), "class", "region", "in_cds", ["condition"])
     return rounded(out, "hit", "ref", "both", "ratio")
 
@@ -465,11 +475,12 @@ def _(spark, sf):
     "txtrack tx expression",
 )
 def _(spark, sf):
-    s = sites(spark, sf).where("utr5")
-    h = peaks.site_hits(site_rows(spark, sf), ["pred", "rep1", "rep2"])
+    inputs = site_inputs(spark, sf)
+    s = sites(inputs).where("utr5")
+    h = peaks.site_hits(site_rows(inputs), ["pred", "rep1", "rep2"])
     left = F.least("cds_end", "length") - F.col("tx_pos")
     orfs = s.select("site_id", "condition", "tx", F.col("tx_pos").alias("start"), (F.col("tx_pos") + left - F.pmod(left, F.lit(3))).alias("stop"))
-    chx = scored_rows(spark, sf).where("library = 'chx'").select("condition", "tx", "tx_pos", "pooled")
+    chx = inputs[0].where("library = 'chx'").select("condition", "tx", "tx_pos", "pooled")
     f = peaks.orf_frame(chx, orfs, "pooled", 3.0)
     joined = s.join(h, "site_id").join(f.select("site_id", "orf_frame"), "site_id", "left")
     out = peaks.utr5_summary(joined, ["condition"])

@@ -11,12 +11,12 @@ from strandwise.functions import coords as co
 from strandwise.operators import alignments, concordance, intervals, reports, tracks, transcripts
 from strandwise.operators import features as ft
 from strandwise.plans import surrogates as sv
-from strandwise.plans.q_concordance import UNITS, scored_rows, units, within_sql
+from strandwise.plans.q_concordance import UNITS, units, within_sql
 from strandwise.plans.q_intervals import gene_table, islands
 from strandwise.plans.q_tracks import pooled, region, track
 from strandwise.plans.q_transcripts import annotation, exon_table, txtrack
 from strandwise.plans.registry import query
-from strandwise.session import shared_folder
+from strandwise.session import durable, shared_folder
 from strandwise.sources import tables
 
 R = 6
@@ -376,12 +376,13 @@ def _(spark, sf):
     inside = tracks.region_totals(t, region(spark, sf), ["condition", "library"])
     cpm = t.where("library = 'rna'").groupBy("condition").agg(F.sum("value").alias("genome_total"))
     scalars = concordance.fit_scalars(inside.join(cpm, "condition"), ("C0", "C1", "C2"), ("C0", "C1", "C2"))
-    u = units(spark, sf)
+    u = durable(units(spark, sf), "units")
     keep = u.select("condition", "tx")
-    rna = txtrack(spark, sf).where("library = 'rna'").join(keep, ["condition", "tx"], "left_semi")
-    rows = scored_rows(spark, sf).drop("length", "mixed", "pooled").join(keep, ["condition", "tx"], "left_semi")
+    spliced = durable(txtrack(spark, sf).join(keep, ["condition", "tx"], "left_semi"), "spliced")
+    rna = spliced.where("library = 'rna'")
+    rows = spliced.where("library <> 'rna'").drop("length", "value")
     both = reports.rna_scaled(rows, rna.select("condition", "tx", "tx_pos", "value"), scalars, cpm)
-    out = concordance.within_rows(both, u, ["rna_scaled"], ["codon"], 2)
+    out = concordance.within_rows(durable(both, "scaled"), u, ["rna_scaled"], ["codon"], 2)
     return out.select("condition", "library", F.round("value", 5).alias("value"), F.round("yardstick", 5).alias("yardstick"), "n")
 
 
