@@ -99,8 +99,9 @@ def unit_pearson(
 ) -> DataFrame:
     """Per unit and scale: Pearson of each source and of replicate 1 with replicate 2.
 
-    Scales are ``nt``, ``codon`` (grid on the CDS frame) and ``bin30``; all are binned in one
-    pass over the rows. Only units with enough replicate-2 reads and two bins are kept.
+    Scales are ``nt``, ``codon`` (grid on the CDS frame) and ``bin30``. Rows are unique by
+    position, so ``nt`` needs no binning; the other grids are binned in one pass. Only units with
+    enough replicate-2 reads and two bins are kept.
     """
     columns = ["rep1", "rep2", *sources]
     keys = [*GROUP, "tx"]
@@ -124,19 +125,25 @@ def unit_pearson(
         F.col("_reads") >= min_reads
     )
     eligible = enough.select(*keys).join(shaped.where("_bins >= 2"), ["condition", "tx"])
-    bin_ = F.floor((F.col("tx_pos") - F.col("_off")) / F.col("_size")).cast("long")
-    binned = (
-        rows.join(eligible, keys)
-        .withColumn("_bin", bin_)
-        .where((F.col("_bin") >= 0) & (F.col("_bin") < F.col("_bins")))
-        .groupBy(*keys, "scale", "_bins", "_bin")
-        .agg(*[F.sum(c).alias(c) for c in columns])
-    )
     aggs = []
     for c in ["rep1", *sources]:
         m, r, varies = corr_agg(F.col(c), F.col("rep2"), F.max("_bins"))
         aggs.append(pearson_or_zero(m, r, varies).alias(f"r_{c}"))
-    per_unit = binned.groupBy(*keys, "scale").agg(*aggs)
+    parts = []
+    if "nt" in scales:
+        exact = rows.join(eligible.where("scale = 'nt'"), keys)
+        parts.append(exact.groupBy(*keys, "scale").agg(*aggs))
+    if set(scales) - {"nt"}:
+        bin_ = F.floor((F.col("tx_pos") - F.col("_off")) / F.col("_size")).cast("long")
+        binned = (
+            rows.join(eligible.where("scale <> 'nt'"), keys)
+            .withColumn("_bin", bin_)
+            .where((F.col("_bin") >= 0) & (F.col("_bin") < F.col("_bins")))
+            .groupBy(*keys, "scale", "_bins", "_bin")
+            .agg(*[F.sum(c).alias(c) for c in columns])
+        )
+        parts.append(binned.groupBy(*keys, "scale").agg(*aggs))
+    per_unit = reduce(lambda a, b: a.unionByName(b), parts)
     full = eligible.select(*keys, "scale").join(per_unit, [*keys, "scale"], "left")
     return full.fillna(0.0, [f"r_{c}" for c in ["rep1", *sources]])
 

@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """A table in fewer files than cores, spread before rows are multiplied; others unchanged."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
 
 
 def _pick(n: Column, names: tuple[str, ...]) -> Column:
