@@ -297,3 +297,8 @@ def primary_scores(wide: DataFrame, condition: str) -> DataFrame:
 def capped_percent(hit: Column, reference: Column) -> Column:
     """``100 * min(1, hit / reference)``; NULL without a reference."""
     return 100.0 * F.least(F.lit(1.0), safe_ratio(hit, reference))
+
+
+def paired_primary(nt_percent: Column, hit: Column, reference: Column) -> Column:
+    """Mean of a base percent and a capped peak percent: the primary of a peak criterion."""
+    return (nt_percent + capped_percent(hit, reference)) / 2.0

@@ -388,21 +388,30 @@ def _(spark, sf):
 
 @query(
     "stored_run_lookup",
-    """WITH a AS (SELECT 'all' AS stratum, 'mean' AS metric, round(avg(score), 9) AS value, round(min(score), 9) AS ci_low, round(max(score), 9) AS ci_high FROM labelled)
-    SELECT stratum, metric, value, ci_low, ci_high, NULL::VARCHAR AS problem FROM a
-    UNION ALL SELECT codon_class, 'mean', round(avg(score), 9), NULL, NULL, NULL FROM labelled GROUP BY ALL""",
+    """WITH m AS (SELECT unnest(['mean', 'top']) AS metric, unnest([round(avg(score), 9), max(score)]) AS value FROM labelled),
+    c AS (SELECT unnest(['mean', 'top']) AS metric, unnest([0.0, 0.5]) AS ci_low, unnest([1.0, max(score)]) AS ci_high FROM labelled)
+    SELECT 'all' AS stratum, metric, value, ci_low::DOUBLE AS ci_low, ci_high::DOUBLE AS ci_high, NULL::VARCHAR AS problem FROM m JOIN c USING (metric)
+    UNION ALL SELECT codon_class, 'mean', round(avg(score), 9), NULL, NULL, NULL FROM labelled GROUP BY ALL
+    UNION ALL SELECT codon_class, 'top', max(score), NULL, NULL, NULL FROM labelled GROUP BY ALL""",
     "labelled",
 )
 def _(spark, sf):
-    rows = sv.labelled(spark, sf)
-    arm = F.lit("one").alias("arm")
-    mean = F.round(F.avg("score"), 9).alias("value")
-    metrics = rows.agg(mean).select(arm, F.lit("ensemble").alias("seed"), F.lit("mean").alias("metric"), "value")
-    strata = rows.groupBy(F.col("codon_class").alias("stratum")).agg(mean).select(arm, "stratum", F.lit("mean").alias("metric"), "value")
-    cis = rows.agg(F.round(F.min("score"), 9).alias("ci_low"), F.round(F.max("score"), 9).alias("ci_high")).select(
-        arm, F.lit("mean").alias("metric"), "ci_low", "ci_high"
+    rows = sv.labelled(spark, sf).withColumn("arm", F.lit("one")).withColumn("seed", F.lit("ensemble"))
+
+    def long(df, low, high):
+        mean = F.struct(F.lit("mean").alias("metric"), F.col("mean").alias("value"), F.lit(0.0).alias("ci_low"), F.lit(1.0).alias("ci_high"))
+        top = F.struct(F.lit("top").alias("metric"), F.col("top").alias("value"), F.lit(low).alias("ci_low"), high.alias("ci_high"))
+        return F.inline(F.array(mean, top))
+
+    aggs = [F.round(F.avg("score"), 9).alias("mean"), F.max("score").alias("top")]
+    whole = rows.groupBy("arm", "seed").agg(*aggs)
+    whole = whole.select("arm", "seed", long(whole, 0.5, F.col("top")))
+    strata = rows.groupBy("arm", F.col("codon_class").alias("stratum")).agg(*aggs)
+    strata = strata.select("arm", "stratum", long(strata, 0.5, F.col("top")))
+    return reports.stored_run(
+        whole.select("arm", "seed", "metric", "value"), strata.select("arm", "stratum", "metric", "value"),
+        whole.select("arm", "metric", "ci_low", "ci_high"), "one",
     )
-    return reports.stored_run(metrics, strata, cis, "one")
 
 
 @query(

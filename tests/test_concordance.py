@@ -152,6 +152,9 @@ def test_wide_results_and_primary(frame):
     w = concordance.wide_results(s, ["name"], ["K"], ["tis", "chx"], ["codon", "nt"])
     r = concordance.primary_scores(w, "K").first()
     assert (r.primary, r.K_chx_frame, r.K_chx_nt) == (50.0, 0.7, None)
+    two = frame("nt double, h double, r double", (60.0, 0.3, 0.2), (60.0, 0.1, 0.2), (60.0, 0.1, 0.0))
+    p = concordance.paired_primary(F.col("nt"), F.col("h"), F.col("r"))
+    assert [x[0] for x in two.select(p).collect()] == [80.0, 55.0, None]
 
 
 def test_frame_fraction(frame):

@@ -80,5 +80,6 @@ def test_direction(frame):
 
 
 def test_candidate_violations(candidates):
-    v = quality.candidate_violations(candidates.withColumn("score", candidates.score / 0.0 if False else candidates.score))
-    assert {r["violations"] for r in v.collect()} == {0}
+    assert {r["violations"] for r in quality.candidate_violations(candidates).collect()} == {0}
+    odd = candidates.withColumn("region", candidates.strand)
+    assert quality.candidate_violations(odd).where("rule = 'unknown_region'").first()["violations"] == 10
