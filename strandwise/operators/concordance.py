@@ -296,7 +296,8 @@ def primary_scores(wide: DataFrame, condition: str) -> DataFrame:
 
 def capped_percent(hit: Column, reference: Column) -> Column:
     """``100 * min(1, hit / reference)``; NULL without a reference."""
-    return 100.0 * F.least(F.lit(1.0), safe_ratio(hit, reference))
+    ratio = safe_ratio(hit, reference)
+    return F.when(ratio.isNotNull(), 100.0 * F.least(F.lit(1.0), ratio))
 
 
 def paired_primary(nt_percent: Column, hit: Column, reference: Column) -> Column:
