@@ -9,6 +9,7 @@ from strandwise.session import durable
 
 #: (name, function); a function takes (spark, docs, sf_dir) and its result is the next one's docs.
 STAGES = [
+    ("language_id", stages.language_id),
     ("line_dedup", stages.line_dedup),
     ("simhash_near_dedup", stages.near_dedup),
     ("source_mixing", stages.mix),

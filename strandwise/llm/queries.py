@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import line_dedup, mixing, packing, simhash
+from strandwise.llm import language, line_dedup, mixing, packing, simhash
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,14 @@ def op5_source_mixing(spark, sf):
     return mixing.mix(documents(spark, sf)).drop("h")
 
 
+@query
+def op6_language_id(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text", "lang")
+    made = language.identify(docs.select("doc_id", "text"), language.fit(docs))
+    out = F.coalesce(language.held_out(F.col("doc_id")), F.lit(False)).alias("held_out")
+    return made.select("doc_id", out, "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 @query
 def op7_simhash_near_dedup(spark, sf):
     return simhash.simhash_groups(documents(spark, sf))

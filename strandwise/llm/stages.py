@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import mixing, packing, simhash
+from strandwise.llm import language, mixing, packing, simhash
 from strandwise.llm.line_dedup import drop_common_lines
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language stay; those without letters, or with no language of a fair share, go."""
+    return language.known_language(docs)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines go from the texts, and n_chars follows. A document without other lines stays, with an empty text."""
     return drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
