@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import language, line_dedup, mixing, packing, pivots, simhash
+from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, pivots, simhash
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,6 +73,11 @@ def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
 
+@query
+def op1_kmeans_tree(spark, sf):
+    return kmeans_tree.neighbours(embeddings(spark, sf))
+
+
 @query
 def op10_exact_top_k(spark, sf):
     return pivots.top_k(embeddings(spark, sf))
