@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, pivots, simhash
+from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, pivots, secrets, simhash
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,13 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query
+def op9_secret_scan(spark, sf):
+    docs = documents(spark, sf).select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.fit(docs))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_crf")
+
+
 def embeddings(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/embeddings.parquet")
 
