@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, pivots, secrets, simhash
+from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op3_passage_dedup(spark, sf):
+    return passages.repeated_passages(documents(spark, sf))
+
+
 @query
 def op4_best_fit_packing(spark, sf):
     return packing.pack(documents(spark, sf))
