@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash
+from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash, token_counts
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op2_token_counts(spark, sf):
+    docs = token_counts.sample_edits(documents(spark, sf).select("doc_id", "text"))
+    made = token_counts.recount(token_counts.count(docs).withColumn("tokens_before", F.col("tokens")))
+    return made.select("doc_id", "tokens_before", F.col("tokens").alias("tokens_after"), F.length("text").alias("chars_after"), F.size("edits").alias("n_edits"), F.col("encoded").alias("chars_encoded"))
+
+
 @query
 def op3_passage_dedup(spark, sf):
     return passages.repeated_passages(documents(spark, sf))
