@@ -73,7 +73,7 @@ class SortedRuns:
 
     def _merged(self, names: list[str]) -> DataFrame:
         # by path, not as a union of bucketed tables: Spark 4.1 takes such a union for one that is already dealt by key
-        whole = self.spark.read.parquet(*[f"{shared_folder(self.spark)}/{name}" for name in names])
+        whole = self.spark.read.schema("hi long, lo long, n long, keeper long").parquet(*[f"{shared_folder(self.spark)}/{name}" for name in names])
         return whole.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
     def add(self, batch: DataFrame) -> None:
