@@ -181,10 +181,11 @@ def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
 
 
 def star_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links in large cells without pairs: a hub of each cell meets all of the cell, until each member was linked or a hub.
+    """Links in large cells without all pairs: a hub of each cell meets all of the cell, until each member was linked or a hub.
 
-    A member that is linked to no hub becomes a hub and meets all others, so every part that is connected
-    inside a cell is found; rounds go on while any cell has such a member.
+    Rounds go on while any cell has a member without a hub. That joins each cell to one cluster, or nearly so.
+    Where several are left, the members outside the largest one meet those of the other clusters, so
+    all that is connected inside a cell is found.
     """
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     left = crowds
@@ -195,7 +196,13 @@ def star_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFram
         links = links.unionByName(met.select("a", "b"))
         done = met.select("cell", F.col("b").alias("key")).unionByName(hubs.withColumnRenamed("a", "key"))
         left = durable(left.join(done, ["cell", "key"], "left_anti"), "crowds")
-    return links
+    roots = components(links)
+    named = durable(crowds.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root")), "clusters")
+    largest = named.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("clusters"))
+    rest = named.join(largest.where("clusters > 1").drop("clusters"), "cell")
+    others = rest.select("cell", F.col("key").alias("b"), F.col("root").alias("rb"))
+    apart = rest.where("root <> largest").join(others, "cell").where("root <> rb and (rb = largest or key < b)")
+    return links.unionByName(similar(apart.select(F.col("key").alias("a"), "b").distinct(), sets, threshold))
 
 
 def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32) -> DataFrame:
@@ -233,7 +240,9 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     if not crowds.isEmpty():
         finer = crowds.join(sets, "key").select("cell", "key", "s").mapInArrow(_finer(4, tune_bands(threshold, 4, recall), bands), "cell long, key long")
         more, still = small_cells(finer, crowd)
-        links = links.unionByName(similar(more, sets, threshold)).unionByName(star_links(still, sets, threshold))
+        links = links.unionByName(similar(more, sets, threshold))
+        if not still.isEmpty():
+            links = links.unionByName(star_links(still, sets, threshold))
     roots = components(links.distinct())
     # pieces and paragraphs by class; first and last document tell whether there are several
     classed = durable(paragraphs.select("key").join(roots.withColumnRenamed("node", "key"), "key").select("key", "root"), "classes")
