@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandwise.session import durable
@@ -14,6 +14,13 @@ from strandwise.session import durable
 WHITE = b" \t\n\x0b\x0c\r"
 
 
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Texts go to Python a few megabytes at a time, so that workers stay small beside the executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
+
+
 def octets(column: pa.Array) -> list[bytes | None]:
     """The values of a string column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

@@ -18,7 +18,7 @@ BUCKETS = 1 << 16
 #: Pseudo-count of a triple, and the number of letters it is spread over.
 SMALL, ALPHABET = 0.1, 40
 #: Code points handled at once in a task.
-WORK = 1_000_000
+WORK = 500_000
 
 #: First and last code point of the main blocks of each script.
 SCRIPTS = [

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash, token_counts
+from strandwise.llm.common import small_batches
 from strandwise.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +18,7 @@ SQL: dict[str, str] = {}
 
 def query(fn: Query) -> Query:
     """Register a query under its function's name."""
-    QUERIES[fn.__name__] = lambda spark, sf: fn(tune(spark), sf)
+    QUERIES[fn.__name__] = lambda spark, sf: fn(small_batches(tune(spark)), sf)
     return fn
 
 
@@ -104,9 +105,9 @@ def op10_exact_top_k(spark, sf):
 
 SQL["op10_exact_top_k"] = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
     SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
     FROM v q, v c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id),
