@@ -28,8 +28,8 @@ def split_of(chrom: Column) -> Column:
 
 
 def line_of(condition: Column) -> Column:
-    """Group of a condition: the part before the first underscore."""
-    return F.element_at(F.split(condition, "_"), 1)
+    """Group of a condition: the states of the RPE1 line are one group, any other name is its own."""
+    return F.when(F.split(condition, "_")[0] == "RPE1", "RPE1").otherwise(condition)
 
 
 def condition_name(cell_line: Column, state: Column) -> Column:
@@ -113,13 +113,13 @@ def parse_locus(locus: Column) -> Column:
 def three_state(raw: Column) -> Column:
     """Text or 0/1 flag -> nullable boolean; anything else is NULL (see ``bad_flag``)."""
     text = F.lower(F.trim(raw.cast("string")))
-    return F.when(text.isin("true", "1"), True).when(text.isin("false", "0"), False)
+    return F.when(text.isin("true", "1", "1.0"), True).when(text.isin("false", "0", "0.0"), False)
 
 
 def bad_flag(raw: Column) -> Column:
     """True where a flag is neither a boolean, 0/1 nor blank."""
     text = F.lower(F.trim(raw.cast("string")))
-    return F.coalesce(~text.isin("true", "1", "false", "0", "", "nan", "none"), F.lit(False))
+    return F.coalesce(~text.isin("true", "1", "1.0", "false", "0", "0.0", "", "nan", "none"), F.lit(False))
 
 
 def reproducible(rep1: Column, rep2: Column) -> Column:

@@ -41,25 +41,24 @@ def percent_of(value: Column, yardstick: Column) -> Column:
     return F.when(finite & (yardstick >= PERCENT_MIN_YARDSTICK), 100.0 * value / yardstick)
 
 
-def corr_from_sums(
-    n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column
-) -> tuple[Column, Column]:
-    """``(r, varies)``: Pearson r from sums and whether both sides vary.
+def corr_agg(x: Column, y: Column, n: Column | None = None) -> tuple[Column, Column, Column]:
+    """Aggregate expressions ``(n, r, varies)`` of a guarded Pearson correlation.
 
-    ``n`` may exceed the number of summed rows: rows that are absent count as zeros.
+    ``n`` may exceed the number of rows: rows that are absent count as zeros. A side is constant only if its
+    least and largest value are the same. Moments are centred as they are summed, so a small
+    spread about a large mean keeps its digits; the zeros join by the rule for merging two groups.
     """
-    vx = n * sxx - sx * sx
-    vy = n * syy - sy * sy
-    varies = (vx > F.lit(1e-9) * n * sxx) & (vy > F.lit(1e-9) * n * syy)
-    r = F.when(varies, (n * sxy - sx * sy) / F.sqrt(vx * vy))
-    return r, F.coalesce(varies, F.lit(False))
-
-
-def corr_agg(x: Column, y: Column, n: Column | None = None) -> tuple[Column, Column, Column]:
-    """Aggregate expressions ``(n, r, varies)`` of a guarded Pearson correlation."""
     x, y = x.cast("double"), y.cast("double")
+    m = F.count(x + y).cast("double")
     n = F.count(F.lit(1)).cast("double") if n is None else n.cast("double")
-    r, varies = corr_from_sums(n, F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y))
+    absent = F.when(m < n, F.lit(0.0))
+    spread = lambda v: F.greatest(F.max(v), absent) > F.least(F.min(v), absent)
+    varies = F.coalesce(spread(x) & spread(y), F.lit(False))
+    joined = m * (n - m) / F.greatest(n, F.lit(1.0))
+    mx, my = F.coalesce(F.avg(x), F.lit(0.0)), F.coalesce(F.avg(y), F.lit(0.0))
+    vx = F.var_pop(x) * m + mx * mx * joined
+    vy = F.var_pop(y) * m + my * my * joined
+    r = F.when(varies & (vx > 0) & (vy > 0), (F.covar_pop(x, y) * m + mx * my * joined) / F.sqrt(vx) / F.sqrt(vy))
     return n, r, varies
 
 

@@ -35,12 +35,16 @@ def profile_kl(rows: DataFrame, keys: Sequence[str], mask: str | None = None) ->
     )
 
 
-def mean_kl(kls: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Mean over the windows that have a KL, and how many have and have not."""
+def mean_kl(kls: DataFrame, keys: Sequence[str], windows: DataFrame | None = None) -> DataFrame:
+    """Mean over the windows that have a KL, and how many have and have not.
+
+    Sparse tracks have no rows in silent windows: with ``windows``, one row each, those count as skipped too.
+    """
+    n = F.count(F.lit(1)) if windows is None else F.lit(windows.agg(F.count(F.lit(1))).scalar())
     return kls.groupBy(*keys).agg(
         F.avg("kl").alias("profile_kl"),
         F.count("kl").alias("kl_windows"),
-        (F.count(F.lit(1)) - F.count("kl")).alias("kl_skipped"),
+        (n - F.count("kl")).alias("kl_skipped"),
     )
 
 
@@ -53,23 +57,26 @@ def phase_kl(
     block: int = 10,
     length: str = "length",
     mask: str | None = None,
+    masked: DataFrame | None = None,
 ) -> DataFrame:
     """Counts-weighted KL of the three-phase composition per block of codons, per ``by``.
 
     Blocks lie on the key's own grid; a partial tail, a block with a masked base and a block
-    without observations do not count. ``by`` is a subset of ``keys``.
+    without observations do not count. ``by`` is a subset of ``keys``. ``mask`` flags rows; a masked
+    base without reads has no row, so ``masked`` gives the spans themselves: ``start``, ``end``
+    on the key's grid, with some or all of ``keys``.
     """
     size = 3 * block
     inside = rows.where(F.col(pos) < F.col(length) - F.col(length) % size)
     b = F.floor(F.col(pos) / float(size)).cast("long")
-    masked = F.max(F.col(mask).cast("int")) if mask else F.lit(0)
+    hidden = F.max(F.col(mask).cast("int")) if mask else F.lit(0)
     phased = inside.groupBy(*keys, b.alias("_b")).agg(
         *[
             F.sum(F.when(F.col(pos) % 3 == i, F.greatest(F.col(c), F.lit(0.0))).otherwise(0.0)).alias(f"_{c}{i}")
             for c in ("obs", "pred")
             for i in range(3)
         ],
-        masked.alias("_m"),
+        hidden.alias("_m"),
     )
     n = F.col("_obs0") + F.col("_obs1") + F.col("_obs2")
     q = F.col("_pred0") + F.col("_pred1") + F.col("_pred2")
@@ -78,6 +85,12 @@ def phase_kl(
         kl = kl + _kl_term(
             F.col(f"_obs{i}") / F.greatest(n, F.lit(EPS)), F.col(f"_pred{i}") / F.greatest(q, F.lit(EPS))
         )
+    if masked is not None:
+        own = [k for k in keys if k in masked.columns]
+        first, last = (F.floor(F.col(c) / float(size)) for c in ("start", "_last"))
+        spans = masked.where("end > start").withColumn("_last", F.col("end") - 1)
+        gone = spans.select(*own, F.explode(F.sequence(first, last)).alias("_b")).distinct()
+        phased = phased.join(gone, [*own, "_b"], "left_anti")
     counted = phased.where((F.col("_m") == 0) & (n > 0)).select(*by, n.alias("_n"), kl.alias("_kl"))
     return counted.groupBy(*by).agg(
         safe_ratio(F.sum(F.col("_n") * F.col("_kl")), F.sum("_n")).alias("phase_kl"),
@@ -95,11 +108,14 @@ def local_kl(
     length: str = "length",
     count_power: float = 1.0,
     target_power: float = 1.0,
+    mask: str | None = None,
 ) -> DataFrame:
     """Profile KL inside fixed blocks, weighted by a power of the block's observed counts.
 
     ``target_power`` tempers the observed profile; both powers 1 give the plain weighted form.
+    Rows flagged by ``mask`` are zeros in both profiles.
     """
+    rows = rows if mask is None else rows.where(~F.col(mask))
     inside = rows.where(F.col(pos) < F.col(length) - F.col(length) % block)
     b = F.floor(F.col(pos) / float(block)).cast("long").alias("_b")
     t = F.when(F.col("obs") > 0, F.pow(F.col("obs"), F.lit(float(target_power)))).otherwise(0.0)

@@ -87,6 +87,8 @@ def recall_at_budget(
     budgets = [budget] if isinstance(budget, (int, float)) else list(budget)
     if min(budgets) < 0:
         raise ValueError("budget must be non-negative")
+    infinite = F.raise_error(F.lit("scores must be below infinity"))
+    curve = curve.withColumn("score", F.when(F.col("score") == float("inf"), infinite.cast("double")).otherwise(F.col("score")))
     joined = curve.join(groups, list(strata)) if strata else curve.withColumn(
         "n_groups", groups.select("n_groups").scalar()
     )

@@ -32,7 +32,7 @@ def channel_metrics(
         F.col(obs).alias("obs"), F.col(pred).alias("pred"), "masked",
     )
     keys = [*CHANNEL, "chrom", "window_start"]
-    kl = profiles.mean_kl(profiles.profile_kl(rows, keys, "masked"), CHANNEL)
+    kl = profiles.mean_kl(profiles.profile_kl(rows, keys, "masked"), CHANNEL, windows)
 
     on = genes.where("expressed").select("condition", "gene", "chrom", "strand", "start", "end")
     placed = intervals.assign_windows(on, windows, ["chrom"], ["condition", "gene"])
@@ -90,18 +90,19 @@ def rna_scaled(rows: DataFrame, rna: DataFrame, scalars: DataFrame, cpm: DataFra
 def stored_run(metrics: DataFrame, strata: DataFrame, cis: DataFrame, arm: str) -> DataFrame:
     """The ensemble row of an arm with its strata and intervals, long by metric.
 
-    ``problem`` is set unless exactly one ensemble row exists.
+    ``problem`` is set unless the arm has exactly one ensemble value of each of its metrics.
     """
-    mine = metrics.where((F.col("arm") == arm) & (F.col("seed") == "ensemble"))
-    n = mine.agg(F.count(F.lit(1))).scalar()
+    own = metrics.where(F.col("arm") == arm)
+    mine = own.where(F.col("seed") == "ensemble")
+    times = own.groupBy("metric").agg(count_if(F.col("seed") == "ensemble").alias("n"))
+    good = times.agg(F.min("n").alias("least"), F.max("n").alias("most")).select(F.expr("least = 1 AND most = 1")).scalar()
     whole = mine.select(F.lit("all").alias("stratum"), "metric", "value")
     parts = strata.where(F.col("arm") == arm).select("stratum", "metric", "value")
     ci = cis.where(F.col("arm") == arm).select(F.lit("all").alias("stratum"), "metric", "ci_low", "ci_high")
-    names = metrics.select("metric").distinct().agg(F.count(F.lit(1))).scalar()
     return (
         whole.unionByName(parts)
         .join(ci, ["stratum", "metric"], "left")
-        .withColumn("problem", F.when(n != names, "not_one_ensemble_row"))
+        .withColumn("problem", F.when(~F.coalesce(good, F.lit(False)), "not_one_ensemble_row"))
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandwise.functions.arrays import stable_hash
 from strandwise.functions.numeric import count_if
-from strandwise.operators.scans import number_rows
+from strandwise.operators.scans import bucket_count, number_rows
 
 SPLIT_MODULUS = 10_000
 
@@ -49,7 +49,8 @@ def cap_by_hash(rows: DataFrame, row_id: str, cap: int, seed: int) -> DataFrame:
         raise ValueError("cap must be positive")
     hashed = rows.withColumn("_h", stable_hash(F.lit(seed), F.col(row_id)))
     # Ties on the hash are broken by the id through the number of each row.
-    edges = [float((1 << 32) * i // 256) for i in range(1, 256)]
+    buckets = bucket_count(rows)
+    edges = [float((1 << 32) * i // buckets) for i in range(1, buckets)]
     numbered = number_rows(hashed, "_h", [row_id], name="_o", edges=edges)
     return numbered.where(F.col("_o") < cap).drop("_h", "_o")
 
@@ -85,12 +86,12 @@ def unique_sites(
 
 
 def store_selection(
-    rows: DataFrame, row_id: str, label: str, negative_cap: int, other_cap: int, seed: int
+    rows: DataFrame, row_id: str, label: str, negative_cap: int, other_cap: int | None = None, seed: int = 0
 ) -> DataFrame:
     """Rows of a feature store, renumbered 0..N-1 in the order of ``row_id``.
 
     Cognate rows: train positives, capped train negatives, all of val and test. Non-cognate rows:
-    a capped sample of test. ``rows`` has ``split`` and ``codon_class``.
+    all of test, or a sample of ``other_cap``. ``rows`` has ``split`` and ``codon_class``.
     """
     cognate = F.col("codon_class") != "non_cognate"
     y = F.col(label).cast("boolean")
@@ -98,7 +99,7 @@ def store_selection(
     parts = [
         rows.where(cognate & (~train | y)),
         cap_by_hash(rows.where(cognate & train & ~y), row_id, negative_cap, seed),
-        cap_by_hash(rows.where(~cognate & test), row_id, other_cap, seed),
+        rows.where(~cognate & test) if other_cap is None else cap_by_hash(rows.where(~cognate & test), row_id, other_cap, seed),
     ]
     union = parts[0]
     for p in parts[1:]:

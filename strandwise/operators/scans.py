@@ -27,7 +27,7 @@ def block_of(pos: Column | str, width: int = BLOCK) -> Column:
 def bucket_count(df: DataFrame) -> int:
     """How many order buckets to cut: a few per shuffle partition of this session."""
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(4 * partitions, 4000))
+    return max(2, 4 * partitions)
 
 
 def quantile_edges(df: DataFrame, column: str, buckets: int | None = None) -> list[float]:

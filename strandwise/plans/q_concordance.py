@@ -56,17 +56,19 @@ def _(spark, sf):
 
 @query(
     "mean_profile_kl",
-    f"WITH {WINROWS}, {kl_sql(CH)} SELECT condition, library, strand, round(avg(kl), {R}) AS profile_kl, count(kl) AS kl_windows, count(*) - count(kl) AS kl_skipped FROM kl GROUP BY ALL",
+    f"WITH {WINROWS}, {kl_sql(CH)} SELECT condition, library, strand, round(avg(kl), {R}) AS profile_kl, count(kl) AS kl_windows, (SELECT count(*) FROM windows) - count(kl) AS kl_skipped FROM kl GROUP BY ALL",
     "pooled windows",
 )
 def _(spark, sf):
     kls = profiles.profile_kl(window_rows(spark, sf), KEYS)
-    return rounded(profiles.mean_kl(kls, ["condition", "library", "strand"]), "profile_kl")
+    return rounded(profiles.mean_kl(kls, ["condition", "library", "strand"], sv.windows(spark, sf)), "profile_kl")
 
 
+# Bases are masked by place, with reads or without: every ninth stretch of 64.
 @query(
     "phase_block_kl",
-    f"""WITH {WINROWS}, b AS (SELECT {CH}, base // 30 AS b, max(masked::INT) AS m, """
+    f"""WITH {WINROWS}, hidden AS (SELECT DISTINCT w.chrom, w.start AS window_start, i // 30 AS b FROM windows w, unnest(range(510)) u(i) WHERE (w.start + i) // 64 % 9 = 0),
+    b AS (SELECT {CH}, base // 30 AS b, """
     + ", ".join(f"sum(CASE WHEN base % 3 = {i} THEN {c} ELSE 0 END) AS {c}{i}" for c in ("obs", "pred") for i in range(3))
     + f""" FROM wr WHERE base < 510 GROUP BY ALL),
     k AS (SELECT library, obs0 + obs1 + obs2 AS n, """
@@ -74,29 +76,33 @@ def _(spark, sf):
         f"CASE WHEN obs{i} > 0 THEN obs{i} / (obs0 + obs1 + obs2) * (ln(obs{i} / (obs0 + obs1 + obs2)) - ln(greatest(pred{i} / greatest(pred0 + pred1 + pred2, 1e-7), 1e-7))) ELSE 0 END"
         for i in range(3)
     )
-    + f""" AS kl FROM b WHERE m = 0 AND obs0 + obs1 + obs2 > 0)
+    + f""" AS kl FROM b ANTI JOIN hidden USING (chrom, window_start, b) WHERE obs0 + obs1 + obs2 > 0)
     SELECT library, round(sum(n * kl) / sum(n), {R}) AS phase_kl, sum(n) AS n_obs FROM k GROUP BY ALL""",
     "pooled windows",
 )
 def _(spark, sf):
-    out = profiles.phase_kl(window_rows(spark, sf), KEYS, ["library"], pos="base", mask="masked")
+    stretch = F.explode(F.expr("sequence(start div 64, (end - 1) div 64)"))
+    hidden = sv.windows(spark, sf).select("chrom", F.col("start").alias("window_start"), stretch.alias("_s")).where("_s % 9 = 0")
+    at = F.col("_s") * 64 - F.col("window_start")
+    spans = hidden.select("chrom", "window_start", F.greatest(at, F.lit(0)).alias("start"), F.least(at + 64, F.lit(512)).alias("end"))
+    out = profiles.phase_kl(window_rows(spark, sf), KEYS, ["library"], pos="base", masked=spans)
     return rounded(out, "phase_kl")
 
 
-def local_sql(block, cp, tp):
-    return f"""WITH {WINROWS}, c AS (SELECT *, base // {block} AS b, CASE WHEN obs > 0 THEN pow(obs, {tp}) ELSE 0 END AS t FROM wr WHERE base < 512 - 512 % {block}),
-    tt AS (SELECT {CH}, b, sum(obs) AS n, sum(t) AS T, sum(pred) AS Q FROM c GROUP BY ALL),
-    k AS (SELECT {CH}, b, max(n) AS n, sum(CASE WHEN t > 0 THEN t / tt.T * (ln(t / tt.T) - ln(greatest(pred / greatest(Q, 1e-7), 1e-7))) ELSE 0 END) AS kl FROM c JOIN tt USING ({CH}, b) GROUP BY {CH}, b)
+def local_sql(block, cp, tp, keep):
+    return f"""WITH {WINROWS}, c AS (SELECT wr.*, base // {block} AS b, CASE WHEN obs > 0 THEN pow(obs, {tp}) ELSE 0 END AS tv FROM wr WHERE {keep} AND base < 512 - 512 % {block}),
+    tt AS (SELECT {CH}, b, sum(obs) AS n, sum(tv) AS TT, sum(pred) AS Q FROM c GROUP BY ALL),
+    k AS (SELECT {CH}, b, max(n) AS n, sum(CASE WHEN tv > 0 THEN tv / TT * (ln(tv / TT) - ln(greatest(pred / greatest(Q, 1e-7), 1e-7))) ELSE 0 END) AS kl FROM c JOIN tt USING ({CH}, b) GROUP BY {CH}, b)
     SELECT library, round(sum(pow(n, {cp}) * kl) / sum(pow(n, {cp})), {R}) AS local_kl, count(*) AS n_blocks FROM k WHERE n > 0 GROUP BY ALL"""
 
 
-@query("local_block_kl", local_sql(32, "1.0", "1.0").replace("c AS (SELECT *,", "c AS (SELECT wr.*,").replace("AS t FROM wr", "AS tv FROM wr").replace("sum(t) AS T", "sum(tv) AS TT").replace("t > 0 THEN t / tt.T * (ln(t / tt.T)", "tv > 0 THEN tv / TT * (ln(tv / TT)"), "pooled windows")
+@query("local_block_kl", local_sql(32, "1.0", "1.0", "NOT masked"), "pooled windows")
 def _(spark, sf):
-    out = profiles.local_kl(window_rows(spark, sf), KEYS, ["library"], pos="base", block=32)
+    out = profiles.local_kl(window_rows(spark, sf), KEYS, ["library"], pos="base", block=32, mask="masked")
     return rounded(out, "local_kl")
 
 
-@query("tempered_local_kl", local_sql(128, "0.5", "0.7").replace("c AS (SELECT *,", "c AS (SELECT wr.*,").replace("AS t FROM wr", "AS tv FROM wr").replace("sum(t) AS T", "sum(tv) AS TT").replace("t > 0 THEN t / tt.T * (ln(t / tt.T)", "tv > 0 THEN tv / TT * (ln(tv / TT)"), "pooled windows")
+@query("tempered_local_kl", local_sql(128, "0.5", "0.7", "TRUE"), "pooled windows")
 def _(spark, sf):
     out = profiles.local_kl(
         window_rows(spark, sf), KEYS, ["library"], pos="base", block=128, count_power=0.5, target_power=0.7
@@ -146,7 +152,7 @@ def _(spark, sf):
     f"""WITH k AS (SELECT w.chrom, w.start, p.condition, p.library, p.strand, sum(p.value) AS t, list(p.value) AS vs FROM windows w
        JOIN pooled p ON p.chrom = w.chrom AND p.pos >= w.start AND p.pos < w."end" GROUP BY ALL),
     kl AS (SELECT condition, library, strand, list_sum(list_transform(vs, lambda v: v / t * (ln(v / t) - ln(1.0 / 512)))) AS kl FROM k)
-    SELECT condition, library, strand, round(avg(kl), {R}) AS profile_kl, count(kl) AS kl_windows, 0 AS kl_skipped FROM kl GROUP BY ALL""",
+    SELECT condition, library, strand, round(avg(kl), {R}) AS profile_kl, count(kl) AS kl_windows, (SELECT count(*) FROM windows) - count(kl) AS kl_skipped FROM kl GROUP BY ALL""",
     "pooled windows",
 )
 def _(spark, sf):
@@ -154,7 +160,7 @@ def _(spark, sf):
     out = profiles.uniform_kl(
         hits.select(*KEYS[:4], F.col("start").alias("window_start"), F.col("value").alias("obs")), KEYS, 512
     )
-    return rounded(profiles.mean_kl(out, ["condition", "library", "strand"]), "profile_kl")
+    return rounded(profiles.mean_kl(out, ["condition", "library", "strand"], sv.windows(spark, sf)), "profile_kl")
 
 
 @query(

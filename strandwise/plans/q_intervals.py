@@ -28,12 +28,12 @@ def gene_table(spark, sf):
 
 
 def sparse_spans(spark, sf):
-    """Every seventh day's orders, shortened, so that merging leaves islands."""
-    s = sv.spans(spark, sf).where("start % 7 = 0")
-    return s.withColumn("end", F.col("start") + F.col("span_id") % 8 + 1)
+    """All orders, moved to every seventh day and shortened, so that merging leaves islands."""
+    s = sv.spans(spark, sf).withColumn("start", F.col("start") - F.col("start") % 7)
+    return s.withColumn("end", F.col("start") + F.col("span_id") % 6 + 1)
 
 
-SPARSE = """sparse AS (SELECT span_id, chrom, start, start + span_id % 8 + 1 AS "end" FROM spans WHERE start % 7 = 0)"""
+SPARSE = """sparse AS (SELECT span_id, chrom, start - start % 7 AS start, start - start % 7 + span_id % 6 + 1 AS "end" FROM spans)"""
 
 
 @query("merge_spans", f"WITH {SPARSE} {islands('chrom', 'sparse')}", "spans")

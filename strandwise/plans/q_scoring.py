@@ -275,13 +275,13 @@ def _(spark, sf):
     f"""WITH h AS (SELECT *, {HASH.format(seed=3, id='row_idx')} AS h FROM labelled),
     a AS (SELECT row_idx FROM h WHERE codon_class <> 'non_cognate' AND (split <> 'train' OR label = 1)),
     b AS (SELECT row_idx FROM h WHERE codon_class <> 'non_cognate' AND split = 'train' AND label = 0 ORDER BY h, row_idx LIMIT 4000),
-    c AS (SELECT row_idx FROM h WHERE codon_class = 'non_cognate' AND split = 'test' ORDER BY h, row_idx LIMIT 1000)
+    c AS (SELECT row_idx FROM h WHERE codon_class = 'non_cognate' AND split = 'test')
     SELECT row_idx AS src_row_idx, row_number() OVER (ORDER BY row_idx) - 1 AS row_idx FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)""",
     "labelled",
 )
 def _(spark, sf):
     rows = sv.labelled(spark, sf).select("row_idx", "label", "split", "codon_class")
-    s = sampling.store_selection(rows, "row_idx", "label", 4000, 1000, 3)
+    s = sampling.store_selection(rows, "row_idx", "label", 4000, seed=3)
     return s.select("src_row_idx", "row_idx")
 
 

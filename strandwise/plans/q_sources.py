@@ -288,7 +288,7 @@ def _(spark, sf):
     "coordinate_columns",
     """SELECT chrom, strand, gpos, CASE chrom WHEN 'chr7' THEN 'val' WHEN 'chr8' THEN 'test' WHEN 'chr9' THEN 'test' ELSE 'train' END AS split,
       CASE WHEN strand = '-' THEN gpos + 1 ELSE gpos END AS locus, CASE WHEN strand = '-' THEN gpos - 5 + 1 ELSE gpos + 5 END AS centre,
-      split_part(condition || '_x', '_', 1) AS line, region, count(*) AS n FROM cand GROUP BY ALL""",
+      CASE WHEN split_part(condition, '_', 1) = 'RPE1' THEN 'RPE1' ELSE condition END AS line, region, count(*) AS n FROM cand GROUP BY ALL""",
     "cand",
 )
 def _(spark, sf):
@@ -297,7 +297,7 @@ def _(spark, sf):
     return c.groupBy(
         "chrom", "strand", "gpos", co.split_of(F.col("chrom")).alias("split"), locus.alias("locus"),
         co.candidate_centre(locus, F.col("strand"), 5).alias("centre"),
-        co.line_of(F.concat("condition", F.lit("_x"))).alias("line"), "region",
+        co.line_of(F.col("condition")).alias("line"), "region",
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -313,7 +313,7 @@ MASK = """p.library <> 'rna' AND EXISTS (SELECT 1 FROM off_genes g WHERE g.condi
     t AS (SELECT condition, library, strand, chrom, ws, sum(obs) AS T, sum(pred) AS Q FROM wr GROUP BY ALL),
     kl AS (SELECT condition, library, strand, chrom, ws, CASE WHEN max(T) > 0 THEN sum(CASE WHEN obs > 0 THEN obs / T * (ln(obs / T) - ln(greatest(pred / Q, 1e-7))) ELSE 0 END) END AS kl
        FROM wr JOIN t USING (condition, library, strand, chrom, ws) GROUP BY ALL),
-    mk AS (SELECT condition, library, strand, avg(kl) AS profile_kl, count(kl) AS kl_windows, count(*) - count(kl) AS kl_skipped FROM kl GROUP BY ALL),
+    mk AS (SELECT condition, library, strand, avg(kl) AS profile_kl, count(kl) AS kl_windows, (SELECT count(*) FROM windows) - count(kl) AS kl_skipped FROM kl GROUP BY ALL),
     ov AS (SELECT e.condition, e.strand, e.gene, bool_or(e.start >= w.start AND e."end" <= w."end") AS inside FROM on_genes e JOIN windows w ON e.chrom = w.chrom AND e.start < w."end" AND e."end" > w.start GROUP BY ALL),
     gc AS (SELECT condition, strand, count(*) FILTER (inside) AS n_genes, count(*) FILTER (NOT inside) AS genes_excluded FROM ov GROUP BY ALL),
     gt AS (SELECT e.condition, e.strand, l.library, e.gene, coalesce(sum(p.rep1), 0) AS o, coalesce(sum(p.rep2), 0) AS q FROM on_genes e JOIN ov USING (condition, strand, gene)

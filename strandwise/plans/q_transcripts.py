@@ -395,13 +395,13 @@ def _(spark, sf):
 
 @query(
     "window_codon_match",
-    f"""WITH {CODONS}, r AS (SELECT c.*, s.seq FROM cod c JOIN seqs s USING (doc_id) WHERE c.mrna_index % 97 = 5)
+    f"""WITH {CODONS}, r AS (SELECT c.*, s.seq FROM cod c JOIN seqs s USING (doc_id))
     SELECT count(*) AS n, count(*) FILTER (substr(seq, mrna_index::BIGINT + 1, 3) = codon) AS n_match FROM r""",
     "seqs",
 )
 def _(spark, sf):
     s = sv.sequences(spark, sf)
-    c = transcripts.enumerate_codons(s, ["doc_id"]).where("mrna_index % 97 = 5")
+    c = transcripts.enumerate_codons(s, ["doc_id"])
     req = c.select(
         "doc_id", "mrna_index", "codon", (F.col("mrna_index") - 20).alias("start"),
         (F.col("mrna_index") + 21).alias("end"), F.lit("+").alias("strand"),
@@ -416,7 +416,7 @@ def _(spark, sf):
 # Each transcript's exons are cut out of a document chosen by its gene.
 SPLICED = """lens AS (SELECT doc_id, length(seq) AS len, seq FROM seqs),
 se AS (SELECT e.tx, e.strand, e.start, d.doc_id, e.start % greatest(1, d.len) AS s, (e.start % greatest(1, d.len)) + (e."end" - e.start) AS e, d.seq, e.off
-   FROM exon_off e JOIN lens d ON d.doc_id = e.gene % 200),
+   FROM exon_off e JOIN lens d ON d.doc_id = e.gene % (SELECT count(*) FROM seqs)),
 piece AS (SELECT tx, off, CASE WHEN strand = '-' THEN reverse(translate(x, 'ACGTN', 'TGCAN')) ELSE x END AS x FROM (
    SELECT tx, strand, off, rpad(substr(seq, s + 1, e - s), (e - s)::INTEGER, 'N') AS x FROM se))"""
 
@@ -424,7 +424,8 @@ piece AS (SELECT tx, off, CASE WHEN strand = '-' THEN reverse(translate(x, 'ACGT
 def spliced(spark, sf):
     s = sv.sequences(spark, sf)
     lens = s.select("doc_id", F.greatest(F.length("seq"), F.lit(1)).cast("long").alias("len"))
-    e = exon_table(spark, sf).withColumn("doc_id", F.col("gene") % 200).join(lens, "doc_id")
+    n = s.agg(F.count(F.lit(1))).scalar()
+    e = exon_table(spark, sf).withColumn("doc_id", F.col("gene") % n).join(lens, "doc_id")
     s0 = F.col("start") % F.col("len")
     moved = e.withColumn("_n", F.col("end") - F.col("start")).withColumn("start", s0)
     moved = moved.withColumn("end", F.col("start") + F.col("_n"))

@@ -22,12 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table in fewer files than cores, spread before rows are multiplied; others unchanged."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
-
-
 def _pick(n: Column, names: tuple[str, ...]) -> Column:
     out = F.when(n == 0, names[0])
     for i, v in enumerate(names[1:-1], 1):
@@ -156,7 +150,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def sequences(spark: SparkSession, sf: str) -> DataFrame:
     """Documents read as ACGT strings."""
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents").repartition("doc_id")  # rows multiply from here on
     letters = F.translate("text", *LETTERS)
     return d.select("doc_id", F.regexp_replace(letters, "[^ACGT]", "").alias("seq"))
 

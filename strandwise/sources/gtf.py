@@ -14,11 +14,15 @@ TAG = 'tag "MANE_Select"'
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(line_no, text)``: an explicit line order, needed where the first row wins.
 
-    The order is ``(file, byte block, row in block)`` as one growing number.
+    The order is that of files by name, of the blocks read from a file, and of the rows in a block: a
+    struct that compares by file, block start and row.
     """
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("text")
+    at = F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
     )
+    return spark.read.text(path).select(at.alias("line_no"), F.col("value").alias("text"))
 
 
 def attribute(text: Column, name: str) -> Column:
