@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import concordance, peaks, profiles
+from strandwise.functions import numeric
+from strandwise.operators import concordance, peaks, profiles, reports
 from tests.conftest import rows_of
 
 EPS = 1e-7
@@ -228,3 +229,54 @@ def test_pause_peaks(frame):
 def test_class_of(frame):
     df = frame("c string, u boolean", ("atg", True), ("CTG", False))
     assert [r[0] for r in df.select(peaks.class_of(F.col("c"), F.col("u"))).collect()] == [["atg", "utr5"], ["nc"]]
+
+
+def test_small_spread_about_a_large_mean_correlates(frame):
+    rows = frame("x double, y double", *[(10_000 + v, 10_000 + v) for v in (0.0, 0.1, 0.2)])
+    n, r, varies = numeric.corr_agg(F.col("x"), F.col("y"))
+    assert rows.agg(numeric.pearson_or_zero(n, r, varies).alias("r")).first().r == pytest.approx(1.0)
+    flat = frame("x double, y double", (3.0, 1.0), (3.0, 2.0))
+    assert flat.agg(numeric.pearson_or_zero(n, r, varies).alias("r")).first().r == 0.0
+
+
+def test_absent_rows_are_zeros(frame):
+    x, y = np.array([3.0, 0, 0, 5, 1, 0]), np.array([2.0, 0, 0, 4, 0, 0])
+    rows = frame("x double, y double", *[(float(a), float(b)) for a, b in zip(x, y, strict=True) if a or b])
+    n, r, varies = numeric.corr_agg(F.col("x"), F.col("y"), F.lit(6))
+    assert rows.agg(r.alias("r")).first().r == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_masked_span_without_reads_skips_its_block(frame):
+    rows = frame("k string, pos long, length int, obs double, pred double", *[("a", i, 60, 1.0 + i % 3, 1.0) for i in range(60) if i != 7])
+    masked = frame("k string, start long, end long", ("a", 7, 8))
+    whole = profiles.phase_kl(rows, ["k"], ["k"]).first()
+    cut = profiles.phase_kl(rows, ["k"], ["k"], masked=masked).first()
+    assert whole.n_obs == sum(1 + i % 3 for i in range(60) if i != 7) and cut.n_obs == 60
+    none = profiles.phase_kl(rows, ["k"], ["k"], masked=masked.where("false")).first()
+    assert none.phase_kl == whole.phase_kl
+
+
+def test_silent_windows_are_skipped_ones(frame):
+    kls = frame("k string, w long, kl double", ("a", 1, 0.5), ("a", 2, None))
+    windows = frame("w long", (1,), (2,), (3,))
+    got = profiles.mean_kl(kls, ["k"], windows).first()
+    assert (got.kl_windows, got.kl_skipped) == (1, 2)
+
+
+def test_local_mask_leaves_rows_out(frame, pair):
+    obs, pred = pair
+    rows = long(frame, obs, pred)
+    a = profiles.local_kl(rows, ["k"], ["k"], block=32, mask="masked").first()
+    b = profiles.local_kl(rows.where("not masked"), ["k"], ["k"], block=32).first()
+    assert a == b
+
+
+def test_stored_run_needs_one_ensemble_of_each_metric(frame):
+    strata = frame("arm string, stratum string, metric string, value double", ("a", "s", "m", 1.0))
+    cis = frame("arm string, metric string, ci_low double, ci_high double", ("a", "m", 0.0, 1.0))
+    shape = "arm string, seed string, metric string, value double"
+    good = [("a", "ensemble", "m", 1.0), ("a", "1", "m", 1.0), ("b", "ensemble", "other", 2.0)]
+    problem = lambda rows: {r.problem for r in reports.stored_run(frame(shape, *rows), strata, cis, "a").collect()}
+    assert problem(good) == {None}
+    assert problem([*good, ("a", "1", "n", 1.0)]) == {"not_one_ensemble_row"}
+    assert problem([*good, good[0]]) == {"not_one_ensemble_row"}

@@ -5,7 +5,7 @@ import pytest
 from strandwise.operators import reports
 from strandwise.operators.quality import QualityError
 from strandwise.session import durable, shared_folder
-from strandwise.sources import tables
+from strandwise.sources import gtf, tables
 from tests.conftest import rows_of
 
 
@@ -87,6 +87,29 @@ def test_durable(spark, frame):
     assert shared_folder(spark) == shared_folder(spark)
 
 
+def test_shared_folder_of_a_cluster_must_be_set():
+    class Unset:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "spark://host:7077"
+        getConf = Unset
+
+    class Session:
+        conf, sparkContext = Unset(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())
+
+
+def test_read_lines_keep_the_order_of_files(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.gtf").write_text("".join(f"{i}-{j}\n" for j in range(4)))
+    rows = gtf.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    assert [r.text for r in rows] == [f"{i}-{j}" for i in range(3) for j in range(4)]
+
+
 def test_stored_run_needs_one_row(frame):
     m = frame("arm string, seed string, metric string, value double", ("a", "ensemble", "auprc", 0.5), ("a", "ensemble", "auprc", 0.6))
     s = frame("arm string, stratum string, metric string, value double", ("a", "AUG", "auprc", 0.7))

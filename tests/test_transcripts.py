@@ -111,9 +111,11 @@ def test_codon_functions(frame):
 
 
 def test_three_state_and_locus(frame):
-    df = frame("v string", ("True",), ("0",), ("",), (None,), ("x",))
+    df = frame("v string", ("True",), ("0",), ("",), (None,), ("x",), ("1.0",), ("0.0",))
     got = [tuple(r) for r in df.select(coords.three_state(F.col("v")), coords.bad_flag(F.col("v"))).collect()]
-    assert got == [(True, False), (False, False), (None, False), (None, False), (None, True)]
+    assert got == [(True, False), (False, False), (None, False), (None, False), (None, True), (True, False), (False, False)]
+    lines = frame("c string", ("RPE1_Que",), ("K_1",), ("HeLa",)).select(coords.line_of(F.col("c")).alias("l"))
+    assert [r.l for r in lines.collect()] == ["RPE1", "K_1", "HeLa"]
     one = frame("l string", ("chr1:10-13:-",)).select(coords.parse_locus(F.col("l")).alias("p")).first().p
     assert tuple(one) == ("chr1", 10, 13, "-", 12)
 

@@ -47,10 +47,10 @@ def test_load_truth(frame, annotation):
     got = rows_of(t, "gpos", "tx_pos", "codon_class", "region", "reproducible", "split", "line")
     assert got == [
         (101, 1, "AGG", "utr5", True, "val", "RPE1"),
-        (105, 5, "AUG", "annotated", True, "val", "K"),
+        (105, 5, "AUG", "annotated", True, "val", "K_1"),
         (201, 11, "AAG", "cds_inframe", False, "val", "RPE1"),
-        (214, 5, "AUG", "annotated", True, "train", "K"),
-        (219, 0, "other_near_cognate", "utr5", False, "train", "K"),
+        (214, 5, "AUG", "annotated", True, "train", "K_1"),
+        (219, 0, "other_near_cognate", "utr5", False, "train", "K_1"),
     ]
     quality.require_clean(
         quality.truth_violations(t, ("condition", "chrom", "gpos", "codon", "split")), "truth"
