@@ -211,16 +211,26 @@ def training_windows(text: str, near: int = 4, every: int = 60) -> list[list[tup
     return out
 
 
-def fit(docs: DataFrame, sample: int = 2_000, most: int = 6_000) -> Field:
-    """A field learned from the base matches of at most ``sample`` documents: half of them with matches, half any.
+#: The patterns as Spark's own regular expression, to choose documents to learn from.
+ANY = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|(?-i)[0-9a-f]{24}"""
 
-    Documents are chosen by a hash of the text, so reruns agree; of their windows at most ``most`` are used.
+
+def fit(docs: DataFrame, sample: int = 2_000, most: int = 6_000, pool: int = 40) -> Field:
+    """A field learned from the base matches of about ``sample`` documents: half of them with matches, half any.
+
+    Documents are drawn by a hash of id and text: those to look for matches from ``pool`` times ``sample``.
+    What comes to the driver is bounded by twice the sample, and of the windows at most ``most`` are used.
     """
-    keyed = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").isNotNull())
-    some = keyed.where(F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")).orderBy("h").limit(sample // 2)
-    rest = keyed.orderBy("h").limit(sample // 2)
-    texts = [r["text"] for r in some.select("text").union(rest.select("text")).collect()]
-    windows = [w for t in dict.fromkeys(texts) for w in training_windows(t)]
+    span = 1 << 40
+    keyed = docs.where(F.col("text").isNotNull()).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)).alias("h"))
+    part = span / max(docs.count(), 1)
+    drawn = keyed.where(F.col("h") < int(min(span, part * sample * pool)))
+    matching = drawn.where(F.col("text").rlike(ANY))
+    have = matching.count()
+    some = matching.where(F.col("h") < int(min(span, part * sample * pool * min(1.0, sample / 2 / max(have, 1))))).limit(sample)
+    rest = keyed.where(F.col("h") < int(min(span, part * sample / 2))).limit(sample)
+    texts = sorted({r["text"] for r in [*some.select("text").collect(), *rest.select("text").collect()]})
+    windows = [w for t in texts for w in training_windows(t)]
     windows = windows[:: max(1, -(-len(windows) // most))]
     return fit_field(windows) if windows else Field({}, np.array([[0.0, -9, -1e4], [0, -9, -9], [0, -9, -9]]))
 
