@@ -6,8 +6,10 @@ row expression and needs no shuffle. The exploded exon table is only used to joi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,32 +147,52 @@ def chunk_sequence(
 ) -> DataFrame:
     """Sequences cut into ``(chunk_start, chunk)`` rows, each with ``overlap`` extra bases.
 
-    Work on a long text then costs its length once, and spreads over chunks.
+    A text is cut in one pass, so the work is in proportion to its length and spreads over chunks.
     """
-    n = F.length("seq")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(size))
-    return sequences.select(
-        *key, n.cast("long").alias("length"), "seq", F.explode(starts).alias("_s")
-    ).select(
-        *key,
-        "length",
-        F.col("_s").cast("long").alias("chunk_start"),
-        F.substring(F.col("seq"), F.col("_s") + 1, F.lit(size + overlap)).alias("chunk"),
-    )
+    cut = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    parts = F.when(F.length("seq") == 0, F.array(F.lit(""))).otherwise(cut)
+    rows = sequences.select(*key, F.length("seq").cast("long").alias("length"), parts.alias("_p"))
+    if overlap:
+        ahead = lambda i: F.coalesce(F.substring(F.get("_p", i + 1), 1, overlap), F.lit(""))
+        rows = rows.withColumn("_p", F.transform("_p", lambda x, i: F.concat(x, ahead(i))))
+    rows = rows.select(*key, "length", F.posexplode("_p").alias("_i", "chunk"))
+    return rows.select(*key, "length", (F.col("_i").cast("long") * size).alias("chunk_start"), "chunk")
+
+
+def _triplets(keys: Sequence[str]):
+    """Arrow batches of chunks to (keys, length, mrna_index, codon) of every triplet without an N."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 32):
+                part = batch.slice(lo, 32)
+                texts = part.column("chunk").cast(pa.binary()).to_pylist()
+                if not any(texts):
+                    continue
+                base = np.frombuffer(b"".join(texts).upper() + b"NN", np.uint8)
+                if base.max() > 127:
+                    raise ValueError("sequences must be ASCII letters")
+                sizes = np.array([len(t) for t in texts])
+                row = np.repeat(np.arange(len(texts)), sizes)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                plain = base != ord("N")
+                at = np.flatnonzero((place < sizes[row] - 2) & plain[:-2] & plain[1:-1] & plain[2:])
+                letters = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(base, 3)[at])
+                ends = np.arange(0, 3 * len(at) + 1, 3, dtype=np.int32)
+                codons = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(letters))
+                index = part.column("chunk_start").to_numpy()[row[at]] + place[at]
+                own = {k: part.column(k).take(pa.array(row[at])) for k in [*keys, "length"]}
+                yield pa.RecordBatch.from_pydict(own | {"mrna_index": pa.array(index), "codon": codons})
+
+    return run
 
 
 def enumerate_codons(sequences: DataFrame, key: Sequence[str]) -> DataFrame:
     """Every reading position 0..L-3 with its codon and class; codons with an N are skipped."""
     chunks = chunk_sequence(sequences, key, overlap=2)
-    # A look-ahead match yields every overlapping triplet of the chunk in one pass.
-    triplets = F.regexp_extract_all(F.upper("chunk"), F.lit("(?s)(?=(...))"), F.lit(1))
-    rows = chunks.select(*key, "length", "chunk_start", F.posexplode(triplets).alias("_i", "codon"))
-    return (
-        rows.where(~F.contains(F.col("codon"), F.lit("N")))
-        .withColumn("mrna_index", F.col("chunk_start") + F.col("_i"))
-        .withColumn("codon_class", candidate_class(F.col("codon")))
-        .select(*key, "length", "mrna_index", "codon", "codon_class")
-    )
+    shape = chunks.select(*key, "length", F.col("chunk_start").alias("mrna_index"), F.col("chunk").alias("codon")).schema
+    rows = chunks.mapInArrow(_triplets(key), shape)
+    return rows.withColumn("codon_class", candidate_class(F.col("codon")))
 
 
 def fetch_windows(
