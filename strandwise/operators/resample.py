@@ -1,13 +1,12 @@
 """Counting noise: expected counts, depth matching and seeded draws.
 
-Every draw is seeded by the key of its own row, so neither partitioning nor a lost task changes
-the numbers.
+Every draw is seeded by the key of its own block or transcript, so neither partitioning nor a lost
+task changes the numbers.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandwise.functions.numeric import safe_ratio
+from strandwise.operators.scans import block_of
 
 
 def expected_counts(pooled: DataFrame, fractions: DataFrame) -> DataFrame:
@@ -35,70 +35,48 @@ def depth_factors(predicted: DataFrame, real: DataFrame) -> DataFrame:
     )
 
 
+def _generator(seed: int, *key: object) -> np.random.Generator:
+    """A generator that follows from the seed and all 128 bits of the key's digest."""
+    digest = hashlib.md5(":".join(map(str, key)).encode()).digest()
+    return np.random.default_rng([seed, *np.frombuffer(digest, dtype="<u4")])
+
+
 def draw_counts(expectations: DataFrame, seed: int, copies: int = 1) -> DataFrame:
     """Poisson counts per row: ``copies * Poisson(value / copies)``.
 
-    One generator per row, seeded by its own key, through Arrow batches.
+    A channel's block of positions has one generator and is drawn in one call, in the order of its positions.
     """
-    keys = ["condition", "library", "rep", "chrom", "strand", "pos"]
+    channel = ["condition", "library", "rep", "chrom", "strand"]
+    keys = [*channel, "pos"]
     schema = expectations.select(*keys).schema.simpleString()[7:-1]
 
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            text = (
-                b.condition + ":" + b.library + ":" + b.rep.astype(str) + ":" + b.chrom + ":"
-                + b.strand + ":" + b.pos.astype(str)
-            )
-            rates = np.maximum(b.value.to_numpy(float), 0.0) / copies
-            counts = [
-                np.random.default_rng([seed, zlib.crc32(t.encode())]).poisson(r)
-                for t, r in zip(text, rates, strict=True)
-            ]
-            out = b[keys].copy()
-            out["value"] = copies * np.asarray(counts, dtype=float)
-            yield out[out["value"] > 0]
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["pos", "value"], kind="stable")
+        rates = np.maximum(rows["value"].to_numpy(float), 0.0) / copies
+        out = rows[keys].copy()
+        out["value"] = copies * _generator(seed, *key).poisson(rates).astype(float)
+        return out[out["value"] > 0]
 
-    return expectations.select(*keys, "value").mapInPandas(draw, f"{schema},value:double")
+    blocked = expectations.select(*keys, F.col("value").cast("double").alias("value"))
+    return blocked.groupBy(*channel, block_of("pos").alias("_blk")).applyInPandas(draw, f"{schema},value:double")
 
 
 def draw_to_depth(rows: DataFrame, depth: DataFrame, seed: int) -> DataFrame:
     """Redistribute each transcript's read count over its positions, in proportion to ``value``.
 
-    A multinomial split by independent reads: read ``i`` of transcript ``t`` lands where a seeded
-    uniform falls in the cumulative profile. ``depth``: ``condition, tx, reads``. Reads are
-    spread over tasks, so a deep transcript is not drawn in one.
+    One multinomial draw for each transcript, whose work is in proportion to its positions, not to its reads.
+    ``depth``: ``condition, tx, reads``; reads are rounded, half to even.
     """
-    from strandwise.functions.arrays import stable_hash
-    from strandwise.operators.scans import block_of, block_running
-
     keys = ["condition", "tx"]
-    positive = rows.where("value > 0").withColumn("_blk", block_of("tx_pos"))
-    positive = positive.withColumn("_one", F.lit(1).cast("long"))
-    run = block_running(
-        positive,
-        keys,
-        "_blk",
-        [F.col("tx_pos")],
-        {"_hi": "value"},
-        totals={"_all": "value", "_cells": "_one"},
-    )
-    # As many cells as positions: a read then meets about two candidate spans.
-    cell = lambda c: F.least(F.floor(c * F.col("_cells")), F.col("_cells") - 1).cast("long")
-    spans = run.select(
-        *keys,
-        "tx_pos",
-        "_cells",
-        ((F.col("_hi") - F.col("value")) / F.col("_all")).alias("_from"),
-        (F.col("_hi") / F.col("_all")).alias("_to"),
-    )
-    spread = spans.withColumn("_c", F.explode(F.sequence(cell(F.col("_from")), cell(F.col("_to")))))
-    sizes = spans.groupBy(*keys).agg(F.max("_cells").alias("_cells"))
-    reads = depth.where("reads > 0").join(sizes, keys).select(
-        *keys,
-        "_cells",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("reads").cast("long"))).alias("_i"),
-    )
-    u = stable_hash(F.lit(seed), F.col("condition"), F.col("tx"), F.col("_i")) / float(1 << 32)
-    dropped = reads.withColumn("_u", u).withColumn("_c", cell(F.col("_u"))).drop("_cells")
-    hit = dropped.join(spread, [*keys, "_c"]).where("_u >= _from AND _u < _to")
-    return hit.groupBy(*keys, "tx_pos").agg(F.count(F.lit(1)).cast("double").alias("value"))
+    reads = depth.select(*keys, F.rint("reads").cast("long").alias("_n")).where("_n > 0")
+    schema = rows.select(*keys, "tx_pos").schema.simpleString()[7:-1]
+
+    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["tx_pos", "value"], kind="stable")
+        share = part["value"].to_numpy(float)
+        out = part[[*keys, "tx_pos"]].copy()
+        out["value"] = _generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
+        return out[out["value"] > 0]
+
+    positive = rows.where("value > 0").select(*keys, "tx_pos", F.col("value").cast("double").alias("value"))
+    return positive.join(reads, keys).groupBy(*keys).applyInPandas(draw, f"{schema},value:double")

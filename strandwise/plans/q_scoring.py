@@ -343,16 +343,35 @@ def poisson_resample(spark, sf):
     return resample.draw_counts(shares.withColumn("value", F.col("value") * F.col("fraction")), 5)
 
 
+# What holds of any right draw: nothing where the rate is zero, and a total within six deviations.
+@query(
+    "poisson_resample_facts",
+    "SELECT condition, library, rep, 0 AS off_support, TRUE AS total_fits FROM track WHERE value > 0 GROUP BY ALL",
+    "track",
+)
+def _(spark, sf):
+    t = track(spark, sf).where("value > 0")
+    drawn = resample.draw_counts(t.select("condition", "library", "rep", "chrom", "strand", "pos", (F.col("value") / 2).alias("value")), 7)
+    keys = ["condition", "library", "rep", "chrom", "strand", "pos"]
+    both = t.select(*keys, (F.col("value") / 2).alias("rate")).join(drawn, keys, "full_outer")
+    out = both.groupBy("condition", "library", "rep").agg(
+        F.count(F.when(F.col("rate").isNull(), 1)).alias("off_support"), F.sum("rate").alias("m"), F.coalesce(F.sum("value"), F.lit(0.0)).alias("v")
+    )
+    return out.select("condition", "library", "rep", "off_support", (F.abs(F.col("v") - F.col("m")) <= 6 * F.sqrt("m") + 1).alias("total_fits"))
+
+
 @query(
     "resampled_depth_totals",
-    "SELECT condition, tx, sum(rep1) AS value FROM txtrack WHERE library = 'tis' GROUP BY ALL HAVING sum(rep1) > 0",
+    "SELECT condition, tx, sum(rep1) AS value, 0 AS off_support FROM txtrack WHERE library = 'tis' GROUP BY ALL HAVING sum(rep1) > 0",
     "txtrack",
 )
 def _(spark, sf):
     t = txtrack(spark, sf).where("library = 'tis'")
     depth = t.groupBy("condition", "tx").agg(F.sum("rep1").alias("reads"))
     drawn = resample.draw_to_depth(t.select("condition", "tx", "tx_pos", "value"), depth, 5)
-    return drawn.groupBy("condition", "tx").agg(F.sum("value").alias("value"))
+    own = t.where("value > 0").select("condition", "tx", "tx_pos", F.lit(1).alias("own"))
+    both = drawn.join(own, ["condition", "tx", "tx_pos"], "left")
+    return both.groupBy("condition", "tx").agg(F.sum("value").alias("value"), F.count(F.when(F.col("own").isNull(), 1)).alias("off_support"))
 
 
 @query(

@@ -148,7 +148,7 @@ def test_draws_ignore_partitions(frame):
 def test_draw_to_depth_keeps_totals_and_shape(frame):
     rows = [("K", t, p, float(1 + (p == 7) * 20)) for t in (1, 2) for p in range(0, 40)]
     df = frame("condition string, tx long, tx_pos long, value double", *rows)
-    depth = frame("condition string, tx long, reads double", ("K", 1, 3000.0), ("K", 2, 11.0))
+    depth = frame("condition string, tx long, reads double", ("K", 1, 3000.0), ("K", 2, 10.9))
     got = resample.draw_to_depth(df, depth, 9)
     totals = {r.tx: r.t for r in got.groupBy("tx").agg(F.sum("value").alias("t")).collect()}
     assert totals == {1: 3000.0, 2: 11.0}
