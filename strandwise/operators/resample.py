@@ -7,6 +7,7 @@ task changes the numbers.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,38 @@ def _generator(seed: int, *key: object) -> np.random.Generator:
     return np.random.default_rng([seed, *np.frombuffer(digest, dtype="<u4")])
 
 
+def _drawn(rows: DataFrame, keys: list[str], order: list[str], schema: str, draw: Callable[[tuple, pd.DataFrame], np.ndarray]) -> DataFrame:
+    """``rows`` with ``value`` replaced by what ``draw`` gives for each group of ``keys``, zeros left out.
+
+    Groups stand together in sorted partitions and pass by in batches: a task holds one batch and one group.
+    """
+    names = [part.split(":")[0].split()[0] for part in schema.split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def finish() -> pd.DataFrame:
+            whole = pd.concat(held, ignore_index=True)
+            parts = [draw(key, part) for key, part in whole.groupby(keys, sort=False)]
+            whole["value"] = np.concatenate(parts)
+            held.clear()
+            return whole.loc[whole["value"] > 0, names]
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = (batch[keys] != batch[keys].iloc[-1]).any(axis=1).to_numpy()
+            cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+            if cut or (held and (held[-1][keys].iloc[-1] != batch[keys].iloc[0]).any()):
+                held.append(batch.iloc[:cut])
+                yield finish()
+            held.append(batch.iloc[cut:])
+        if held:
+            yield finish()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
 def draw_counts(expectations: DataFrame, seed: int, copies: int = 1) -> DataFrame:
     """Poisson counts per row: ``copies * Poisson(value / copies)``.
 
@@ -48,17 +81,14 @@ def draw_counts(expectations: DataFrame, seed: int, copies: int = 1) -> DataFram
     """
     channel = ["condition", "library", "rep", "chrom", "strand"]
     keys = [*channel, "pos"]
-    schema = expectations.select(*keys).schema.simpleString()[7:-1]
+    schema = expectations.select(*keys).schema.simpleString()[7:-1] + ",value:double"
 
-    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["pos", "value"], kind="stable")
+    def draw(key: tuple, rows: pd.DataFrame) -> np.ndarray:
         rates = np.maximum(rows["value"].to_numpy(float), 0.0) / copies
-        out = rows[keys].copy()
-        out["value"] = copies * _generator(seed, *key).poisson(rates).astype(float)
-        return out[out["value"] > 0]
+        return copies * _generator(seed, *key).poisson(rates).astype(float)
 
-    blocked = expectations.select(*keys, F.col("value").cast("double").alias("value"))
-    return blocked.groupBy(*channel, block_of("pos").alias("_blk")).applyInPandas(draw, f"{schema},value:double")
+    blocked = expectations.select(*keys, F.col("value").cast("double").alias("value"), block_of("pos").alias("_blk"))
+    return _drawn(blocked, [*channel, "_blk"], ["pos", "value"], schema, draw)
 
 
 def draw_to_depth(rows: DataFrame, depth: DataFrame, seed: int) -> DataFrame:
@@ -69,14 +99,11 @@ def draw_to_depth(rows: DataFrame, depth: DataFrame, seed: int) -> DataFrame:
     """
     keys = ["condition", "tx"]
     reads = depth.select(*keys, F.rint("reads").cast("long").alias("_n")).where("_n > 0")
-    schema = rows.select(*keys, "tx_pos").schema.simpleString()[7:-1]
+    schema = rows.select(*keys, "tx_pos").schema.simpleString()[7:-1] + ",value:double"
 
-    def draw(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["tx_pos", "value"], kind="stable")
+    def draw(key: tuple, part: pd.DataFrame) -> np.ndarray:
         share = part["value"].to_numpy(float)
-        out = part[[*keys, "tx_pos"]].copy()
-        out["value"] = _generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
-        return out[out["value"] > 0]
+        return _generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
 
     positive = rows.where("value > 0").select(*keys, "tx_pos", F.col("value").cast("double").alias("value"))
-    return positive.join(reads, keys).groupBy(*keys).applyInPandas(draw, f"{schema},value:double")
+    return _drawn(positive.join(reads, keys), keys, ["tx_pos", "value"], schema, draw)
