@@ -180,29 +180,41 @@ def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     return pairs, members.where(F.col("n") > crowd).select("cell", "key")
 
 
-def star_links(crowds: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links in large cells without all pairs: a hub of each cell meets all of the cell, until each member was linked or a hub.
-
-    Rounds go on while any cell has a member without a hub. That joins each cell to one cluster, or nearly so.
-    Where several are left, the members outside the largest one meet those of the other clusters, so
-    all that is connected inside a cell is found.
+def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """Links (a, b) in large cells without all pairs, so that all that is connected inside a cell stays connected.
+
+    The hub of a cell is the member whose shingles the most members hold: of a paragraph and its edited copies,
+    the paragraph. It meets all members. Let u be one that it is not similar to. Whatever is similar to u
+    then holds one of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
+    has in common with the hub are too few. So the shingles that the hub lacks make smaller cells, which go
+    the same way where they are large; the few u for which size decides meet the whole cell.
     """
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    left = crowds
-    while not left.isEmpty():
-        hubs = left.groupBy("cell").agg(F.min("key").alias("a"))
-        met = crowds.join(hubs, "cell").where("key <> a").select("cell", "a", F.col("key").alias("b"))
-        met = durable(similar(met, sets, threshold), "stars")
-        links = links.unionByName(met.select("a", "b"))
-        done = met.select("cell", F.col("b").alias("key")).unionByName(hubs.withColumnRenamed("a", "key"))
-        left = durable(left.join(done, ["cell", "key"], "left_anti"), "crowds")
-    roots = components(links)
-    named = durable(crowds.join(roots.withColumnRenamed("node", "key"), "key", "left").select("cell", "key", F.coalesce("root", "key").alias("root")), "clusters")
-    largest = named.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", "n").alias("largest"), F.count("*").alias("clusters"))
-    rest = named.join(largest.where("clusters > 1").drop("clusters"), "cell")
-    others = rest.select("cell", F.col("key").alias("b"), F.col("root").alias("rb"))
-    apart = rest.where("root <> largest").join(others, "cell").where("root <> rb and (rb = largest or key < b)")
-    return links.unionByName(similar(apart.select(F.col("key").alias("a"), "b").distinct(), sets, threshold))
+    share = threshold / (1 + threshold)
+    while not crowds.isEmpty():
+        members = durable(crowds.join(sets, "key"), "members")
+        each = members.select("cell", "key", F.explode("s").alias("x"))
+        common = each.groupBy("cell", "x").agg(F.count("*").alias("n"))
+        centre = each.join(common, ["cell", "x"]).groupBy("cell", "key").agg(F.avg("n").alias("n"))
+        hubs = centre.groupBy("cell").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("key"))
+        hubs = durable(members.join(hubs, ["cell", "key"]).select("cell", F.col("key").alias("hub"), F.col("s").alias("hs")), "hubs")
+        least = members.groupBy("cell").agg(F.min(F.size("s")).alias("least"))
+        met = members.join(hubs, "cell").where("key <> hub").join(least, "cell")
+        met = met.withColumn("both", F.size(F.array_intersect("s", "hs"))).withColumn("linked", F.col("both") >= threshold * (F.size("s") + F.size("hs") - F.col("both")))
+        met = durable(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
+        links = links.unionByName(met.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")))
+        apart = met.where("open").select("cell", F.col("key").alias("a")).join(members.select("cell", F.col("key").alias("b")), "cell").where("a <> b")
+        cells = met.select("cell", "key", (~F.col("linked")).cast("int").alias("out"), F.explode(F.array_except("s", "hs")).alias("x"))
+        # cells that hold the same members (the shingles of one edit) count once
+        sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("out").alias("out"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and out = 1")
+        sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
+        cells = durable(cells.drop("out").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
+        few = cells.where(F.col("n") <= crowd)
+        pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
+        pairs = pairs.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        links = links.unionByName(durable(similar(pairs.distinct(), sets, threshold), "links"))
+        crowds = cells.where(F.col("n") > crowd).select("cell", "key")
+    return links
 
 
 def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32) -> DataFrame:
@@ -242,7 +254,7 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
         more, still = small_cells(finer, crowd)
         links = links.unionByName(similar(more, sets, threshold))
         if not still.isEmpty():
-            links = links.unionByName(star_links(still, sets, threshold))
+            links = links.unionByName(hub_links(still, sets, threshold, crowd))
     roots = components(links.distinct())
     # pieces and paragraphs by class; first and last document tell whether there are several
     classed = durable(paragraphs.select("key").join(roots.withColumnRenamed("node", "key"), "key").select("key", "root"), "classes")

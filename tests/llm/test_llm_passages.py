@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 from strandwise.llm.common import components
-from strandwise.llm.passages import repeated_passages, star_links, tune_bands, without_passages
+from strandwise.llm.passages import hub_links, repeated_passages, tune_bands, without_passages
 
 
 def words(rng, n):
@@ -42,12 +44,21 @@ def test_edited_paragraphs_are_linked(spark):
     assert {r.keeper for r in got if r.words >= 55} == {0}
 
 
-def test_hubs_find_all_that_is_connected(spark):
+@pytest.mark.parametrize("crowd", [2, 6])
+def test_hubs_find_all_that_is_connected(spark, crowd):
     rng = random.Random(3)
-    sets = {k: sorted(rng.sample(range(100 * (k % 4), 100 * (k % 4) + 24), 20)) for k in range(60)}
+    base = list(range(56))
+    sets, families = {}, []
+    for k in range(90):  # a paragraph, copies with edits of five shingles each, copies of copies, and shorter ones
+        own = list(rng.choice(families) if families and rng.random() < 0.4 else base)
+        for _ in range(k and rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(0, 52)
+            own[at : at + 5] = [rng.randrange(10**6) + 100 for _ in range(5)]
+        families.append(own)
+        sets[k] = sorted({*own[: rng.choice([56, 56, 50])]})
     table = spark.createDataFrame(list(sets.items()), "key long, s array<long>")
     crowds = spark.createDataFrame([(1, k) for k in sets], "cell long, key long")
-    got = {r.node: r.root for r in components(star_links(crowds, table, 0.8)).collect()}
+    got = {r.node: r.root for r in components(hub_links(crowds, table, 0.8, crowd)).collect()}
     root = {k: k for k in sets}
 
     def find(k):
@@ -58,12 +69,13 @@ def test_hubs_find_all_that_is_connected(spark):
     for a in sets:
         for b in sets:
             common = len({*sets[a]} & {*sets[b]})
-            if a < b and common >= 0.8 * (40 - common):
+            if a < b and common >= 0.8 * (len(sets[a]) + len(sets[b]) - common):
                 root[find(a)] = find(b)
     slow, fast = {}, {}
     for k in sets:
         slow.setdefault(find(k), set()).add(k)
         fast.setdefault(got.get(k, k), set()).add(k)
+    assert 1 < len(slow) < len(sets)
     assert sorted(map(sorted, slow.values())) == sorted(map(sorted, fast.values()))
 
 
