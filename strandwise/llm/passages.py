@@ -185,9 +185,10 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int)
 
     The hub of a cell is the member whose shingles the most members hold: of a paragraph and its edited copies,
     the paragraph. It meets all members. Let u be one that it is not similar to. Whatever is similar to u
-    then holds one of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
-    has in common with the hub are too few. So the shingles that the hub lacks make smaller cells, which go
-    the same way where they are large; the few u for which size decides meet the whole cell.
+    then holds some of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
+    has in common with the hub are too few. So the first of the shingles that the hub lacks, as many as must
+    meet one of them, make smaller cells, which go the same way where they are large; the few u for which
+    size decides meet the whole cell.
     """
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     share = threshold / (1 + threshold)
@@ -204,11 +205,15 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int)
         met = durable(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
         links = links.unionByName(met.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")))
         apart = met.where("open").select("cell", F.col("key").alias("a")).join(members.select("cell", F.col("key").alias("b")), "cell").where("a <> b")
-        cells = met.select("cell", "key", (~F.col("linked")).cast("int").alias("out"), F.explode(F.array_except("s", "hs")).alias("x"))
+        # u holds at least ``need`` of its extra shingles together with what is similar to it, so the first few in order meet one of them
+        need = F.greatest(F.ceil(share * (F.size("s") + F.col("least")) - 1e-6) - F.col("both"), F.lit(1))
+        extra = met.select("cell", "key", (~F.col("linked")).alias("out"), need.alias("need"), F.array_except("s", "hs").alias("e"))
+        cells = extra.select("cell", "key", "out", (F.size("e") - F.col("need")).alias("last"), F.posexplode("e").alias("i", "x"))
+        cells = cells.select("cell", "key", "x", (F.col("out") & (F.col("i") <= F.col("last"))).cast("int").alias("asks"))
         # cells that hold the same members (the shingles of one edit) count once
-        sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("out").alias("out"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and out = 1")
+        sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("asks").alias("asks"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and asks = 1")
         sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
-        cells = durable(cells.drop("out").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
+        cells = durable(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
         few = cells.where(F.col("n") <= crowd)
         pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
         pairs = pairs.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
