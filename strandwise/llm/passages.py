@@ -180,7 +180,7 @@ def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     return pairs, members.where(F.col("n") > crowd).select("cell", "key")
 
 
-def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int) -> DataFrame:
+def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int, known: DataFrame | None = None) -> DataFrame:
     """Links (a, b) in large cells without all pairs, so that all that is connected inside a cell stays connected.
 
     The hub of a cell is the member whose shingles the most members hold: of a paragraph and its edited copies,
@@ -188,7 +188,8 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int)
     then holds some of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
     has in common with the hub are too few. So the first of the shingles that the hub lacks, as many as must
     meet one of them, make smaller cells, which go the same way where they are large; the few u for which
-    size decides meet the whole cell.
+    size decides meet the whole cell. A smaller cell whose members are already connected, by these links or
+    the ``known`` ones, needs no more work.
     """
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     share = threshold / (1 + threshold)
@@ -214,6 +215,9 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int)
         sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("asks").alias("asks"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and asks = 1")
         sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
         cells = durable(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
+        roots = components(links if known is None else links.unionByName(known)).withColumnRenamed("node", "key")
+        rooted = cells.join(roots, "key", "left").groupBy("cell").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
+        cells = durable(cells.join(rooted.where("least < most").select("cell"), "cell"), "cells")
         few = cells.where(F.col("n") <= crowd)
         pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
         pairs = pairs.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -257,9 +261,9 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     if not crowds.isEmpty():
         finer = crowds.join(sets, "key").select("cell", "key", "s").mapInArrow(_finer(4, tune_bands(threshold, 4, recall), bands), "cell long, key long")
         more, still = small_cells(finer, crowd)
-        links = links.unionByName(similar(more, sets, threshold))
+        links = durable(links.unionByName(similar(more, sets, threshold)), "links")
         if not still.isEmpty():
-            links = links.unionByName(hub_links(still, sets, threshold, crowd))
+            links = links.unionByName(hub_links(still, sets, threshold, crowd, links))
     roots = components(links.distinct())
     # pieces and paragraphs by class; first and last document tell whether there are several
     classed = durable(paragraphs.select("key").join(roots.withColumnRenamed("node", "key"), "key").select("key", "root"), "classes")
