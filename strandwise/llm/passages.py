@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import components, octets, runs_of
@@ -60,14 +60,9 @@ def minhash(s: np.ndarray, begin: np.ndarray, end: np.ndarray, seeds: range) ->
 
 
 class Units:
-    """Paragraphs of some texts, and the pieces of the long ones, as ranges of their words' hashes.
+    """Lines (paragraphs) of some texts, and their whole streams of words, as ranges of the words' hashes."""
 
-    A paragraph is a line. Passages are also pasted inside lines, so lines of over ``long`` words are cut into
-    pieces where a word's hash is the least among ``reach`` words on either side: cuts depend on
-    nearby words alone, so a passage is cut alike wherever it stands.
-    """
-
-    def __init__(self, known: Hashes, texts: list[bytes], long: int = 24, reach: int = 4):
+    def __init__(self, known: Hashes, texts: list[bytes]):
         words: list[bytes] = []
         sizes: list[int] = []
         docs: list[int] = []
@@ -84,18 +79,7 @@ class Units:
         self.line_begin = self.line_end - size
         first = np.searchsorted(self.line_doc, np.arange(len(texts) + 1))
         self.doc_begin = np.append(self.line_begin, len(words))[first[:-1]]
-        line = np.repeat(np.arange(len(size)), size)
-        cut = np.repeat(size > long, size)
-        for j in range(1, reach + 1):
-            same = np.zeros(len(h), bool)
-            same[j:] = line[j:] == line[:-j]
-            cut[j:] &= (h[j:] < h[:-j]) | ~same[j:]
-            cut[: len(h) - j] &= (h[: len(h) - j] <= h[j:]) | ~same[j:]
-        cut[self.line_begin] = size > long
-        self.begin = np.flatnonzero(cut)
-        follow = np.append(self.begin[1:], len(h))
-        self.end = np.minimum(follow, self.line_end[line[self.begin]] if len(h) else follow)
-        self.doc = self.line_doc[line[self.begin]] if len(h) else self.begin
+        self.doc_end = np.append(self.doc_begin[1:], len(words))
         power = np.cumprod(np.append(np.uint64(1), np.full(len(h), STEP, np.uint64)))
         self.back = np.cumprod(np.append(np.uint64(1), np.full(len(h), BACK, np.uint64)))
         self.sums = np.append(np.uint64(0), np.cumsum(scrambled(h) * power[:-1]))
@@ -104,9 +88,27 @@ class Units:
         """64-bit hash of the words of each range, the same wherever they stand."""
         return scrambled((self.sums[end] - self.sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64)).view(np.int64)
 
+    def seeds(self, size: int, wide: int) -> tuple[np.ndarray, np.ndarray]:
+        """(document, place) of the ``size``-word shingles with the least hash of some ``wide`` neighbouring ones.
+
+        Lines do not matter. A run of size + wide - 1 words holds all of some ``wide`` shingles and so at least one
+        seed, which depends on the run alone: texts that share the run share the seed.
+        """
+        s = shingles(self.h, size)
+        n = max(len(s) - wide + 1, 0)
+        place = np.arange(n)
+        low, at = s[:n], place
+        for j in range(1, wide):
+            less = s[j : j + n] < low
+            low, at = np.where(less, s[j : j + n], low), np.where(less, place + j, at)
+        sizes = self.doc_end - self.doc_begin
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        at = np.unique(at[place + wide + size - 1 <= self.doc_end[doc[:n]]])
+        return doc[at], at
 
-def _units(words: int, least: int, bands: int):
-    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words, MinHashes of paragraphs."""
+
+def _units(words: int, least: int, bands: int, size: int, wide: int):
+    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words; of paragraphs also MinHashes, and key and number of the words in short lines up to the document's next paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -118,10 +120,37 @@ def _units(words: int, least: int, bands: int):
                 good = u.line_end - u.line_begin >= least
                 begin, end, doc = u.line_begin[good], u.line_end[good], u.line_doc[good]
                 marks = minhash(shingles(u.h, words), begin, end - words + 1, range(bands)).view(np.int64)
-                piece = u.end - u.begin >= words - 1
-                at, to, own = (np.concatenate(x) for x in ((begin, u.begin[piece]), (end, u.end[piece]), (doc, u.doc[piece])))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(begin) + 1) * bands, np.full(len(at) - len(begin), len(begin) * bands)), pa.int32()), pa.array(marks.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(u.keys(at, to)), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists], ["key", "doc_id", "start", "words", "marks"])
+                upto = end.copy()
+                upto[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], end[:-1])
+                held, seed = u.seeds(size, wide)
+                at, to, own = (np.concatenate(x) for x in ((begin, seed), (end, seed + size), (doc, held)))
+                none = np.zeros(len(seed), np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(begin) + 1) * bands, np.full(len(seed), len(begin) * bands)), pa.int32()), pa.array(marks.ravel()))
+                columns = [pa.array(u.keys(at, to)), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists, pa.array(np.append(u.keys(end, upto), none)), pa.array(np.append(upto - end, none), pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "words", "marks", "gap_key", "gap"])
+
+    return run
+
+
+def _widened(size: int, wide: int):
+    """(doc_id, text, places of seeds) to units: the seeds with 1 to ``wide`` - 1 words more to the left or to the right."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
+        more = np.arange(1, wide)
+        for batch in batches:
+            for d, text, places in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                u = Units(known, [text])
+                at, keys = (np.array([p[f] for p in places], np.int64) for f in ("start", "key"))
+                inside = at + size <= len(u.h)
+                at, keys, left, right = at[inside], keys[inside], *(np.array([p[f] for p in places], bool)[inside] for f in ("left", "right"))
+                same = u.keys(at, at + size) == keys
+                at, left, right = at[same], left[same], right[same]
+                begin = np.concatenate([(at[left][:, None] - more).ravel(), np.repeat(at[right], len(more))])
+                end = np.concatenate([np.repeat(at[left] + size, len(more)), (at[right][:, None] + size + more).ravel()])
+                whole = (begin >= 0) & (end <= len(u.h))
+                begin, end = begin[whole], end[whole]
+                yield pa.RecordBatch.from_arrays([pa.array(u.keys(begin, end)), pa.array(np.full(len(begin), d, np.int64)), pa.array(begin, pa.int32()), pa.array(end - begin, pa.int32())], ["key", "doc_id", "start", "words"])
 
     return run
 
@@ -226,14 +255,50 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
     return links
 
 
+def _shared(units: DataFrame) -> DataFrame:
+    """The units that other documents hold: doc_id, start, words, key, keeper, and the place of one other document's."""
+    place = F.struct("doc_id", "start")
+    held = units.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.doc_id < high.doc_id")
+    other = F.when(F.col("doc_id") == F.col("low.doc_id"), F.col("high")).otherwise(F.col("low"))
+    joined = units.join(held, "key").withColumn("other", other)
+    return joined.select("doc_id", "start", "words", "key", F.col("low.doc_id").alias("keeper"), F.col("other.doc_id").alias("there"), (F.col("other.start") - F.col("start")).alias("shift"))
+
+
+def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataFrame:
+    """The shared seeds, and those at the ends of shared runs widened word by word to the run's true ends.
+
+    A run goes on for less than ``wide`` words behind its last seed, since the next ``wide`` shingles would hold
+    another. Where an end of a seed is open in one document, all that hold the seed are widened, to be compared.
+    """
+    shared = durable(_shared(seeds), "seeds")
+    by = Window.partitionBy("doc_id").orderBy("start")
+    left = F.coalesce(F.col("start") > F.lag("start").over(by) + size, F.lit(True))
+    right = F.coalesce(F.lead("start").over(by) > F.col("start") + size, F.lit(True))
+    ends = shared.select("key", left.alias("left"), right.alias("right")).groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") | F.col("right"))
+    places = shared.select("key", "doc_id", "start").distinct().join(ends, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "left", "right")).alias("places"))
+    wider = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_widened(size, wide), "key long, doc_id long, start int, words int")
+    return shared.unionByName(_shared(durable(wider, "wider"))).withColumn("removed", F.col("doc_id") > F.col("keeper"))
+
+
+def _over_short_lines(found: DataFrame) -> DataFrame:
+    """Linked paragraphs with the short lines behind them, where the next paragraph is linked too and another of the cluster has the same short lines."""
+    by = Window.partitionBy("doc_id", "removed").orderBy("start")
+    gaps = found.withColumn("next", F.lead("start").over(by)).where((F.col("gap") > 0) & (F.col("next") == F.col("start") + F.col("words") + F.col("gap")))
+    same = found.where("gap > 0").groupBy("cluster", "gap_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    return gaps.join(same, ["cluster", "gap_key"], "left_semi").select("doc_id", "start", (F.col("words") + F.col("gap")).alias("words"), "keeper", "removed")
+
+
 def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32) -> DataFrame:
     """(doc_id, start, words, keeper, removed): the runs of words that other documents hold as well.
 
     Paragraphs of ``least`` words or more are linked if the Jaccard similarity of their sets of ``words``-word
     shingles is ``threshold`` or more. Candidates share one of the MinHash bands tuned to ``recall``; they
-    are checked exactly, and clusters are components. Pieces of long paragraphs are linked if they are
-    equal. In a cluster over several documents the smallest doc_id keeps its text. Neighbouring units
-    of the same fate join to a run, and runs of ``run`` words or more are returned, by word numbers.
+    are checked exactly, and clusters are components. In a cluster over several documents the smallest doc_id
+    keeps its text. Short lines between linked paragraphs count where the cluster shares them.
+
+    Beside paragraphs, every run of ``run`` equal words is found, whatever the lines are: seeds are chosen in the
+    whole stream of words so that each such run holds one, and shared seeds are widened to the run's ends.
+    Neighbouring units of the same fate join, and runs of ``run`` words or more are returned, by word numbers.
 
     Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. Cells with more than
     ``crowd`` paragraphs are banded anew by further MinHashes, and linked by hubs where these are crowded too.
@@ -243,8 +308,11 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     """
     bands = tune_bands(threshold, 1, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    units = durable(rows.mapInArrow(_units(words, least, bands), "key long, doc_id long, start int, words int, marks array<long>"), "units")
-    pieces = units.where(F.size("marks") == 0)
+    size = min(8, run)
+    wide = run - size + 1
+    shape = "key long, doc_id long, start int, words int, marks array<long>, gap_key long, gap int"
+    units = durable(rows.mapInArrow(_units(words, least, bands, size, wide), shape), "units")
+    seeds = units.where(F.size("marks") == 0).select("key", "doc_id", "start", "words")
     whole = units.where(F.size("marks") > 0)
     # equal paragraphs once, with one place where the words stand
     place = F.struct("doc_id", "start", "words")
@@ -265,26 +333,27 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
         if not still.isEmpty():
             links = links.unionByName(hub_links(still, sets, threshold, crowd, links))
     roots = components(links.distinct())
-    # pieces and paragraphs by class; first and last document tell whether there are several
+    # paragraphs by class; first and last document tell whether there are several
     classed = durable(paragraphs.select("key").join(roots.withColumnRenamed("node", "key"), "key").select("key", "root"), "classes")
-    kept = whole.select("key", "doc_id", "start", "words").join(classed, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key")
+    kept = whole.drop("marks").join(classed, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key")
     kept = durable(kept, "members")
     held = kept.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    equal = pieces.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    found = kept.join(held, "cluster").select("doc_id", "start", "words", "keeper")
-    found = found.unionByName(pieces.join(equal, "key").select("doc_id", "start", "words", "keeper"))
-    return _joined(found.withColumn("removed", F.col("doc_id") > F.col("keeper")), run)
+    lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
+    exact = durable(exact_runs(rows, seeds, size, wide), "exact")
+    unit = ["doc_id", "start", "words", "keeper", "removed"]
+    found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(exact.select(unit))
+    joined = _islands(found)
+    return joined.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "keeper", "removed").where(F.col("words") >= run)
 
 
-def _joined(found: DataFrame, run: int) -> DataFrame:
-    """Units that touch or overlap, of the same document and fate, as runs."""
+def _islands(found: DataFrame, *more: Column) -> DataFrame:
+    """Units that touch or overlap, of the same document and fate, as runs (doc_id, removed, start, end, keeper), with ``more`` aggregates."""
     ends = F.col("start") + F.col("words")
     by = Window.partitionBy("doc_id", "removed").orderBy("start", "words")
     reach = F.max(ends).over(by.rowsBetween(Window.unboundedPreceding, -1))
     marked = found.withColumn("fresh", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     marked = marked.withColumn("island", F.sum("fresh").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    spans = marked.groupBy("doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max(ends).alias("end"), F.min("keeper").alias("keeper"))
-    return spans.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "keeper", "removed").where(F.col("words") >= run)
+    return marked.groupBy("doc_id", "removed", "island").agg(F.min("start").alias("start"), F.max(ends).alias("end"), F.min("keeper").alias("keeper"), *more)
 
 
 def without_passages(docs: DataFrame, **options) -> DataFrame:

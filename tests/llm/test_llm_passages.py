@@ -91,3 +91,30 @@ def test_odd_rows(odd, none):
     assert left.columns == odd.columns and left.count() == odd.count()
     assert {r.doc_id: r.text for r in left.collect()}[8] == {r.doc_id: r.text for r in odd.collect()}[8]
     assert all(not r.text.strip() for r in left.collect() if r.doc_id == 9)
+
+
+def lined(tokens, sizes):
+    """The tokens in lines of the given sizes, over and over."""
+    out, at, i = [], 0, 0
+    while at < len(tokens):
+        out.append(" ".join(tokens[at : at + sizes[i % len(sizes)]]))
+        at += sizes[i % len(sizes)]
+        i += 1
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize("one, two", [([6], [6]), ([15, 5], [15, 5]), ([12], [60]), ([7], [60]), ([3, 9], [20])])
+def test_lines_do_not_hide_passages(spark, one, two):
+    rng = random.Random(11)
+    passage = words(rng, 60)
+    text = lambda sizes: lined(words(rng, 40), [7]) + "\n" + lined(passage, sizes) + "\n" + lined(words(rng, 30), [30])
+    got = repeated_passages(spark.createDataFrame([(1, text(one)), (2, text(two)), (3, lined(words(rng, 90), [6]))], "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, 40, 60, 1, False), (2, 40, 60, 1, True)]
+
+
+def test_short_lines_between_edited_paragraphs(spark):
+    rng = random.Random(12)
+    blocks = [(words(rng, 14), words(rng, 5)) for _ in range(3)]
+    text = lambda: "\n".join(" ".join(x) for a, b in blocks for x in ([*a, *words(rng, 1)], b))
+    got = repeated_passages(spark.createDataFrame([(1, text()), (2, text())], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.start, r.removed) for r in got} == {(1, 0, False), (2, 0, True)} and all(r.words >= 55 for r in got)
