@@ -280,6 +280,24 @@ def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataF
     return shared.unionByName(_shared(durable(wider, "wider"))).withColumn("removed", F.col("doc_id") > F.col("keeper"))
 
 
+def bridges(found: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Neighbouring exact runs as one, where they and what lies between them are similar in both documents.
+
+    The shingles of the two runs are common; those over the words between them, here and there, are not. Their
+    Jaccard similarity must be ``threshold`` or more.
+    """
+    ends = F.col("start") + F.col("words")
+    way = F.struct("there", "shift")
+    runs = _islands(found, F.min_by(way, F.struct("start", -ends)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"))).alias("tail"))
+    by = Window.partitionBy("doc_id", "removed").orderBy("start")
+    runs = runs.withColumn("next", F.lead(F.struct("start", "end", "keeper", "head")).over(by))
+    here = F.col("next.start") - F.col("end")
+    runs = runs.withColumn("here", here).withColumn("over", here + F.col("next.head.shift") - F.col("tail.shift"))
+    common = F.col("end") - F.col("start") + F.col("next.end") - F.col("next.start") - 2 * (words - 1)
+    alike = (F.col("next.head.there") == F.col("tail.there")) & (F.col("over") >= 0) & (common >= threshold * (common + F.col("here") + F.col("over") + 2 * (words - 1)))
+    return runs.where(alike).select("doc_id", "start", (F.col("next.end") - F.col("start")).alias("words"), F.least("keeper", "next.keeper").alias("keeper"), "removed")
+
+
 def _over_short_lines(found: DataFrame) -> DataFrame:
     """Linked paragraphs with the short lines behind them, where the next paragraph is linked too and another of the cluster has the same short lines."""
     by = Window.partitionBy("doc_id", "removed").orderBy("start")
@@ -297,7 +315,10 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     keeps its text. Short lines between linked paragraphs count where the cluster shares them.
 
     Beside paragraphs, every run of ``run`` equal words is found, whatever the lines are: seeds are chosen in the
-    whole stream of words so that each such run holds one, and shared seeds are widened to the run's ends.
+    whole stream of words so that each such run holds one, and shared seeds are widened to the run's ends. Two
+    passages of the wanted similarity whose words stand in the same order share a run of 20 words, as each edit
+    costs them eight shingles or more; runs beside an edit are joined over it if they are similar together
+    (``bridges``). Of such a passage only a part of under ``run`` words between an edit and its edge can be missed.
     Neighbouring units of the same fate join, and runs of ``run`` words or more are returned, by word numbers.
 
     Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. Cells with more than
@@ -341,7 +362,7 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
     exact = durable(exact_runs(rows, seeds, size, wide), "exact")
     unit = ["doc_id", "start", "words", "keeper", "removed"]
-    found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(exact.select(unit))
+    found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(exact.select(unit)).unionByName(bridges(exact, words, threshold))
     joined = _islands(found)
     return joined.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "keeper", "removed").where(F.col("words") >= run)
 

@@ -118,3 +118,17 @@ def test_short_lines_between_edited_paragraphs(spark):
     text = lambda: "\n".join(" ".join(x) for a, b in blocks for x in ([*a, *words(rng, 1)], b))
     got = repeated_passages(spark.createDataFrame([(1, text()), (2, text())], "doc_id long, text string")).collect()
     assert {(r.doc_id, r.start, r.removed) for r in got} == {(1, 0, False), (2, 0, True)} and all(r.words >= 55 for r in got)
+
+
+def test_passages_in_long_lines_are_found_to_the_word(spark):
+    rng = random.Random(13)
+    rows, want = [], set()
+    for i in range(40):  # exact pastes of 20 to 60 words, and 60 words with one changed in the middle
+        passage = words(rng, 60 if i % 2 else 20 + i)
+        other = passage[:30] + ["changed"] + passage[31:] if i % 2 else passage
+        for d, p in ((2 * i, passage), (2 * i + 1, other)):
+            at = rng.randrange(100)
+            rows.append((d, " ".join(words(rng, at) + p + words(rng, 120 - at))))
+            want.add((d, at, len(p), 2 * i, d % 2 == 1))
+    got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want)
