@@ -215,19 +215,18 @@ def training_windows(text: str, near: int = 4, every: int = 60) -> list[list[tup
 ANY = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]|(?-i)AKIA[A-Z0-9]{16}|(?-i)[0-9a-f]{24}"""
 
 
-def fit(docs: DataFrame, sample: int = 2_000, most: int = 6_000, pool: int = 40) -> Field:
+def fit(docs: DataFrame, sample: int = 2_000, most: int = 6_000) -> Field:
     """A field learned from the base matches of about ``sample`` documents: half of them with matches, half any.
 
-    Documents are drawn by a hash of id and text: those to look for matches from ``pool`` times ``sample``.
+    Matches are counted in all documents, and documents drawn by a hash of id and text, those with matches by their share.
     What comes to the driver is bounded by twice the sample, and of the windows at most ``most`` are used.
     """
     span = 1 << 40
     keyed = docs.where(F.col("text").isNotNull()).select("text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)).alias("h"))
     part = span / max(docs.count(), 1)
-    drawn = keyed.where(F.col("h") < int(min(span, part * sample * pool)))
-    matching = drawn.where(F.col("text").rlike(ANY))
-    have = matching.count()
-    some = matching.where(F.col("h") < int(min(span, part * sample * pool * min(1.0, sample / 2 / max(have, 1))))).limit(sample)
+    matches = F.col("text").rlike(ANY)
+    have = keyed.where(matches).count()
+    some = keyed.where(F.col("h") < int(span * min(1.0, sample / 2 / max(have, 1)))).where(matches).limit(sample)
     rest = keyed.where(F.col("h") < int(min(span, part * sample / 2))).limit(sample)
     texts = sorted({r["text"] for r in [*some.select("text").collect(), *rest.select("text").collect()]})
     windows = [w for t in texts for w in training_windows(t)]
