@@ -100,6 +100,14 @@ def _routed(tree: Tree):
     return run
 
 
+def _leaf_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Index blocks to (leaf, id)."""
+    for batch in batches:
+        for cell, ids in zip(batch.column("cell").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            found = np.frombuffer(ids, dtype="<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), cell), pa.int32()), pa.array(found)], ["cell", "id"])
+
+
 def _asked(tree: Tree, most: int, held: dict[int, int], keep: int):
     """Each query vector to the leaves it visits: ``most``, and more until these hold ``keep`` candidates."""
 
@@ -138,14 +146,14 @@ def _search(keep: int):
 
 
 def _brute(queries: np.ndarray, keep: int):
-    """Index blocks to (query, leaf, score) of their best vectors for a bounded set of queries."""
+    """Index blocks to (query, id, leaf, score) of their best vectors, each under its least id, for a bounded set of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in batch.to_pylist():
-                x = unpack(block)[0]
-                row, _, score = best(cosines(queries, x), np.arange(len(x)), np.ones(len(x), np.int64), keep)
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.full(len(row), block["cell"]), pa.int32()), pa.array(score)], ["q", "cell", "score"])
+                x, _, ids, counts = unpack(block)
+                row, found, score = best(cosines(queries, x), ids[np.cumsum(counts) - counts], np.ones(len(x), np.int64), keep)
+                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(found), pa.array(np.full(len(row), block["cell"]), pa.int32()), pa.array(score)], ["q", "id", "cell", "score"])
 
     return run
 
@@ -158,7 +166,8 @@ def calibrate(tree: Tree, index: DataFrame, queries: np.ndarray, k: int, recall:
     """
 
     nth = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "cell"))
-    found = index.mapInArrow(_brute(queries, k + 1), "q long, cell int, score double").withColumn("nth", nth)
+    found = index.mapInArrow(_brute(queries, k + 1), "q long, id long, cell int, score double")
+    found = found.groupBy("q", "id").agg(F.max("score").alias("score"), F.min_by("cell", F.struct(-F.col("score"), "cell")).alias("cell")).withColumn("nth", nth)
     true = found.where((F.col("nth") > 1) & (F.col("nth") <= k + 1)).select("q", "cell").toPandas()
     orders = [{leaf: n for n, leaf in enumerate(tree.visits(q))} for q in unit(queries)]
     needed = np.sort([orders[q][c] + 1 for q, c in zip(true["q"], true["cell"], strict=True)])
@@ -193,7 +202,9 @@ def neighbours(embeddings: DataFrame, k: int = 5, every: int = 50, recall: float
     tree.grow(unit(points), branches, leaf, np.random.default_rng(7))
     keyed = "h1 long, h2 long, v array<double>, ids array<long>, cell int, key double"
     index = durable(pack(whole.select("h1", "h2", "v", "ids").mapInArrow(_routed(tree), keyed), rows), "index")
-    held = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # as many rows as leaves
+    # by leaf, the ids that stand in no other: as many rows as leaves
+    own = index.mapInArrow(_leaf_ids, "cell int, id long").groupBy("id").agg(F.min("cell").alias("cell"), F.max("cell").alias("last")).where("cell = last")
+    held = {r["cell"]: r["n"] for r in own.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     drawn = F.pmod("h2", F.lit(1 << 40))
     test = whole if n <= tests else whole.where(drawn < int((1 << 40) * tests / n))
     test = np.array([r["v"] for r in test.select("v").limit(2 * tests).collect()]).reshape(-1, points.shape[1])

@@ -105,9 +105,14 @@ def prefixed(blocks: DataFrame, prefix: str, *more: str) -> DataFrame:
 def best(scores: np.ndarray, ids: np.ndarray, counts: np.ndarray, keep: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, id, score) of the ``keep`` best ids of each row of scores, ties to smaller ids; none below the row's floor.
 
-    Column j of ``scores`` stands for the next counts[j] of ``ids``. Columns below the row's keep-th best
-    cannot matter, since each has an id at least.
+    Column j of ``scores`` stands for the next counts[j] of ``ids``; an id under several columns counts once, by
+    its best score. Columns below the row's keep-th best cannot matter then, since each has an id of its own at least.
     """
+    names, place = np.unique(ids, return_inverse=True)
+    if len(names) < len(ids) and len(scores):
+        by_id = np.argsort(place, kind="stable")
+        scores = np.maximum.reduceat(scores[:, np.repeat(np.arange(len(counts)), counts)[by_id]], np.searchsorted(place[by_id], np.arange(len(names))), axis=1)
+        ids, counts = names, np.ones(len(names), np.int64)
     if scores.shape[1] > keep:
         least = np.partition(scores, scores.shape[1] - keep, axis=1)[:, -keep]
         floor = least if floor is None else np.maximum(floor, least)

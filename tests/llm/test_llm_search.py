@@ -76,3 +76,32 @@ def test_few_and_no_vectors(spark, vectors):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0]), (100, [0.5, 0.5]), (100, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert sorted((r.query_id, r.rank, r.vec_id) for r in kmeans_tree.neighbours(few).collect()) == [(0, 1, 100), (0, 2, 1), (100, 1, 0), (100, 2, 1)]
     assert sorted(map(tuple, pivots.top_k(few).collect())) == [(0, 1, 100, 64 * 32 + 128 * 32), (0, 2, 1, 4096), (100, 1, 0, 6144), (100, 2, 1, 2048)]
+
+
+def test_one_id_under_many_vectors(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(120, 8)).astype("float32")
+    rows = [(i, v) for i, v in enumerate(x)]
+    for q in (0, 40, 100):  # ids 7 and 9 fill the best hits of these queries; 7 is a third of all rows
+        rows += [(7 if j % 4 else 9, x[q] * 1.5 + 0.05 * rng.normal(size=8).astype("float32")) for j in range(60)]
+    table = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<float>")
+    for k, every, whole, found in (
+        (20, 20, lambda q, e: int(np.floor(64 * np.float64(q)) @ np.floor(64 * np.float64(e))), pivots.top_k(table, rows=32, asked=4, pivots=5)),
+        (5, 20, lambda q, e: np.float64(q) @ np.float64(e) / np.linalg.norm(np.float64(q)) / np.linalg.norm(np.float64(e)), kmeans_tree.neighbours(table, every=20, recall=1.0, leaf=400)),
+    ):
+        want = []
+        for q in range(0, 120, every):
+            scores = {}
+            for i, e in rows:
+                if i != q:
+                    scores[i] = max(scores.get(i, -math.inf), whole(x[q], e))
+            want += [(q, n, i) for n, (i, _) in enumerate(sorted(scores.items(), key=lambda s: (-s[1], s[0]))[:k], 1)]
+        assert sorted((r.query_id, r.rank, r.vec_id) for r in found.collect()) == want
+
+
+def test_the_tree_asks_on_while_ids_repeat(spark):
+    rng = np.random.default_rng(6)
+    rows = [(7, [float(c) for c in v]) for v in [1, 0, 0, 0] + 0.1 * rng.normal(size=(300, 4))]
+    rows += [(i, [float(c) for c in v]) for i, v in enumerate([-1, 0, 0, 0] + 0.1 * rng.normal(size=(40, 4)), 10)] + [(50, [1.0, 0.0, 0.0, 0.0])]
+    got = kmeans_tree.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), leaf=16).where("query_id = 50").collect()
+    assert len({r.vec_id for r in got}) == len(got) == 5
