@@ -19,6 +19,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "crf")
 #: A character that no plain word holds. Words without one are plain.
 ODD = re.compile(r"[^\sA-Za-zÀ-ÖØ-öø-ÿ.,;:!?]|[a-zß-öø-ÿ][A-ZÀ-ÖØ-Þ]|[A-ZÀ-ÖØ-Þ]{2}")
+#: Where plain words have more than letters and stops behind them: a stop before a letter, or at a token's start.
+STOP = re.compile(r"[.,;:!?](?=[A-Za-zÀ-ÖØ-öø-ÿ])|(?<!\S)[.,;:!?]")
 HINT = re.compile(r"pass|pwd|secret|token|key|auth|cred|bearer|login", re.IGNORECASE)
 AROUND = "\"'`.,;:!?()[]{}<>"
 #: Labels: outside, first token of a secret, a later one.
@@ -71,7 +73,7 @@ def traits(token: str) -> tuple[list[str], list[str]]:
     """Features of a token for itself, and the fewer ones that its neighbours see."""
     inner = token.strip(AROUND) or token
     n = len(inner)
-    kinds = [("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s") for c in inner[:256]]
+    kinds = [("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s") for c in inner]
     have = "".join(sorted(set(kinds)))
     size = f"n{min(n.bit_length() * 2 + (n >> max(n.bit_length() - 2, 0) & 1), 16)}"
     turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) * 4 // max(n, 1)
@@ -248,7 +250,8 @@ class Finder:
         # the most that neighbours and file can add: a token shows a shape and perhaps two marks, or is the edge
         best = lambda name: sum(max([0.0, *(g for f, g in gains.items() if f.startswith(name + part))]) for part in ("c:", "hint", "gives", "edge"))
         self.most = best("p:") + best("pp:") + best("n:") + max([0.0, *(g for f, g in gains.items() if f.startswith("file:"))]) + turn
-        plain = [c + "a" * n + stop for n in range(300) for c in "aA" for stop in ("", ".", "..")]
+        # words of letters with stops behind them; hints and other stops are tested token by token
+        plain = [c + "az"[c in "zZ"] * n + stop for n in range(300) for c in "aAzZ" for stop in ("", ".", "..")]
         self.everything = any(self._scores(w)[4] for w in plain)
 
     def _sum(self, names: list[str]) -> np.ndarray:
@@ -277,12 +280,13 @@ class Finder:
         outside on the best path, so runs of the other tokens are decoded by themselves: the result is
         that of decoding the whole text.
         """
-        if not self.everything and not ODD.search(text):
+        marked = () if self.everything else [m.start() for p in (STOP, HINT) for m in p.finditer(text)]
+        if not self.everything and not marked and not ODD.search(text):
             return []
         starts, ends = tokens_of(text)
         word = lambda i: text[starts[i] : ends[i]]
         odd = odd_tokens(text, starts, ends)
-        open_ = [i for i in (range(len(starts)) if self.everything else odd) if self._scores(word(i))[4]]
+        open_ = [i for i in (range(len(starts)) if self.everything else sorted({*odd, *(bisect_right(starts, at) - 1 for at in marked)})) if self._scores(word(i))[4]]
         if not open_:
             return []
         file = self._sum([file_feature(len(odd), len(starts))])

@@ -86,3 +86,10 @@ def test_rare_matches_are_learned_from(spark):
     rows = [(i, f"plain words of document {i} and no more" + (f" but AKIA{'Q7' * 8} here" if i % 1500 == 7 else "")) for i in range(4500)]
     field = fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=4)
     assert field.weights["top:AKIA"][B] > field.weights["top:AKIA"][O]
+
+
+@pytest.mark.parametrize("feature, token", [("hint", "pwd:correcthorsebattery"), ("hint", "bearer"), ("has.", "auth.abc.def"), ("c:dl", "a" * 300 + "1234")])
+def test_plain_letters_with_other_traits_are_decoded(feature, token):
+    finder = Finder(Field({feature: np.array([0.0, 5, 0])}, np.array([[0.0, -1, -1e4], [0, -1, -1], [0, -1, -1]])))
+    text = f"some words {token} and more"
+    assert not finder.everything and finder.added(text, []) == [("crf", 11, 11 + len(token))]
