@@ -83,7 +83,7 @@ def test_base_stays_and_added_spans_do_not_touch_it(learned, corpus):
 
 
 def test_rare_matches_are_learned_from(spark):
-    rows = [(i, f"plain words of document {i} and no more" + (f" but AKIA{'Q7' * 8} here" if i % 1500 == 7 else "")) for i in range(4500)]
+    rows = [(i, f"plain words of document {i} and no more" + (f" but AKIA{'Q7' * 8} here" if i % 1500 == 13 else "")) for i in range(4500)]
     field = fit(spark.createDataFrame(rows, "doc_id long, text string"), sample=4)
     assert field.weights["top:AKIA"][B] > field.weights["top:AKIA"][O]
 
