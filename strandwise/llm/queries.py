@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and the SQL of those that have one."""
+"""Registered queries of the operators, and the SQL of those that have one."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash, token_counts
+from strandwise.llm import divergence, kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash, token_counts, whitening
 from strandwise.llm.common import small_batches
 from strandwise.session import tune
 
@@ -114,3 +114,38 @@ scored AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op11_source_divergence(spark, sf):
+    return divergence.divergences(documents(spark, sf))
+
+
+SQL["op11_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+    SELECT r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+    FROM d),
+counted AS (SELECT r, lang, source, term, count(*) AS n FROM words GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM counted GROUP BY lang, term HAVING count(*) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+used AS (SELECT lang, source, term, sum(n) AS n FROM counted SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+totals AS (SELECT lang, source, sum(n) AS total FROM used GROUP BY ALL),
+groups AS (SELECT g.lang, g.source, coalesce(t.total, 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN totals t USING (lang, source)),
+shares AS (
+    SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(u.n, 0) + 5)) // (g.total + 5 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v) AS q
+    FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN used u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(p.value, 0) AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source),
+listed AS (SELECT * FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query
+def op12_embedding_whitening(spark, sf):
+    return whitening.whiten(embeddings(spark, sf))
