@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandwise.llm import divergence, kmeans_tree, language, line_dedup, mixing, packing, passages, pivots, secrets, simhash, token_counts, whitening
+from strandwise.llm import divergence, kmeans_tree, language, line_dedup, mixing, packing, passages, pii, pivots, secrets, simhash, token_counts, whitening
 from strandwise.llm.common import small_batches
 from strandwise.session import tune
 
@@ -149,3 +149,9 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 @query
 def op12_embedding_whitening(spark, sf):
     return whitening.whiten(embeddings(spark, sf))
+
+
+@query
+def op13_pii_scan(spark, sf):
+    found = pii.find_personal(documents(spark, sf))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans", "n_added")
