@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,19 @@ def stripes_of(docs: DataFrame, held: int = HELD) -> DataFrame:
     return docs.select(empty("lang"), empty("source"), empty("text")).mapInArrow(fold, STRIPE)
 
 
+def _open(batch: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """The rows of a sorted batch without the keys that begin and end inside it and are too rare to keep."""
+    if batch.num_rows < 3:
+        return batch
+    keys = [batch.column(0), pc.fill_null(batch.column(1), "")]
+    turns = [pc.not_equal(k[1:], k[:-1]).to_numpy(zero_copy_only=False) for k in keys]
+    starts = np.flatnonzero(np.concatenate([[True], turns[0] | turns[1]]))
+    stay = np.add.reduceat(batch.column(2).to_numpy(), starts) >= least
+    stay |= batch.column(1).is_null().to_numpy(zero_copy_only=False)[starts]
+    stay[[0, -1]] = True
+    return batch.filter(pa.array(np.repeat(stay, np.diff(starts, append=batch.num_rows))))
+
+
 def merged(stripes: DataFrame, least: int) -> DataFrame:
     """One stripe for each language and term with a document frequency of ``least``, and those that count documents.
 
@@ -110,7 +125,7 @@ def merged(stripes: DataFrame, least: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, df, by, out = None, 0, {}, []
         cells = 0
-        for batch in batches:
+        for batch in map(partial(_open, least=least), batches):
             langs, names, dfs = octets(batch.column(0)), octets(batch.column(1)), batch.column(2).to_pylist()
             ends = batch.column(3).offsets.to_pylist()
             first = ends[0]
