@@ -26,6 +26,17 @@ def octets(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` as the columns ``own`` and all others in one struct, so that no name of a user's meets one of an operator's."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*rest or [F.lit(True).alias("none")]).alias("user_row"))
+
+
+def unpacked(columns: list[str], *own: str) -> list[Column]:
+    """The columns of the table that was packed, in their order."""
+    return [F.col(c) if c in own else F.col("user_row").getField(c).alias(c) for c in columns]
+
+
 def runs_of(rows: Iterator, weight: Iterator[int], most: int) -> Iterator[list]:
     """``rows`` in lists whose weights sum to ``most`` at least, the last one excepted: bounds memory in a task."""
     group: list = []

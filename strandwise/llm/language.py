@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import runs_of
+from strandwise.llm.common import packed, runs_of, unpacked
 
 #: Buckets of letter triples, and as many of their contexts.
 BUCKETS = 1 << 16
@@ -264,5 +264,5 @@ def identify(docs: DataFrame, model: Model, penalty: float = 20.0) -> DataFrame:
 
 def known_language(docs: DataFrame, sure: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` with letters in a learned language: lang_pred is not ``und`` and score at least ``sure``."""
-    made = identify(docs, fit(docs, **options))
-    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= sure)).select(*docs.columns)
+    made = identify(packed(docs, "text"), fit(docs, **options))
+    return made.where((F.col("lang_pred") != "und") & (F.col("score") >= sure)).select(*unpacked(docs.columns, "text"))

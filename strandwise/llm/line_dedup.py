@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType
 
-from strandwise.llm.common import WHITE, octets
+from strandwise.llm.common import WHITE, octets, packed, unpacked
 from strandwise.session import durable, shared_folder
 
 #: A null doc_id counts as one document with an id below all others.
@@ -145,7 +145,8 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, b
     through, but a column named n_lines or n_dropped is replaced.
     """
     spark = docs.sparkSession
-    docs = docs.drop("n_lines", "n_dropped")
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    docs = packed(docs.select(*[F.col(f"`{c}`") for c in columns]), "doc_id", "text")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
     edges = sorted(set(docs.stat.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []
     part = F.lit(len(edges))
@@ -165,4 +166,4 @@ def drop_common_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, b
     rows = rows.withColumn("_gone", F.coalesce("_gone", F.array().cast("array<struct<hi:bigint,lo:bigint>>")))
     out = rows.drop("_gone").schema.add("n_lines", LongType()).add("n_dropped", LongType())
     made = rows.mapInArrow(_rebuild(min_chars, to_arrow_schema(out)), out)
-    return made.withColumnRenamed("_text", "text").select(*docs.columns, "n_lines", "n_dropped")
+    return made.withColumnRenamed("_text", "text").select(*unpacked(columns, "doc_id", "text"), "n_lines", "n_dropped")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import hash_bits, leading, running_total
+from strandwise.llm.common import hash_bits, leading, packed, running_total, unpacked
 from strandwise.session import durable
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -109,7 +109,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """
     counts = mix(docs, **options).where("size > 0").groupBy("doc_id", "h").agg(F.round(F.sum("taken") / F.max("size")).cast("int").alias("_copies")).where("_copies > 0")
     counts = counts.select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), "_copies")
-    rows = docs.withColumn("_h", F.xxhash64("doc_id", F.xxhash64("text")))
+    rows = packed(docs, "doc_id", "text", "source").withColumn("_h", F.xxhash64("doc_id", F.xxhash64("text")))
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_h", "doc_id").orderBy("source"))).where("_nth = 1")
     rows = rows.join(counts, (F.col("_h") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(*unpacked(docs.columns, "doc_id", "text", "source"))

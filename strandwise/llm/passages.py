@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import components, octets, runs_of
+from strandwise.llm.common import components, octets, packed, runs_of, unpacked
 from strandwise.session import durable
 
 #: Odd multipliers of the hashes; their arithmetic is modulo 2^64.
@@ -380,8 +380,8 @@ def _islands(found: DataFrame, *more: Column) -> DataFrame:
 def without_passages(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with the removed runs of words taken from ``text``; the words that stay keep their white space before them."""
     gone = repeated_passages(docs, **options).where("removed").groupBy("doc_id").agg(F.collect_list(F.struct("start", "words")).alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, F.col("doc_id") == F.col("_id"), "left")
+    joined = packed(docs, "doc_id", "text").join(gone, F.col("doc_id") == F.col("_id"), "left")
     tokens = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     inside = lambda i: F.exists("_gone", lambda g: (i >= g["start"]) & (i < g["start"] + g["words"]))
     cut = F.array_join(F.filter(tokens, lambda _, i: ~inside(i)), "")
-    return joined.withColumn("text", F.when(F.col("_gone").isNotNull(), cut).otherwise(F.col("text"))).select(*docs.columns)
+    return joined.withColumn("text", F.when(F.col("_gone").isNotNull(), cut).otherwise(F.col("text"))).select(*unpacked(docs.columns, "doc_id", "text"))

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandwise.llm.common import components, octets
+from strandwise.llm.common import components, octets, packed, unpacked
 from strandwise.session import durable
 
 
@@ -120,8 +120,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, seed: int =
 
 def keep_one(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each component: the one of the smallest doc_id, among its repeats the one with the least text hash."""
-    made = durable(with_fingerprints(docs, words, seed), "fingerprints")
+    made = durable(with_fingerprints(packed(docs, "doc_id", "text"), words, seed), "fingerprints")
     kept = classes(made.select("doc_id", "fp"), radius).where("fp = keeper").select(F.col("fp").alias("_fp"), "component_id")
     rows = made.join(kept.withColumnRenamed("component_id", "_least"), F.col("fp") == F.col("_fp")).where(F.col("doc_id").eqNullSafe(F.col("_least")))
     first = Window.partitionBy("_fp").orderBy(F.xxhash64("text"))
-    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    return rows.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*unpacked(docs.columns, "doc_id", "text"))

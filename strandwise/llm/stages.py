@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandwise.llm import language, mixing, packing, simhash
-from strandwise.llm.common import small_batches
+from strandwise.llm.common import packed, small_batches, unpacked
 from strandwise.llm.line_dedup import drop_common_lines
 
 
@@ -19,7 +19,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shared lines go from the texts, and n_chars follows. A document without other lines stays, with an empty text."""
     small_batches(spark)
-    return drop_common_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    made = drop_common_lines(packed(docs, "doc_id", "text")).select(*unpacked(docs.columns, "doc_id", "text"))
+    return made.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
