@@ -41,18 +41,18 @@ class Stripes:
     """The in-mapper table: language and term to document frequency and counts by source."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[bytes, bytes | None], list] = {}
+        self.held: dict[bytes, dict[bytes | None, list]] = {}
         self.cells = 0
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
         """Folds one whole document in."""
         counts: dict[bytes | None, int] = Counter(terms(text))
         counts[None] = 1
-        held = self.held
+        held = self.held.setdefault(lang, {})
         for term, n in counts.items():
-            stripe = held.get((lang, term))
+            stripe = held.get(term)
             if stripe is None:
-                held[lang, term] = [1, {source: n}]
+                held[term] = [1, {source: n}]
                 self.cells += 1
             else:
                 stripe[0] += 1
@@ -65,7 +65,7 @@ class Stripes:
 
     def spill(self) -> pa.RecordBatch:
         """All stripes as rows; the table is empty then."""
-        batch = stripe_rows((lang, term, df, by) for (lang, term), (df, by) in self.held.items())
+        batch = stripe_rows((lang, term, df, by) for lang, held in self.held.items() for term, (df, by) in held.items())
         self.held, self.cells = {}, 0
         return batch
 
@@ -173,6 +173,8 @@ def divergences(docs: DataFrame, least: int = 30, top: int = 50, held: int = HEL
     counts again; texts of any length are folded whole; ties rank by item in UTF-8 order; an empty table gives no rows;
     other columns are not read.
     """
+    # stripes are short rows: many go to Python at once, as many bytes as ever
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
     stripes = durable(merged(stripes_of(docs, held), least), "stripes")
     kept = stripes.where(F.col("term").isNotNull())
     cells = kept.select("lang", F.explode(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("count"))).alias("cell")).select("lang", "cell.*")
