@@ -1,28 +1,32 @@
 """Group bootstrap: resample groups with replacement, metrics per replicate, intervals.
 
-Draws are a pure function of the seed, so a lost task recomputes the same draws. Additive
-metrics need only per-group counts; rank metrics use weighted counts per distinct score.
+Draws are a pure function of the seed, so a lost task recomputes the same draws. All draws of a group travel as one
+array, so the rows that move do not grow with the number of replicates. Additive metrics need only per-group counts;
+rank metrics are prefix sums over scores of vectors with one entry a replicate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.arrays import stable_hash
 from strandwise.functions.numeric import count_if, safe_ratio
 from strandwise.operators import ranking
-from strandwise.operators.scans import exact_quantiles, number_keys
+from strandwise.operators.scans import exact_quantiles, number_keys, with_bucket
+from strandwise.session import durable
 
 LOW, HIGH = 0.025, 0.975
 
 
-def draw_weights(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
-    """``(b, group, weight)``: how often replicate ``b`` drew the group; ``n`` draws of ``n``.
+def draw_arrays(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
+    """``(group, draws)``: in which replicates ``b`` a group was drawn and how often (``weight``), ``n`` draws of ``n``.
 
-    Draw ``i`` of replicate ``b`` takes the group numbered ``hash(seed, b, i) mod n``.
+    Draw ``i`` of replicate ``b`` takes the group numbered ``hash(seed, b, i) mod n``. A group that was never drawn has no row.
     """
     if replicates <= 0:
         raise ValueError("replicates must be positive")
@@ -31,10 +35,22 @@ def draw_weights(groups: DataFrame, group: str, replicates: int, seed: int) -> D
     draws = groups.sparkSession.range(replicates * n)
     b = F.floor(F.col("id") / n).cast("long")
     i = F.col("id") - b * n
-    picked = draws.select(
-        b.alias("b"), (stable_hash(F.lit(seed), b, i) % n).alias("ordinal")
-    ).groupBy("b", "ordinal").agg(F.count(F.lit(1)).alias("weight"))
-    return picked.join(numbered, "ordinal").select("b", group, "weight")
+    drawn = draws.select(b.alias("b"), (stable_hash(F.lit(seed), b, i) % n).alias("ordinal")).repartition("ordinal")
+    times = drawn.groupBy("ordinal", "b").agg(F.count(F.lit(1)).alias("weight"))
+    each = times.groupBy("ordinal").agg(F.collect_list(F.struct("b", "weight")).alias("draws"))
+    return each.join(numbered, "ordinal").select(group, "draws")
+
+
+def draw_weights(groups: DataFrame, group: str, replicates: int, seed: int) -> DataFrame:
+    """``(b, group, weight)``: the draws of :func:`draw_arrays`, one row for each replicate that drew the group."""
+    return draw_arrays(groups, group, replicates, seed).select(group, F.inline("draws")).select("b", group, "weight")
+
+
+def _arrays(weights: DataFrame, group: str) -> DataFrame:
+    """The draws of each group as one array."""
+    if "draws" in weights.columns:
+        return weights
+    return weights.groupBy(group).agg(F.collect_list(F.struct("b", "weight")).alias("draws"))
 
 
 def group_counts_at(
@@ -56,7 +72,8 @@ def additive_replicates(
 ) -> DataFrame:
     """Recall, precision and false positives per drawn group for each replicate."""
     w = F.col("weight")
-    summed = stats.join(weights, group).groupBy(*extra, "b").agg(
+    drawn = stats.join(_arrays(weights, group), group).select(*extra, "p", "tp", "fp", F.inline("draws"))
+    summed = drawn.groupBy(*extra, "b").agg(
         F.sum(F.col("p") * w).alias("p"),
         F.sum(F.col("tp") * w).alias("tp"),
         F.sum(F.col("fp") * w).alias("fp"),
@@ -75,21 +92,63 @@ def additive_replicates(
 def rank_replicates(
     df: DataFrame, score: str, label: str, group: str, weights: DataFrame, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """AUPRC and AUROC per replicate from weighted counts per distinct score."""
+    """AUPRC and AUROC per replicate, from positives and negatives per distinct score as vectors over the replicates.
+
+    Scores are cut into blocks; a block is a matrix of scores and replicates in one task, and one total a block and
+    replicate is carried. Equal scores count together; rows without a score take no part.
+    """
     y = F.col(label).cast("boolean")
     # One row per (group, score, class) before the replicates multiply the rows.
     reduced = df.groupBy(*extra, group, F.col(score).alias("_score")).agg(
         count_if(y).alias("_p"), count_if(~y).alias("_q")
     )
-    w = F.col("weight")
-    counts = (
-        reduced.join(weights, group)
-        .groupBy(*extra, "b", F.col("_score").cast("double").alias("score"))
-        .agg(F.sum(F.col("_p") * w).alias("pos"), F.sum(F.col("_q") * w).alias("neg"))
+    reduced = reduced.withColumn("_score", F.col("_score").cast("double")).where(F.col("_score").isNotNull())
+    counted = durable(reduced, "scores")
+    edges = ranking.quantile_edges(counted, "_score")
+    drawn = with_bucket(counted, "_score", edges, "_bucket").join(_arrays(weights, group), group)
+    drawn = durable(drawn.select(*extra, "_bucket", "_score", "_p", "_q", F.col("draws.b").alias("_b"), F.col("draws.weight").alias("_w")), "drawn")
+    keys = [*extra, "_bucket"]
+    names = list(extra)
+    key_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in drawn.select(*keys).schema)
+
+    def totals(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        b, pos, neg = _summed(rows)
+        return pd.DataFrame({**dict(zip(keys, key, strict=True)), "b": b, "pos": pos.sum(axis=0), "neg": neg.sum(axis=0)})
+
+    whole = Window.partitionBy(*extra, "b")
+    above = whole.orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = drawn.groupBy(*keys).applyInPandas(totals, f"{key_type}, b long, pos double, neg double")
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    carried = carried.select(
+        *keys, "b", none(F.sum("pos").over(above)).alias("tp"), none(F.sum("neg").over(above)).alias("fp"), F.sum("pos").over(whole).alias("all_pos"), F.sum("neg").over(whole).alias("all_neg")
+    )
+
+    def areas(key: tuple, rows: pd.DataFrame, ahead: pd.DataFrame) -> pd.DataFrame:
+        b, pos, neg = _summed(rows)
+        at = ahead.set_index("b").loc[b]
+        tp = at["tp"].to_numpy() + pos.cumsum(axis=0)
+        fp = at["fp"].to_numpy() + neg.cumsum(axis=0)
+        with np.errstate(invalid="ignore"):
+            precise = np.where(pos > 0, pos * tp / np.maximum(tp + fp, 1e-300), 0.0).sum(axis=0)
+        under = (neg * (tp - pos / 2)).sum(axis=0)
+        return pd.DataFrame({**dict(zip(names, key, strict=False)), "b": b, "_pr": precise, "_roc": under, "all_pos": at["all_pos"].to_numpy(), "all_neg": at["all_neg"].to_numpy()})
+
+    own = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in drawn.select(*extra).schema) if extra else ""
+    parts = drawn.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(areas, f"{own}b long, _pr double, _roc double, all_pos double, all_neg double")
+    return parts.groupBy(*extra, "b").agg(
+        safe_ratio(F.sum("_pr"), F.max("all_pos")).alias("auprc"), safe_ratio(F.sum("_roc"), F.max("all_pos") * F.max("all_neg")).alias("auroc")
     )
-    strata = [*extra, "b"]
-    edges = ranking.quantile_edges(df.select(F.col(score).cast("double").alias("s")), "s")
-    return ranking.area_metrics(ranking.rank_curve(counts, strata, edges=edges), strata)
+
+
+def _summed(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The replicates that drew any of the rows, and weighted positives and negatives by score (falling) and replicate."""
+    score, place = np.unique(-rows["_score"].to_numpy(float), return_inverse=True)
+    sizes = rows["_b"].map(len).to_numpy()
+    b, column = np.unique(np.concatenate(rows["_b"].to_list()), return_inverse=True)
+    weight = np.concatenate(rows["_w"].to_list()).astype(float)
+    cell = np.repeat(place, sizes) * len(b) + column
+    out = [np.bincount(cell, weight * np.repeat(rows[c].to_numpy(float), sizes), len(score) * len(b)).reshape(len(score), len(b)) for c in ("_p", "_q")]
+    return b, out[0], out[1]
 
 
 def win_replicates(
@@ -100,7 +159,8 @@ def win_replicates(
     stats = pairs.groupBy(*extra, group).agg(
         count_if(win).alias("_w"), F.count(F.lit(1)).alias("_n")
     )
-    return stats.join(weights, group).groupBy(*extra, "b").agg(
+    drawn = stats.join(_arrays(weights, group), group).select(*extra, "_w", "_n", F.inline("draws"))
+    return drawn.groupBy(*extra, "b").agg(
         safe_ratio(F.sum(F.col("_w") * F.col("weight")), F.sum(F.col("_n") * F.col("weight"))).alias(
             "win_rate"
         )

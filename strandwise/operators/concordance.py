@@ -21,7 +21,7 @@ from strandwise.functions.numeric import (
     safe_ratio,
 )
 from strandwise.operators.scans import exact_quantiles
-from strandwise.session import durable
+from strandwise.session import bucketed, durable
 
 # Bins and read limits of the scorecard.
 BIN = 30
@@ -29,6 +29,7 @@ MIN_READS = 50
 MIN_FRAME_READS = 5
 SCALES = ("gene", "gene_mrna", "bin30", "codon", "nt", "frame")
 GROUP = ("condition", "library")
+UNIT = [*GROUP, "tx"]
 
 
 def replicate_concordance(totals: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +59,8 @@ def frame_fraction(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
     )
 
 
-def _unpivot(stats: DataFrame, keys: Sequence[str], sources: Sequence[str]) -> DataFrame:
+def unpivot(stats: DataFrame, keys: Sequence[str], sources: Sequence[str]) -> DataFrame:
+    """One row per source of columns ``v_source`` with the yardstick ``yard``."""
     rows = [
         F.struct(F.lit(s).alias("source"), F.col(f"v_{s}").alias("value"), F.col("yard").alias("yardstick"))
         for s in sources
@@ -66,30 +68,6 @@ def _unpivot(stats: DataFrame, keys: Sequence[str], sources: Sequence[str]) -> D
     return stats.select(*keys, "n", F.inline(F.array(*rows)))
 
 
-def gene_rows(
-    rows: DataFrame, units: DataFrame, sources: Sequence[str], *, cds_only: bool
-) -> DataFrame:
-    """Gene-level Pearson of ``log1p`` totals against replicate 2, over all units.
-
-    Units without reads have ``log1p`` 0: they enter through the count only.
-    """
-    j = rows.join(units, ["condition", "tx"])
-    if cds_only:
-        j = j.where("tx_pos >= cds_start AND tx_pos < cds_end")
-    columns = ["rep1", "rep2", *sources]
-    totals = j.groupBy(*GROUP, "tx").agg(*[F.log1p(F.sum(c)).alias(c) for c in columns])
-    counts = units.groupBy("condition").agg(F.count(F.lit(1)).alias("_units"))
-    totals = totals.join(counts, "condition")
-    n = F.max("_units")
-    aggs = []
-    for c in ["rep1", *sources]:
-        m, r, varies = corr_agg(F.col(c), F.col("rep2"), n)
-        aggs.append(pearson_or_zero(m, r, varies).alias("yard" if c == "rep1" else f"v_{c}"))
-    stats = totals.groupBy(*GROUP).agg(n.alias("n"), *aggs)
-    scale = "gene" if cds_only else "gene_mrna"
-    return _unpivot(stats, GROUP, sources).withColumn("scale", F.lit(scale))
-
-
 def unit_pearson(
     rows: DataFrame,
     units: DataFrame,
@@ -158,18 +136,20 @@ def within_rows(
     """Exact medians over units of :func:`unit_pearson`, one row per scale and source."""
     per_unit = unit_pearson(rows, units, sources, scales, min_reads)
     names = ["rep1", *sources]
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"r_{c}").alias("r")) for c in names]))
+    return medians(per_unit.select(*GROUP, "scale", each), sources)
+
+
+def medians(long: DataFrame, sources: Sequence[str]) -> DataFrame:
+    """Exact medians of the unit correlations ``r`` of each vector ``_c``, one row per scale and source."""
     keys = [*GROUP, "scale"]
-    long = per_unit.select(
-        *keys,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"r_{c}").alias("r")) for c in names])),
-    )
     edges = [-1.0 + 2.0 * i / 200 for i in range(1, 200)]  # correlations lie in [-1, 1]
-    medians = exact_quantiles(long, [*keys, "_c"], "r", {"m": 0.5}, edges=edges)
+    middle = exact_quantiles(long, [*keys, "_c"], "r", {"m": 0.5}, edges=edges)
     pick = lambda c: F.max(F.when(F.col("_c") == c, F.col("m")))
-    stats = medians.groupBy(*keys).agg(
+    stats = middle.groupBy(*keys).agg(
         F.max("n").alias("n"), pick("rep1").alias("yard"), *[pick(s).alias(f"v_{s}") for s in sources]
     )
-    return _unpivot(stats, keys, sources)
+    return unpivot(stats, keys, sources)
 
 
 def dominant_phase(a: Column, b: Column, c: Column, least: float) -> Column:
@@ -203,24 +183,91 @@ def codon_phases(
     return sums.select(*GROUP, "tx", "codon", *[e.alias(n) for n, e in phases.items()])
 
 
-def frame_rows(
-    rows: DataFrame, units: DataFrame, sources: Sequence[str], min_frame_reads: float = MIN_FRAME_READS
-) -> DataFrame:
-    """Share of codons whose dominant phase equals replicate 2's, for each source and replicate 1."""
-    chx = rows.where("library = 'chx'")
-    ph = codon_phases(chx, units, ["rep1", "rep2", *sources], {"rep2": min_frame_reads})
-    base = ph.where("phase_rep2 >= 0 AND phase_rep1 >= 0")
-    long = base.select(
-        *GROUP,
-        "phase_rep1",
-        "phase_rep2",
-        F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"phase_{s}").alias("_p")) for s in sources])),
-    ).where("_p >= 0")
-    return long.groupBy(*GROUP, "source").agg(
-        F.count(F.lit(1)).alias("n"),
-        safe_ratio(count_if(F.col("_p") == F.col("phase_rep2")), F.count(F.lit(1))).alias("value"),
-        safe_ratio(count_if(F.col("phase_rep1") == F.col("phase_rep2")), F.count(F.lit(1))).alias("yardstick"),
-    ).withColumn("scale", F.lit("frame"))
+def spliced_fact(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """The rows of the units with their length and CDS, bucketed by (condition, tx)."""
+    own = ["length", "cds_start", "cds_end"]
+    joined = rows.drop(*own).join(units.select("condition", "tx", *own), ["condition", "tx"])
+    return bucketed(joined, ["condition", "tx"], "spliced")
+
+
+def unit_stats(fact: DataFrame, sources: Sequence[str], min_frame_reads: float = MIN_FRAME_READS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per (condition, library, tx): totals and base correlations; codon correlations and phases; bin correlations.
+
+    Three aggregates inside the buckets of ``fact``. Each row says how many replicate-2 reads and grid cells its unit
+    has, so whether it counts is decided later. Absent positions and cells count as zeros.
+    """
+    columns = ["rep1", "rep2", *sources]
+    against = [c for c in columns if c != "rep2"]
+
+    def correlations(value: dict[str, Column], cells: Column) -> list[Column]:
+        out = []
+        for c in against:
+            m, r, varies = corr_agg(value[c], value["rep2"], cells)
+            out.append(pearson_or_zero(m, r, varies).alias(f"r_{c}"))
+        return out
+
+    cds = (F.col("tx_pos") >= F.col("cds_start")) & (F.col("tx_pos") < F.col("cds_end"))
+    plain = {c: F.col(c) for c in columns}
+    whole = fact.groupBy(*UNIT).agg(
+        F.sum("rep2").alias("reads"), F.max("length").alias("cells"), *correlations(plain, F.max("length")),
+        *[F.sum(c).alias(f"all_{c}") for c in columns], *[F.sum(F.when(cds, F.col(c))).alias(f"cds_{c}") for c in columns],
+    )
+
+    off = F.col("cds_start") % 3
+    phase = F.pmod(F.col("tx_pos") - F.col("cds_start"), F.lit(3))
+    shape = [F.max(c).alias(c) for c in ("length", "cds_start", "cds_end")]
+    codons = fact.groupBy(*UNIT, F.floor((F.col("tx_pos") - off) / 3.0).cast("long").alias("_bin")).agg(
+        *shape, *[F.sum(F.when(phase == i, F.col(c)).otherwise(0.0)).alias(f"_{c}{i}") for c in columns for i in range(3)]
+    )
+    cells = F.floor((F.col("length") - off) / 3.0).cast("long")
+    at = F.col("_bin")
+    summed = {c: F.col(f"_{c}0") + F.col(f"_{c}1") + F.col(f"_{c}2") for c in columns}
+    held = {c: F.when((at >= 0) & (at < cells), v) for c, v in summed.items()}
+    first = F.floor((F.col("cds_start") - off) / 3.0)
+    coding = (at >= first) & (at < first + F.floor((F.col("cds_end") - F.col("cds_start")) / 3.0)) & (F.col("library") == "chx")
+    codons = codons.withColumns({f"_p_{c}": dominant_phase(*[F.col(f"_{c}{i}") for i in range(3)], min_frame_reads if c == "rep2" else 0.0) for c in columns})
+    base = coding & (F.col("_p_rep2") >= 0) & (F.col("_p_rep1") >= 0)
+    frames = []
+    for s in sources:
+        ok = base & (F.col(f"_p_{s}") >= 0)
+        same = lambda c: F.col(f"_p_{c}") == F.col("_p_rep2")
+        frames += [count_if(ok).alias(f"frame_n_{s}"), count_if(ok & same(s)).alias(f"frame_{s}"), count_if(ok & same("rep1")).alias(f"frame_ref_{s}")]
+    codon = codons.groupBy(*UNIT).agg(F.sum(summed["rep2"]).alias("reads"), F.max(cells).alias("cells"), *correlations(held, F.max(cells)), *frames)
+
+    bins = fact.groupBy(*UNIT, F.floor(F.col("tx_pos") / float(BIN)).cast("long").alias("_bin")).agg(F.max("length").alias("length"), *[F.sum(c).alias(c) for c in columns])
+    cells = F.floor(F.col("length") / float(BIN)).cast("long")
+    inside = {c: F.when(F.col("_bin") < cells, F.col(c)) for c in columns}
+    binned = bins.groupBy(*UNIT).agg(F.sum("rep2").alias("reads"), F.max(cells).alias("cells"), *correlations(inside, F.max(cells)))
+    return durable(whole, "unit_totals"), durable(codon, "unit_codons"), durable(binned, "unit_bins")
+
+
+def scorecard_of(fact: DataFrame, units: DataFrame, sources: Sequence[str], *, min_reads: float = MIN_READS, min_frame_reads: float = MIN_FRAME_READS) -> DataFrame:
+    """Scorecard rows (condition, library, source, scale, value, yardstick, percent, n) of a spliced fact."""
+    whole, codon, binned = unit_stats(fact, sources, min_frame_reads)
+    names = ["rep1", *sources]
+    counts = units.groupBy("condition").agg(F.count(F.lit(1)).alias("_units"))
+    parts = []
+    for scale, prefix in (("gene", "cds"), ("gene_mrna", "all")):
+        totals = whole.where(F.col(f"{prefix}_rep2").isNotNull()).join(counts, "condition")
+        n = F.max("_units")
+        aggs = []
+        for c in names:
+            m, r, varies = corr_agg(F.log1p(f"{prefix}_{c}"), F.log1p(f"{prefix}_rep2"), n)
+            aggs.append(pearson_or_zero(m, r, varies).alias("yard" if c == "rep1" else f"v_{c}"))
+        stats = totals.groupBy(*GROUP).agg(n.alias("n"), *aggs)
+        parts.append(unpivot(stats, GROUP, sources).withColumn("scale", F.lit(scale)))
+    long = []
+    for scale, stats in (("nt", whole), ("codon", codon), ("bin30", binned)):
+        enough = stats.where((F.col("reads") >= min_reads) & (F.col("cells") >= 2))
+        each = F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"r_{c}").alias("r")) for c in names]))
+        long.append(enough.select(*GROUP, F.lit(scale).alias("scale"), each))
+    parts.append(medians(reduce(lambda a, b: a.unionByName(b), long), sources))
+    frames = F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"frame_n_{s}").alias("_n"), F.col(f"frame_{s}").alias("_same"), F.col(f"frame_ref_{s}").alias("_ref")) for s in sources]))
+    frame = codon.select(*GROUP, frames).groupBy(*GROUP, "source").agg(F.sum("_n").alias("n"), safe_ratio(F.sum("_same"), F.sum("_n")).alias("value"), safe_ratio(F.sum("_ref"), F.sum("_n")).alias("yardstick"))
+    parts.append(frame.where("n > 0").withColumn("scale", F.lit("frame")))
+    columns = ["condition", "library", "source", "scale", "value", "yardstick", "n"]
+    card = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts])
+    return card.withColumn("percent", percent_of(F.col("value"), F.col("yardstick")))
 
 
 def scorecard(
@@ -235,18 +282,8 @@ def scorecard(
 
     ``units``: ``condition, tx, length, cds_start, cds_end`` of the transcripts to score.
     """
-    # Both inputs are read by every scale: written once, so their joins are not planned again.
-    spliced = durable(rows.drop("length") if "length" in rows.columns else rows, "spliced")
     units = durable(units, "units")
-    parts = [
-        gene_rows(spliced, units, sources, cds_only=True),
-        gene_rows(spliced, units, sources, cds_only=False),
-        within_rows(spliced, units, sources, ("bin30", "codon", "nt"), min_reads),
-        frame_rows(spliced, units, sources, min_frame_reads),
-    ]
-    columns = ["condition", "library", "source", "scale", "value", "yardstick", "n"]
-    whole = reduce(lambda a, b: a.unionByName(b), [p.select(*columns) for p in parts])
-    return whole.withColumn("percent", percent_of(F.col("value"), F.col("yardstick")))
+    return scorecard_of(spliced_fact(rows, units), units, sources, min_reads=min_reads, min_frame_reads=min_frame_reads)
 
 
 def fit_scalars(totals: DataFrame, conditions: Sequence[str], evaluated: Sequence[str]) -> DataFrame:

@@ -81,7 +81,7 @@ def metric_intervals(
 
     ``scored`` is long: ``arm, p`` and the label and group of each row.
     """
-    weights = bootstrap.draw_weights(scored, group, replicates, seed)
+    weights = bootstrap.draw_arrays(scored, group, replicates, seed)
     stats = bootstrap.group_counts_at(
         scored.join(arms, "arm"), "p", label, group, F.col("threshold"), ["arm"]
     )

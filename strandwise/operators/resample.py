@@ -36,7 +36,7 @@ def depth_factors(predicted: DataFrame, real: DataFrame) -> DataFrame:
     )
 
 
-def _generator(seed: int, *key: object) -> np.random.Generator:
+def generator(seed: int, *key: object) -> np.random.Generator:
     """A generator that follows from the seed and all 128 bits of the key's digest."""
     digest = hashlib.md5(":".join(map(str, key)).encode()).digest()
     return np.random.default_rng([seed, *np.frombuffer(digest, dtype="<u4")])
@@ -85,7 +85,7 @@ def draw_counts(expectations: DataFrame, seed: int, copies: int = 1) -> DataFram
 
     def draw(key: tuple, rows: pd.DataFrame) -> np.ndarray:
         rates = np.maximum(rows["value"].to_numpy(float), 0.0) / copies
-        return copies * _generator(seed, *key).poisson(rates).astype(float)
+        return copies * generator(seed, *key).poisson(rates).astype(float)
 
     blocked = expectations.select(*keys, F.col("value").cast("double").alias("value"), block_of("pos").alias("_blk"))
     return _drawn(blocked, [*channel, "_blk"], ["pos", "value"], schema, draw)
@@ -103,7 +103,7 @@ def draw_to_depth(rows: DataFrame, depth: DataFrame, seed: int) -> DataFrame:
 
     def draw(key: tuple, part: pd.DataFrame) -> np.ndarray:
         share = part["value"].to_numpy(float)
-        return _generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
+        return generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
 
     positive = rows.where("value > 0").select(*keys, "tx_pos", F.col("value").cast("double").alias("value"))
     return _drawn(positive.join(reads, keys), keys, ["tx_pos", "value"], schema, draw)

@@ -37,7 +37,7 @@ def quantile_edges(df: DataFrame, column: str, buckets: int | None = None) -> li
     """
     n = buckets or bucket_count(df)
     probs = [i / n for i in range(1, n)]
-    found = df.approxQuantile(column, probs, 1.0 / (2 * n))
+    found = df.approxQuantile(column, probs, 1.0 / (2 * n)) if probs else []
     return sorted(set(found))
 
 

@@ -10,11 +10,11 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandwise.functions.arrays import interpolate, literal_array, sigmoid
+from strandwise.functions.arrays import sigmoid
+from strandwise.operators.isotonic import isotonic_pools, knots
 
 LOGIT_MARGIN = 1e-3
 
@@ -44,38 +44,54 @@ class Head:
             raise ValueError("threshold must lie in [0, 1] or be infinite")
 
 
-def block_logit(features: Column, coefficients: Sequence[float]) -> Column:
-    """Inner product of a feature block with fixed coefficients.
+def block_logits(features: Column, coefficients: Sequence[Sequence[float]]) -> Column:
+    """Inner products of a feature block with the coefficients of every head, as an array.
 
-    Arrow batches with one matrix product: interpreted array lambdas are far slower on blocks of
+    Arrow batches with one matrix product for all heads: interpreted array lambdas are far slower on blocks of
     hundreds of values.
     """
-    beta = np.asarray(coefficients, dtype=np.float64)
+    beta = np.asarray(coefficients, dtype=np.float64).T
 
-    @F.pandas_udf("double")
-    def product(block: pd.Series) -> pd.Series:
+    @F.pandas_udf("array<double>")
+    def products(block: pd.Series) -> pd.Series:
         if not len(block):
-            return pd.Series([], dtype="float64")
+            return pd.Series([], dtype="object")
         matrix = np.vstack(block.to_numpy()).astype(np.float64)
         if matrix.shape[1] != len(beta):
             raise ValueError(f"expected {len(beta)} features, got {matrix.shape[1]}")
-        return pd.Series(matrix @ beta)
+        return pd.Series(list(matrix @ beta))
+
+    return products(features)
+
 
-    return product(features)
+def block_logit(features: Column, coefficients: Sequence[float]) -> Column:
+    """Inner product of a feature block with one head's coefficients."""
+    return block_logits(features, [coefficients])[0]
 
 
 def partial_logits(rows: DataFrame, heads: Sequence[Head], key: str, column: str) -> DataFrame:
     """Add ``<key>_<i>``: each head's logit share of one feature block, without intercept."""
-    return rows.withColumns(
-        {f"{key}_{i}": block_logit(F.col(column), h.coefficients[key]) for i, h in enumerate(heads)}
-    )
+    with_all = rows.withColumn("_z", block_logits(F.col(column), [h.coefficients[key] for h in heads]))
+    return with_all.select(*rows.columns, *[F.col("_z")[i].alias(f"{key}_{i}") for i in range(len(heads))])
 
 
-def calibrated(logit: Column, head: Head) -> Column:
-    """Calibrated probability of a logit."""
-    return interpolate(
-        sigmoid(logit), literal_array(head.isotonic_x), literal_array(head.isotonic_y)
-    )
+def mean_calibrated(logits: Column, heads: Sequence[Head], shifts: Sequence[float]) -> Column:
+    """Mean calibrated probability over heads of an array of logits, one for each shift of the logits."""
+    knots = [(np.asarray(h.isotonic_x, float), np.asarray(h.isotonic_y, float)) for h in heads]
+
+    @F.pandas_udf("array<double>")
+    def means(block: pd.Series) -> pd.Series:
+        if not len(block):
+            return pd.Series([], dtype="object")
+        z = np.vstack(block.to_numpy()).astype(np.float64)
+        out = np.zeros((len(z), len(shifts)))
+        for j, shift in enumerate(shifts):
+            e = np.exp(-np.abs(z + shift))
+            p = np.where(z + shift >= 0, 1.0, e) / (1.0 + e)
+            out[:, j] = sum(np.interp(p[:, i], x, y) for i, (x, y) in enumerate(knots)) / len(heads)
+        return pd.Series(list(out))
+
+    return means(logits)
 
 
 def ensemble_scores(
@@ -102,16 +118,9 @@ def ensemble_scores(
         for i, h in enumerate(heads)
     ]
     rows = joined.select(row_id, *[z.alias(f"logit_{i}") for i, z in enumerate(logits)])
-
-    def mean(shift: float) -> Column:
-        total = F.lit(0.0)
-        for i, h in enumerate(heads):
-            total = total + calibrated(F.col(f"logit_{i}") + shift, h)
-        return total / float(len(heads))
-
-    return rows.withColumns(
-        {"p": mean(0.0), "p_low": mean(-LOGIT_MARGIN), "p_high": mean(LOGIT_MARGIN)}
-    )
+    every = F.array(*[F.col(f"logit_{i}") for i in range(len(heads))])
+    rows = rows.withColumn("_p", mean_calibrated(every, heads, (0.0, -LOGIT_MARGIN, LOGIT_MARGIN)))
+    return rows.withColumns({name: F.col("_p")[i] for i, name in enumerate(("p", "p_low", "p_high"))}).drop("_p")
 
 
 def threshold_band(scores: DataFrame, threshold: float) -> DataFrame:
@@ -166,14 +175,26 @@ def fit_head(
     raw = calibration.select(
         sigmoid(block_logit(F.col(features), beta) + intercept).alias("r"), y.alias("y")
     )
-    # Equal raw scores are merged first, so the fit sees one weighted point per distinct score.
-    points = raw.groupBy("r").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    vec = points.withColumn("x", array_to_vector(F.array("r")))
-    iso = IsotonicRegression(featuresCol="x", labelCol="y", weightCol="w").fit(vec)
-    xs, ys = iso.boundaries.toArray(), iso.predictions.toArray()
+    xs, ys = knots(isotonic_pools(raw, "r", "y"))
     return Head({key: beta}, intercept, xs, ys)
 
 
+def penalised_slope(train: DataFrame, head: Head, features: str, label: str, *, c: float = 1.0, key: str = "features") -> float:
+    """Largest slope, per row, of the head's penalised loss in its standardised coefficients and intercept: 0 at the optimum."""
+    raw = train.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"))
+    off = sigmoid(block_logit(F.col("x"), head.coefficients[key]) + head.intercept) - F.col("y")
+    cells = raw.select(off.alias("r"), F.posexplode("x").alias("j", "x"))
+    sums = cells.groupBy("j").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("x")).alias("rx"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")
+    )
+    worst = 0.0
+    for row in sums.collect():  # one row per feature
+        pull = float(head.coefficients[key][row["j"]]) * row["std"]
+        slope = c * (row["rx"] - row["mean"] * row["r"]) / row["std"] + pull if row["std"] > 0 else 0.0
+        worst = max(worst, abs(slope) / row["n"], abs(row["r"]) / row["n"])
+    return worst
+
+
 def with_threshold(head: Head, threshold: float) -> Head:
     """The same head with an operating threshold."""
     return Head(head.coefficients, head.intercept, head.isotonic_x, head.isotonic_y, threshold)

@@ -166,13 +166,13 @@ def _(spark, sf):
 @query(
     "replicate_concordance",
     f"""WITH g AS (SELECT gene, chrom, min(start) AS start, max("end") AS "end" FROM exons GROUP BY ALL),
-    t AS (SELECT g.gene, coalesce(sum(p.rep1), 0) AS a, coalesce(sum(p.rep2), 0) AS b FROM g LEFT JOIN
-      (SELECT * FROM pooled WHERE library = 'chx' AND condition = 'C0') p ON p.chrom = g.chrom AND p.pos >= g.start AND p.pos < g."end" GROUP BY g.gene)
-    SELECT round(corr(ln(1 + a), ln(1 + b)), {R}) AS replicate_r, count(*) AS n FROM t""",
+    t AS (SELECT c.condition, c.library, g.gene, coalesce(sum(p.rep1), 0) AS a, coalesce(sum(p.rep2), 0) AS b FROM g CROSS JOIN (SELECT DISTINCT condition, library FROM pooled) c
+      LEFT JOIN pooled p ON p.condition = c.condition AND p.library = c.library AND p.chrom = g.chrom AND p.pos >= g.start AND p.pos < g."end" GROUP BY ALL)
+    SELECT condition, library, round(corr(ln(1 + a), ln(1 + b)), {R}) AS replicate_r, count(*) AS n FROM t GROUP BY ALL""",
     "pooled exons",
 )
 def _(spark, sf):
-    return rounded(concordance.replicate_concordance(region_replicates(spark, sf)), "replicate_r")
+    return rounded(concordance.replicate_concordance(region_replicates(spark, sf), ["condition", "library"]), "replicate_r")
 
 
 @query(

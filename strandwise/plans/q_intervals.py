@@ -171,19 +171,19 @@ def gene_track_totals(spark, sf):
 
 @query(
     "region_totals_per_replicate",
-    """SELECT g.gene, coalesce(sum(p.rep1), 0) AS rep1, coalesce(sum(p.rep2), 0) AS rep2
-    FROM (SELECT gene, chrom, min(start) AS start, max("end") AS "end" FROM exons GROUP BY ALL) g
-    LEFT JOIN (SELECT * FROM pooled WHERE library = 'chx' AND condition = 'C0') p
-      ON p.chrom = g.chrom AND p.pos >= g.start AND p.pos < g."end" GROUP BY ALL""",
+    """SELECT c.condition, c.library, g.gene, coalesce(sum(p.rep1), 0) AS rep1, coalesce(sum(p.rep2), 0) AS rep2
+    FROM (SELECT gene, chrom, min(start) AS start, max("end") AS "end" FROM exons GROUP BY ALL) g CROSS JOIN (SELECT DISTINCT condition, library FROM pooled) c
+    LEFT JOIN pooled p ON p.condition = c.condition AND p.library = c.library AND p.chrom = g.chrom AND p.pos >= g.start AND p.pos < g."end" GROUP BY ALL""",
     "pooled exons",
 )
 def region_replicates(spark, sf):
     from strandwise.plans.q_tracks import pooled
 
     genes = expression.gene_spans(sv.exons(spark, sf)).drop("strand")
-    one = pooled(spark, sf).where("library = 'chx' AND condition = 'C0'")
-    sums = intervals.span_sums(one, genes, ["chrom"], {"rep1": "rep1", "rep2": "rep2"})
-    return sums.select("gene", "rep1", "rep2")
+    sums = intervals.span_sums(
+        pooled(spark, sf), genes, ["chrom"], {"rep1": "rep1", "rep2": "rep2"}, channels=["condition", "library"]
+    )
+    return sums.select("condition", "library", "gene", "rep1", "rep2")
 
 
 @query(
@@ -197,11 +197,11 @@ def _(spark, sf):
 
 @query(
     "genes_expressed_somewhere",
-    "SELECT DISTINCT x.tx FROM exons x WHERE EXISTS (SELECT 1 FROM expression e WHERE e.gene = x.gene AND e.condition = 'C1' AND e.expressed)",
+    "SELECT DISTINCT x.tx FROM exons x WHERE EXISTS (SELECT 1 FROM expression e WHERE e.gene = x.gene AND e.expressed)",
     "expression",
 )
 def _(spark, sf):
-    on = gene_table(spark, sf).where("expressed AND condition = 'C1'")
+    on = gene_table(spark, sf).where("expressed")
     return sv.exons(spark, sf).join(on, "gene", "left_semi").select("tx").distinct()
 
 

@@ -291,17 +291,20 @@ def test_rows(spark, sf):
     return sv.labelled(spark, sf).where("split = 'test'")
 
 
-def draws(spark, sf, b):
-    return bootstrap.draw_weights(test_rows(spark, sf), "transcript_id", b, SEED)
+REPLICATES = 1000
+
+
+def draws(spark, sf):
+    return bootstrap.draw_arrays(test_rows(spark, sf), "transcript_id", REPLICATES, SEED)
 
 
 @query(
     "bootstrap_draws",
-    f"WITH {DRAWS.format(seed=SEED, b=20)} SELECT b, transcript_id, weight FROM weights",
+    f"WITH {DRAWS.format(seed=SEED, b=REPLICATES)} SELECT b, transcript_id, weight FROM weights",
     "labelled",
 )
 def _(spark, sf):
-    return draws(spark, sf, 20)
+    return bootstrap.draw_weights(test_rows(spark, sf), "transcript_id", REPLICATES, SEED)
 
 
 ARMS = """
@@ -322,11 +325,11 @@ def arms(spark, sf):
     )
 
 
-def additive(spark, sf, b=40):
+def additive(spark, sf):
     stats = bootstrap.group_counts_at(
         arms(spark, sf), "s", "label", "transcript_id", F.col("threshold"), ["arm"]
     )
-    return bootstrap.additive_replicates(stats, draws(spark, sf, b), "transcript_id", ["arm"])
+    return bootstrap.additive_replicates(stats, draws(spark, sf), "transcript_id", ["arm"])
 
 
 LONG = "unnest(['recall', 'precision', 'fp_per_group']) AS metric, unnest([recall, precision, fp_per_group]) AS value"
@@ -335,7 +338,7 @@ QUANT = "round(quantile_cont(value, 0.025), 9) AS ci_low, round(quantile_cont(va
 
 @query(
     "bootstrap_intervals",
-    f"WITH {DRAWS.format(seed=SEED, b=40)}, {ARMS} SELECT arm, metric, {QUANT} FROM (SELECT arm, {LONG} FROM rep) GROUP BY ALL",
+    f"WITH {DRAWS.format(seed=SEED, b=REPLICATES)}, {ARMS} SELECT arm, metric, {QUANT} FROM (SELECT arm, {LONG} FROM rep) GROUP BY ALL",
     "labelled",
 )
 def bootstrap_intervals(spark, sf):
@@ -346,7 +349,7 @@ def bootstrap_intervals(spark, sf):
 
 @query(
     "paired_bootstrap",
-    f"""WITH {DRAWS.format(seed=SEED, b=40)}, {ARMS},
+    f"""WITH {DRAWS.format(seed=SEED, b=REPLICATES)}, {ARMS},
     d AS (SELECT x.arm || '-score' AS comparison, x.recall - y.recall AS recall, x.precision - y.precision AS precision,
           x.fp_per_group - y.fp_per_group AS fp_per_group FROM rep x JOIN rep y ON x.b = y.b AND y.arm = 'score' AND x.arm <> 'score')
     SELECT comparison, metric, {QUANT} FROM (SELECT comparison, {LONG} FROM d) GROUP BY ALL""",
@@ -360,7 +363,7 @@ def _(spark, sf):
 
 @query(
     "bootstrap_rank_metrics",
-    f"""WITH {DRAWS.format(seed=SEED, b=10)},
+    f"""WITH {DRAWS.format(seed=SEED, b=REPLICATES)},
     sc AS (SELECT b, score, coalesce(sum(weight) FILTER (label = 1), 0) AS pos, coalesce(sum(weight) FILTER (label = 0), 0) AS neg
        FROM labelled JOIN weights USING (transcript_id) WHERE split = 'test' GROUP BY ALL),
     curve AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER t AS all_pos, sum(neg) OVER t AS all_neg
@@ -371,19 +374,19 @@ def _(spark, sf):
 )
 def _(spark, sf):
     out = bootstrap.rank_replicates(
-        test_rows(spark, sf), "score", "label", "transcript_id", draws(spark, sf, 10)
+        test_rows(spark, sf), "score", "label", "transcript_id", draws(spark, sf)
     )
     return rounded(out, "auprc", "auroc")
 
 
 @query(
     "bootstrap_win_rate",
-    f"""WITH {DRAWS.format(seed=SEED, b=20)}, {PAIRS}
+    f"""WITH {DRAWS.format(seed=SEED, b=REPLICATES)}, {PAIRS}
     SELECT b, round(sum(weight) FILTER (pos_score > neg_score)::DOUBLE / sum(weight), 9) AS win_rate
     FROM pairs JOIN weights USING (transcript_id) WHERE split = 'test' GROUP BY ALL""",
     "labelled",
 )
 def _(spark, sf):
     test = ranking.near_pairs(test_rows(spark, sf), ["score"])
-    out = bootstrap.win_replicates(test, draws(spark, sf, 20), "transcript_id")
+    out = bootstrap.win_replicates(test, draws(spark, sf), "transcript_id")
     return rounded(out, "win_rate")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandwise.functions import arrays
-from strandwise.operators import quality, resample, sampling, scoring, tracks
+from strandwise.operators import isotonic, quality, resample, sampling, scoring, tracks
 from strandwise.plans import surrogates as sv
 from strandwise.plans.q_intervals import gene_table
 from strandwise.plans.q_tracks import IN_REGION, PLACED, REGION, placed, pooled, region, track
@@ -114,16 +115,57 @@ def _(spark, sf):
     return e.select("row_idx", "label", F.round("p", R).alias("p"), (F.col("p") >= 0.6).alias("called"))
 
 
+def fitted_head(f):
+    return scoring.fit_head(
+        f.where("row_idx % 3 <> 0"), f.where("row_idx % 3 = 0"), "features", "label", key="features"
+    )
+
+
 @query("fitted_head_scores")
 def fitted_head_scores(spark, sf):
     f = sv.features(spark, sf)
-    head = scoring.fit_head(
-        f.where("row_idx % 3 <> 0"), f.where("row_idx % 3 = 0"), "features", "label", key="features"
-    )
+    head = fitted_head(f)
     out = scoring.ensemble_scores({"features": f}, {"features": "features"}, [head], "row_idx")
     return rounded(out.select("row_idx", "p"), "p")
 
 
+# What holds of the one optimum: the penalised loss has no slope, and calibration keeps the mean label.
+@query(
+    "fitted_head_facts",
+    f"""SELECT count(*) FILTER (row_idx % 3 <> 0) AS train_rows, count(*) FILTER (row_idx % 3 = 0) AS calibration_rows, 0.0::DOUBLE AS slope,
+    round(avg(label) FILTER (row_idx % 3 = 0), {R}) AS calibrated_mean, true AS rising FROM feats""",
+    "feats",
+)
+def _(spark, sf):
+    f = sv.features(spark, sf)
+    head = fitted_head(f)
+    train, held = f.where("row_idx % 3 <> 0"), f.where("row_idx % 3 = 0")
+    slope = round(scoring.penalised_slope(train, head, "features", "label"), 3)
+    p = scoring.ensemble_scores({"features": held}, {"features": "features"}, [head], "row_idx")
+    rising = bool((np.diff(head.isotonic_y) >= 0).all() and (np.diff(head.isotonic_x) > 0).all())
+    return p.agg(
+        F.lit(train.count()).cast("long").alias("train_rows"), F.count(F.lit(1)).alias("calibration_rows"), F.lit(slope).alias("slope"),
+        F.round(F.avg("p"), R).alias("calibrated_mean"), F.lit(rising).alias("rising"),
+    )
+
+
+@query(
+    "isotonic_calibration",
+    """WITH c AS (SELECT score, sum(label)::DOUBLE AS t, count(*) AS w, row_number() OVER (ORDER BY score) AS i FROM labelled GROUP BY score),
+    cum AS (SELECT *, sum(t) OVER o AS st, sum(w) OVER o AS sw FROM c WINDOW o AS (ORDER BY score)),
+    means AS (SELECT a.i AS j, b.i AS k, (b.st - a.st + a.t) / (b.sw - a.sw + a.w) AS m FROM cum a JOIN cum b ON b.i >= a.i),
+    low AS (SELECT j, k AS i, min(m) OVER (PARTITION BY j ORDER BY k DESC) AS v FROM means),
+    fit AS (SELECT i, max(v) AS v FROM low GROUP BY i)
+    SELECT score, w::BIGINT AS n, round(v, 9) AS calibrated FROM c JOIN fit USING (i)""",
+    "labelled",
+)
+def _(spark, sf):
+    rows = sv.labelled(spark, sf)
+    xs, ys = isotonic.knots(isotonic.isotonic_pools(rows, "score", "label"))
+    counted = rows.groupBy("score").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("score", "n", F.round(isotonic.interpolated(F.col("score"), xs, ys), 9).alias("calibrated"))
+
+
 @query("pca_coordinates")
 def _(spark, sf):
     f = sv.features(spark, sf)

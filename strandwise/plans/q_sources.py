@@ -54,16 +54,17 @@ def _(spark, sf):
 
 @query(
     "count_text_scan",
-    "SELECT gene, sum(count)::BIGINT AS count FROM gene_counts WHERE condition = 'C0' GROUP BY ALL",
+    "SELECT condition, gene, sum(count)::BIGINT AS count FROM gene_counts GROUP BY ALL",
     "gene_counts",
 )
 def _(spark, sf):
-    c = sv.gene_counts(spark, sf).where("condition = 'C0'")
-    line = F.concat_ws("\t", F.concat(F.lit("G"), F.col("gene").cast("string")), F.col("count").cast("string"))
+    c = sv.gene_counts(spark, sf)
+    line = F.concat_ws("\t", F.concat_ws("G", "condition", F.col("gene").cast("string")), F.col("count").cast("string"))
     extra = F.concat_ws("\t", F.lit("__no_feature"), F.col("count").cast("string"))
     text = c.select(F.explode(F.array(line, extra)).alias("text"))
     parsed = tables.gene_counts(text)
-    return parsed.groupBy(F.substring("gene_id", 2, 20).cast("long").alias("gene")).agg(F.sum("count").alias("count"))
+    named = F.split("gene_id", "G")
+    return parsed.groupBy(named[0].alias("condition"), named[1].cast("long").alias("gene")).agg(F.sum("count").alias("count"))
 
 
 @query(
@@ -488,9 +489,9 @@ def _(spark, sf):
 
 @query(
     "unmatched_keys",
-    "SELECT DISTINCT l_partkey AS part FROM lineitem WHERE l_partkey % 3 = 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size % 2 = 0)",
+    "SELECT DISTINCT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
 )
 def _(spark, sf):
-    li = sv.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("part")).where("part % 3 = 0").distinct()
-    known = sv.table(spark, sf, "part").where("p_size % 2 = 0").select(F.col("p_partkey").alias("part"))
-    return li.join(known, "part", "left_anti")
+    every = sv.table(spark, sf, "orders").select(F.col("o_orderkey").alias("key")).distinct()
+    known = sv.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"))
+    return every.join(known, "key", "left_anti")

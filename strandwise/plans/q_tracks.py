@@ -23,12 +23,11 @@ def pooled(spark, sf):
 
 
 def region(spark, sf):
-    """Union of every third window."""
-    w = sv.windows(spark, sf).where("(start div 256) % 3 = 0")
-    return intervals.merge_spans(w, ["chrom"])
+    """Union of all windows."""
+    return intervals.merge_spans(sv.windows(spark, sf), ["chrom"])
 
 
-REGION = f"""w3 AS (SELECT * FROM windows WHERE (start // 256) % 3 = 0), region AS ({islands('chrom', 'w3')})"""
+REGION = f"""region AS ({islands('chrom', 'windows')})"""
 IN_REGION = "EXISTS (SELECT 1 FROM region r WHERE r.chrom = {t}.chrom AND {t}.{p} >= r.start AND {t}.{p} < r.\"end\")"
 
 
@@ -168,22 +167,22 @@ def _(spark, sf):
 
 @query(
     "window_channel_matrix",
-    """SELECT w.chrom, w.start, p.pos - w.start AS base,
+    """SELECT p.condition, w.chrom, w.start, p.pos - w.start AS base,
      sum(CASE WHEN library = 'tis' AND strand = '+' THEN value ELSE 0 END) AS tis_plus,
      sum(CASE WHEN library = 'tis' AND strand = '-' THEN value ELSE 0 END) AS tis_minus,
      sum(CASE WHEN library = 'chx' AND strand = '+' THEN value ELSE 0 END) AS chx_plus,
      sum(CASE WHEN library = 'chx' AND strand = '-' THEN value ELSE 0 END) AS chx_minus
     FROM windows w JOIN pooled p ON p.chrom = w.chrom AND p.pos >= w.start AND p.pos < w."end"
-    WHERE p.condition = 'C0' AND library <> 'rna' GROUP BY ALL""",
+    WHERE library <> 'rna' GROUP BY ALL""",
     "pooled windows",
 )
 def _(spark, sf):
-    p = pooled(spark, sf).where("condition = 'C0' AND library <> 'rna'")
+    p = pooled(spark, sf).where("library <> 'rna'")
     hits = intervals.points_in_spans(p, sv.windows(spark, sf), ["chrom"])
     name = F.concat("library", F.when(F.col("strand") == "+", "_plus").otherwise("_minus"))
     wide = (
         hits.withColumn("channel", name)
-        .groupBy("chrom", "start", (F.col("pos") - F.col("start")).alias("base"))
+        .groupBy("condition", "chrom", "start", (F.col("pos") - F.col("start")).alias("base"))
         .pivot("channel", ["tis_plus", "tis_minus", "chx_plus", "chx_minus"])
         .sum("value")
     )

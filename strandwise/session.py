@@ -73,3 +73,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Write ``df`` as a table bucketed by ``keys`` in the shared folder: later groups and joins on the keys stay in place.
+
+    One file for each bucket, as many buckets as the session has shuffle partitions. For keys whose groups fit a task.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys)
+    dealt.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
