@@ -75,6 +75,16 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``durable`` wrote, once all that reads them has been written."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Write ``df`` as a table bucketed by ``keys`` in the shared folder: later groups and joins on the keys stay in place.
 
