@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import components, octets, packed, runs_of, unpacked
-from strandwise.session import durable
+from strandwise.session import durable, forget
 
 #: Odd multipliers of the hashes; their arithmetic is modulo 2^64.
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -48,6 +48,14 @@ def shingles(h: np.ndarray, words: int) -> np.ndarray:
     return scrambled(out)
 
 
+def banded(marks: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit value for each band of ``rows`` MinHashes (columns of ``marks``)."""
+    out = np.zeros((len(marks), marks.shape[1] // rows), np.uint64)
+    for k in range(rows):
+        out = scrambled(out * np.uint64(STEP) + marks[:, k::rows])
+    return out
+
+
 def minhash(s: np.ndarray, begin: np.ndarray, end: np.ndarray, seeds: range) -> np.ndarray:
     """Least scrambled value of s[begin:end] of each range, by seed."""
     out = np.empty((len(begin), len(seeds)), np.uint64)
@@ -107,8 +115,12 @@ class Units:
         return doc[at], at
 
 
-def _units(words: int, least: int, bands: int, size: int, wide: int):
-    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words; of paragraphs also MinHashes, and key and number of the words in short lines up to the document's next paragraph."""
+def _units(words: int, least: int, rows_a_band: int, bands: int, size: int, wide: int):
+    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words, and key and number of further words.
+
+    Of paragraphs also the bands of MinHashes; their further words are those in short lines up to the document's next
+    paragraph. Of seeds they are all from the seed to the end of the next one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
@@ -119,38 +131,48 @@ def _units(words: int, least: int, bands: int, size: int, wide: int):
                 u = Units(known, [t for _, t in part])
                 good = u.line_end - u.line_begin >= least
                 begin, end, doc = u.line_begin[good], u.line_end[good], u.line_doc[good]
-                marks = minhash(shingles(u.h, words), begin, end - words + 1, range(bands)).view(np.int64)
+                marks = banded(minhash(shingles(u.h, words), begin, end - words + 1, range(rows_a_band * bands)), rows_a_band).view(np.int64)
                 upto = end.copy()
                 upto[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], end[:-1])
                 held, seed = u.seeds(size, wide)
                 at, to, own = (np.concatenate(x) for x in ((begin, seed), (end, seed + size), (doc, held)))
-                none = np.zeros(len(seed), np.int64)
+                then = seed.copy()  # the end of the document's next seed, or the seed's own start
+                then[:-1] = np.where(held[1:] == held[:-1], seed[1:] + size, seed[:-1])
                 lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(begin) + 1) * bands, np.full(len(seed), len(begin) * bands)), pa.int32()), pa.array(marks.ravel()))
-                columns = [pa.array(u.keys(at, to)), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists, pa.array(np.append(u.keys(end, upto), none)), pa.array(np.append(upto - end, none), pa.int32())]
+                columns = [pa.array(u.keys(at, to)), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists, pa.array(u.keys(np.append(end, seed), np.append(upto, then))), pa.array(np.append(upto - end, then - seed), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "words", "marks", "gap_key", "gap"])
 
     return run
 
 
-def _widened(size: int, wide: int):
-    """(doc_id, text, places of seeds) to units: the seeds with 1 to ``wide`` - 1 words more to the left or to the right."""
+def _beside(size: int, reach: int):
+    """(doc_id, text, places of seeds) to the hashes of up to ``reach`` words beside each seed's open sides, outwards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
-        more = np.arange(1, wide)
+        out = np.arange(reach)
         for batch in batches:
-            for d, text, places in zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+            places = batch.column(2)
+            stops = np.append(0, np.cumsum(places.value_lengths().to_numpy()))
+            fields = [places.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("start", "key", "left", "right")]
+            parts = []
+            for i, (d, text) in enumerate(zip(batch.column(0).to_pylist(), octets(batch.column(1)), strict=True)):
                 u = Units(known, [text])
-                at, keys = (np.array([p[f] for p in places], np.int64) for f in ("start", "key"))
+                at, keys, left, right = (f[stops[i] : stops[i + 1]] for f in fields)
+                at = at.astype(np.int64)
                 inside = at + size <= len(u.h)
-                at, keys, left, right = at[inside], keys[inside], *(np.array([p[f] for p in places], bool)[inside] for f in ("left", "right"))
+                at, keys, left, right = at[inside], keys[inside], left[inside], right[inside]
                 same = u.keys(at, at + size) == keys
-                at, left, right = at[same], left[same], right[same]
-                begin = np.concatenate([(at[left][:, None] - more).ravel(), np.repeat(at[right], len(more))])
-                end = np.concatenate([np.repeat(at[left] + size, len(more)), (at[right][:, None] + size + more).ravel()])
-                whole = (begin >= 0) & (end <= len(u.h))
-                begin, end = begin[whole], end[whole]
-                yield pa.RecordBatch.from_arrays([pa.array(u.keys(begin, end)), pa.array(np.full(len(begin), d, np.int64)), pa.array(begin, pa.int32()), pa.array(end - begin, pa.int32())], ["key", "doc_id", "start", "words"])
+                short = (u.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                for side, mine in ((False, same & left), (True, same & right)):
+                    place = at[mine][:, None]
+                    near = place + size + out if side else place - 1 - out
+                    whole = (near >= 0) & (near < len(short))
+                    parts.append((keys[mine], np.full(mine.sum(), d, np.int64), at[mine], np.full(mine.sum(), side), whole.sum(axis=1), short[near[whole]]))
+            if parts:
+                key, doc, at, side, many, near = (np.concatenate(x) for x in zip(*parts, strict=True))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(near, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at, pa.int32()), pa.array(side), lists], ["key", "doc_id", "start", "side", "near"])
 
     return run
 
@@ -174,24 +196,6 @@ def _shingled(words: int):
     return run
 
 
-def _finer(rows: int, bands: int, first: int):
-    """(cell, key, set) to the cells of finer bands: the old cell and a hash of ``rows`` further MinHashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = batch.column(2)
-            sizes = s.value_lengths().to_numpy()
-            end = np.cumsum(sizes)
-            m = minhash(s.flatten().to_numpy().view(np.uint64), end - sizes, end, range(first, first + rows * bands)).reshape(-1, bands, rows)
-            band = np.arange(bands, dtype=np.uint64)[None] * np.uint64(MIX)
-            for k in range(rows):
-                band = scrambled(band * np.uint64(STEP) + m[:, :, k])
-            cells = scrambled(band + batch.column(0).to_numpy().view(np.uint64)[:, None]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cells.ravel()), pa.array(np.repeat(batch.column(1).to_numpy(), bands))], ["cell", "key"])
-
-    return run
-
-
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more, exactly."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
@@ -265,19 +269,57 @@ def _shared(units: DataFrame) -> DataFrame:
 
 
 def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataFrame:
-    """The shared seeds, and those at the ends of shared runs widened word by word to the run's true ends.
+    """Shared seeds, shared words from a seed to the end of the next, and what seeds at the ends of runs share beside them.
 
     A run goes on for less than ``wide`` words behind its last seed, since the next ``wide`` shingles would hold
-    another. Where an end of a seed is open in one document, all that hold the seed are widened, to be compared.
+    another. Where what follows a seed is shared no further in one document, the words there of all that hold the
+    seed are compared (``_grown``).
     """
-    shared = durable(_shared(seeds), "seeds")
-    by = Window.partitionBy("doc_id").orderBy("start")
-    left = F.coalesce(F.col("start") > F.lag("start").over(by) + size, F.lit(True))
-    right = F.coalesce(F.lead("start").over(by) > F.col("start") + size, F.lit(True))
-    ends = shared.select("key", left.alias("left"), right.alias("right")).groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") | F.col("right"))
+    own = ["key", "doc_id", "start", "words"]
+    shared = durable(_shared(seeds.select(own)), "seeds")
+    spans = durable(_shared(seeds.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
+    # by place: is the side closed by a shared span, and do rows that repeat the doc_id differ there?
+    none, mark = F.lit(None), F.lit(1)
+    facts = shared.select("doc_id", "start", "key", none.cast("int").alias("l"), none.cast("int").alias("r"))
+    facts = facts.unionByName(spans.select("doc_id", "start", none.cast("long").alias("key"), none.cast("int").alias("l"), mark.alias("r")))
+    facts = facts.unionByName(spans.select("doc_id", (F.col("start") + F.col("words") - size).alias("start"), none.cast("long").alias("key"), mark.alias("l"), none.cast("int").alias("r")))
+    several = F.min("key") < F.max("key")
+    facts = facts.groupBy("doc_id", "start").agg((F.max("l").isNull() | several).alias("left"), (F.max("r").isNull() | several).alias("right"))
+    held = shared.select("key", "doc_id", "start").distinct().join(facts, ["doc_id", "start"])
+    ends = held.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") | F.col("right"))
     places = shared.select("key", "doc_id", "start").distinct().join(ends, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "left", "right")).alias("places"))
-    wider = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_widened(size, wide), "key long, doc_id long, start int, words int")
-    return shared.unionByName(_shared(durable(wider, "wider"))).withColumn("removed", F.col("doc_id") > F.col("keeper"))
+    beside = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
+    beside = durable(beside.where(F.size("near") > 0).withColumn("class", F.xxhash64("key", "side", "near")), "beside")
+    unit = ["doc_id", "start", "words", "keeper", "there", "shift"]
+    found = shared.select(unit).unionByName(spans.select(unit)).unionByName(_grown(beside, size).select(unit))
+    out = durable(found.withColumn("removed", F.col("doc_id") > F.col("keeper")), "exact")
+    forget(shared, spans, beside)
+    return out
+
+
+def _grown(beside: DataFrame, size: int) -> DataFrame:
+    """Seeds with as many words beside them as another document shares.
+
+    Places with the same words beside the seed are one class. The classes' beginnings of 1, 2, ... words are counted,
+    not the places', so copies cost one row each; a place then takes the longest beginning that a smaller doc_id
+    holds, and the longest that it is the smallest to hold.
+    """
+    place = F.struct("doc_id", "start")
+    classes = beside.groupBy("class", "key", "side", "near").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    begun = classes.select("class", "low", "high", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("j"), "key", "side", "near")
+    begun = durable(begun.select("class", "low", "high", "j", F.xxhash64("key", "side", F.slice("near", 1, F.col("j"))).alias("head")), "begun")
+    heads = begun.groupBy("head").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first.doc_id < last.doc_id")
+    levels = begun.join(heads, "head").groupBy("class").agg(F.collect_list(F.struct("j", "first", "last")).alias("levels"))
+    doc = F.col("doc_id")
+    later = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] < doc))
+    first = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] == doc))
+    one = F.explode(F.filter(F.array(later.alias("a"), first.alias("a")), lambda x: x.isNotNull()))
+    each = beside.join(levels, "class").select("doc_id", "start", "side", one.alias("best"))
+    j = F.col("best.j")
+    other = F.when(F.col("best.first.doc_id") == doc, F.col("best.last")).otherwise(F.col("best.first"))
+    begin = F.when(F.col("side"), F.col("start")).otherwise(F.col("start") - j)
+    out = each.select("doc_id", begin.alias("start"), (j + size).alias("words"), F.col("best.first.doc_id").alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift"))
+    return out
 
 
 def bridges(found: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -306,12 +348,12 @@ def _over_short_lines(found: DataFrame) -> DataFrame:
     return gaps.join(same, ["cluster", "gap_key"], "left_semi").select("doc_id", "start", (F.col("words") + F.col("gap")).alias("words"), "keeper", "removed")
 
 
-def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32, band: int = 4) -> DataFrame:
     """(doc_id, start, words, keeper, removed): the runs of words that other documents hold as well.
 
     Paragraphs of ``least`` words or more are linked if the Jaccard similarity of their sets of ``words``-word
     shingles is ``threshold`` or more. Candidates share one of the MinHash bands tuned to ``recall``; they
-    are checked exactly, and clusters are components. In a cluster over several documents the smallest doc_id
+    are checked exactly, and clusters are components. Bands have ``band`` MinHashes. In a cluster over several documents the smallest doc_id
     keeps its text. Short lines between linked paragraphs count where the cluster shares them.
 
     Beside paragraphs, every run of ``run`` equal words is found, whatever the lines are: seeds are chosen in the
@@ -322,18 +364,18 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     Neighbouring units of the same fate join, and runs of ``run`` words or more are returned, by word numbers.
 
     Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. Cells with more than
-    ``crowd`` paragraphs are banded anew by further MinHashes, and linked by hubs where these are crowded too.
+    ``crowd`` paragraphs are linked by hubs, which lose no connection inside the cell.
 
     Edge cases: null or empty texts, and rows without doc_id, take no part; rows that repeat a doc_id are one
     document; very long texts and lines are read whole; an empty table gives no rows; other columns are not read.
     """
-    bands = tune_bands(threshold, 1, recall)
+    bands = tune_bands(threshold, band, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = min(8, run)
     wide = run - size + 1
     shape = "key long, doc_id long, start int, words int, marks array<long>, gap_key long, gap int"
-    units = durable(rows.mapInArrow(_units(words, least, bands, size, wide), shape), "units")
-    seeds = units.where(F.size("marks") == 0).select("key", "doc_id", "start", "words")
+    units = durable(rows.mapInArrow(_units(words, least, band, bands, size, wide), shape), "units")
+    exact = exact_runs(rows, units.where(F.size("marks") == 0).drop("marks"), size, wide)
     whole = units.where(F.size("marks") > 0)
     # equal paragraphs once, with one place where the words stand
     place = F.struct("doc_id", "start", "words")
@@ -346,21 +388,15 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     places = places.groupBy("_doc").agg(F.collect_list("p").alias("places"))
     sets = rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_shingled(words), "key long, s array<long>")
     sets = durable(sets.dropDuplicates(["key"]), "shingles")
-    links = similar(pairs, sets, threshold)
+    links = durable(similar(pairs, sets, threshold), "links")
     if not crowds.isEmpty():
-        finer = crowds.join(sets, "key").select("cell", "key", "s").mapInArrow(_finer(4, tune_bands(threshold, 4, recall), bands), "cell long, key long")
-        more, still = small_cells(finer, crowd)
-        links = durable(links.unionByName(similar(more, sets, threshold)), "links")
-        if not still.isEmpty():
-            links = links.unionByName(hub_links(still, sets, threshold, crowd, links))
-    roots = components(links.distinct())
-    # paragraphs by class; first and last document tell whether there are several
-    classed = durable(paragraphs.select("key").join(roots.withColumnRenamed("node", "key"), "key").select("key", "root"), "classes")
-    kept = whole.drop("marks").join(classed, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key")
-    kept = durable(kept, "members")
+        links = links.unionByName(hub_links(crowds, sets, threshold, crowd, links))
+    roots = components(links.distinct()).withColumnRenamed("node", "key")
+    # paragraphs by cluster; first and last document tell whether there are several
+    kept = durable(whole.drop("marks").join(roots, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key"), "members")
+    forget(units, paragraphs, pairs, crowds, sets)
     held = kept.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
-    exact = durable(exact_runs(rows, seeds, size, wide), "exact")
     unit = ["doc_id", "start", "words", "keeper", "removed"]
     found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(exact.select(unit)).unionByName(bridges(exact, words, threshold))
     joined = _islands(found)
