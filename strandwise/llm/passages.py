@@ -259,13 +259,18 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
     return links
 
 
-def _shared(units: DataFrame) -> DataFrame:
-    """The units that other documents hold: doc_id, start, words, key, keeper, and the place of one other document's."""
+def _shared(units: DataFrame, *more: str) -> DataFrame:
+    """The units that other documents hold: doc_id, start, words, key, keeper, the place of one other document's, and columns ``more``.
+
+    Whether several documents hold a key is told from two numbers a key, so units that stand alone leave early.
+    """
+    several = units.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    units = units.join(several, "key", "left_semi")
     place = F.struct("doc_id", "start")
-    held = units.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high")).where("low.doc_id < high.doc_id")
+    held = units.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     other = F.when(F.col("doc_id") == F.col("low.doc_id"), F.col("high")).otherwise(F.col("low"))
     joined = units.join(held, "key").withColumn("other", other)
-    return joined.select("doc_id", "start", "words", "key", F.col("low.doc_id").alias("keeper"), F.col("other.doc_id").alias("there"), (F.col("other.start") - F.col("start")).alias("shift"))
+    return joined.select("doc_id", "start", "words", "key", F.col("low.doc_id").alias("keeper"), F.col("other.doc_id").alias("there"), (F.col("other.start") - F.col("start")).alias("shift"), *more)
 
 
 def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataFrame:
@@ -275,9 +280,8 @@ def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataF
     another. Where what follows a seed is shared no further in one document, the words there of all that hold the
     seed are compared (``_grown``).
     """
-    own = ["key", "doc_id", "start", "words"]
-    shared = durable(_shared(seeds.select(own)), "seeds")
-    spans = durable(_shared(seeds.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
+    shared = durable(_shared(seeds, "gap_key", "gap"), "seeds")
+    spans = durable(_shared(shared.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
     # by place: is the side closed by a shared span, and do rows that repeat the doc_id differ there?
     none, mark = F.lit(None), F.lit(1)
     facts = shared.select("doc_id", "start", "key", none.cast("int").alias("l"), none.cast("int").alias("r"))
