@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.functions.arrays import stable_hash
@@ -61,6 +61,40 @@ def cap_negatives(rows: DataFrame, row_id: str, label: str, cap: int, seed: int)
     return rows.where(y).unionByName(cap_by_hash(rows.where(~y), row_id, cap, seed))
 
 
+def cap_members(rows: DataFrame, row_id: str, label: str, cap: int, seeds: Sequence[int], name: str = "members") -> DataFrame:
+    """Add ``name``: for each seed, whether ``cap_negatives`` with that seed keeps the row. Row ids are unique.
+
+    Hash prefixes are counted for all seeds in one pass; only the prefix that holds a seed's last negative is sorted,
+    1 row in 65,536.
+    """
+    if cap <= 0:
+        raise ValueError("cap must be positive")
+    y = F.col(label).cast("boolean")
+    hashes = [stable_hash(F.lit(s), F.col(row_id)) for s in seeds]
+    each = rows.where(~y).select(F.col(row_id).alias("id"), F.posexplode(F.array(*hashes)).alias("s", "h")).withColumn("prefix", F.shiftright("h", 16))
+    counted = each.groupBy("s", "prefix").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("s").orderBy("prefix"))
+    ends = counted.withColumn("upto", upto).where((F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap)).collect()
+    cuts = {}
+    if ends:
+        last = F.lit(False)
+        wanted = F.lit(0)
+        for r in ends:  # one row per seed
+            here = (F.col("s") == r["s"]) & (F.col("prefix") == r["prefix"])
+            last = last | here
+            wanted = F.when(here, cap - (r["upto"] - r["n"])).otherwise(wanted)
+        place = F.row_number().over(Window.partitionBy("s").orderBy("h", "id"))
+        cuts = {r["s"]: r for r in each.where(last).withColumn("o", place).where(F.col("o") == wanted).collect()}
+    kept = []
+    for i, h in enumerate(hashes):
+        if i in cuts:
+            cut = cuts[i]
+            kept.append(y | (h < cut["h"]) | ((h == cut["h"]) & (F.col(row_id) <= F.lit(cut["id"]))))
+        else:
+            kept.append(y.isNotNull())
+    return rows.withColumn(name, F.array(*[F.coalesce(k, F.lit(False)) for k in kept]))
+
+
 def both_classes(rows: DataFrame, label: str) -> DataFrame:
     """Counts per class, with a flag that both occur."""
     y = F.col(label).cast("boolean")

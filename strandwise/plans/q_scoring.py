@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strandwise.functions import arrays
-from strandwise.operators import isotonic, quality, resample, sampling, scoring, tracks
+from strandwise.operators import evaluation, isotonic, quality, resample, sampling, scoring, tracks
 from strandwise.plans import surrogates as sv
 from strandwise.plans.q_intervals import gene_table
 from strandwise.plans.q_tracks import IN_REGION, PLACED, REGION, placed, pooled, region, track
@@ -129,6 +129,42 @@ def fitted_head_scores(spark, sf):
     return rounded(out.select("row_idx", "p"), "p")
 
 
+SEEDS = (1, 2, 3)
+CAP = 100
+
+
+def run_of(spark, sf):
+    """Two feature sets and three draws of training negatives over all vectors."""
+    f = sv.features(spark, sf).withColumn("half", F.slice("features", 1, HALF))
+    split = F.when(F.col("row_idx") % 5 == 0, "test").when(F.col("row_idx") % 5 < 3, "val").otherwise("train")
+    rows = f.select("*", split.alias("split"), F.expr("row_idx div 16").alias("transcript_id"))
+    return evaluation.evaluation_run(rows, {"whole": "features", "half": "half"}, seeds=SEEDS, position="row_idx", negative_cap=CAP)
+
+
+@query("multi_seed_run")
+def multi_seed_run(spark, sf):
+    m = run_of(spark, sf).metrics
+    return rounded(m, *[c for c, t in m.dtypes if t == "double"])
+
+
+@query(
+    "multi_seed_facts",
+    f"""WITH s AS (SELECT label, CASE WHEN row_idx % 5 = 0 THEN 'test' WHEN row_idx % 5 < 3 THEN 'val' ELSE 'train' END AS split, row_idx // 16 AS g FROM feats),
+    c AS (SELECT count(*) FILTER (split = 'train' AND label = 1) AS p, count(*) FILTER (split = 'train' AND label = 0) AS n, count(*) FILTER (split = 'test') AS t,
+      count(*) FILTER (split = 'test' AND label = 1) AS tp, count(DISTINCT g) FILTER (split = 'test') AS groups FROM s)
+    SELECT arm, seed, p + least(n, {CAP}) AS train_rows, p AS train_positives, 0.0::DOUBLE AS slope, t AS test_rows, tp AS test_positives, groups AS test_groups
+    FROM c, unnest(['whole', 'half']) a(arm), unnest(['1', '2', '3']) b(seed)""",
+    "feats",
+)
+def _(spark, sf):
+    run = run_of(spark, sf)
+    fits = [(a, str(s), f.rows, f.positives, round(f.slope, R) + 0.0) for a, fs in run.fits.items() for s, f in zip(SEEDS, fs, strict=True)]
+    fitted = spark.createDataFrame(fits, "arm string, seed string, train_rows long, train_positives long, slope double")
+    counted = run.scored.groupBy("arm", "seed", "transcript_id").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
+    counted = counted.groupBy("arm", "seed").agg(F.sum("n").alias("test_rows"), F.sum("p").alias("test_positives"), F.count(F.lit(1)).alias("test_groups"))
+    return fitted.join(counted, ["arm", "seed"])
+
+
 # What holds of the one optimum: the penalised loss has no slope, and calibration keeps the mean label.
 @query(
     "fitted_head_facts",

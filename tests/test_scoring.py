@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandwise.operators import evaluation, quality, scoring
+from strandwise.operators import evaluation, multifit, quality, ranking, sampling, scoring
 from strandwise.sources import features as store
 from tests.conftest import rows_of
 
@@ -100,6 +100,56 @@ def test_evaluate_arms(rows):
     assert all(0.5 < r.auroc <= 1 and r.n == 60 for r in out)
 
 
+def test_heads_fitted_together_equal_single_fits(rows, data):
+    x, y = np.float32(data[0]).astype(float), data[1]
+    train = sampling.cap_members(rows, "row_idx", "label", 50, [3, 4])
+    train = train.withColumn("some", F.slice("features", 1, 3))
+    fits = multifit.fit_heads(train, {"all": "features", "some": "some"}, "members", "label", c=0.3)
+    kept = {r.row_idx: r.members for r in train.collect()}
+    for k in range(2):
+        at = np.array([i for i in range(240) if kept[i][k]])
+        for arm, width in (("all", 5), ("some", 3)):
+            coef, intercept = newton(x[at][:, :width], y[at], 0.3)
+            fit = fits[arm][k]
+            assert np.allclose(fit.coefficients, coef, atol=1e-6) and fit.intercept == pytest.approx(intercept, abs=1e-6)
+            assert (fit.rows, fit.positives) == (len(at), y[at].sum()) and fit.slope <= 1e-9
+
+
+def test_heads_refuse_one_class_and_other_widths(frame):
+    schema = "x array<float>, label int, m array<boolean>"
+    one = frame(schema, ([1.0], 1, [True]), ([2.0], 1, [True]))
+    with pytest.raises(ValueError, match="both classes"):
+        multifit.fit_heads(one, {"a": "x"}, "m", "label")
+    ragged = frame(schema, ([1.0], 1, [True]), ([2.0, 3.0], 0, [True]))
+    with pytest.raises(Exception, match="features in every row"):
+        multifit.fit_heads(ragged, {"a": "x"}, "m", "label")
+
+
+@pytest.mark.parametrize("cap", [1, 50, 10_000])
+def test_cap_members_are_the_rows_that_a_cap_keeps(rows, cap):
+    got = sampling.cap_members(rows, "row_idx", "label", cap, [3, 4]).collect()
+    for k, seed in enumerate((3, 4)):
+        want = {r.row_idx for r in sampling.cap_negatives(rows, "row_idx", "label", cap, seed).collect()}
+        assert {r.row_idx for r in got if r.members[k]} == want
+
+
+def test_evaluation_run_by_hand(rows, data):
+    run = evaluation.evaluation_run(rows, {"full": "features"}, seeds=[1, 2], negative_cap=40, position="row_idx")
+    x, y = np.float32(data[0]).astype(float), data[1]
+    test = np.arange(180, 240)
+    p = []
+    for f, h in zip(run.fits["full"], run.heads["full"], strict=True):
+        p.append(np.interp(1 / (1 + np.exp(-(x[test] @ f.coefficients + f.intercept))), h.isotonic_x, h.isotonic_y))
+    p.append(np.mean(p, axis=0))
+    got = {r.seed: r for r in run.metrics.collect()}
+    pairs = [(i, j) for i in range(60) for j in range(60) if y[test][i] and not y[test][j] and test[i] // 4 == test[j] // 4 and abs(i - j) <= ranking.NEAR]
+    for seed, q in zip(("1", "2", "ensemble"), p, strict=True):
+        r = got[seed]
+        called = q >= run.thresholds["full", seed]
+        assert r.recall == pytest.approx((called & (y[test] == 1)).sum() / y[test].sum())
+        assert r.n_pairs == len(pairs) and r.win_rate == pytest.approx(np.mean([q[i] > q[j] for i, j in pairs]))
+
+
 def test_metric_intervals(frame, rows):
     scored = rows.select(F.lit("x").alias("arm"), (F.col("row_idx") / 240).alias("p"), "label", "transcript_id")
     ci = evaluation.metric_intervals(scored, frame("arm string, threshold double", ("x", 0.5)), replicates=30)
