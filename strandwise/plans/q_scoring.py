@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from strandwise.plans.q_intervals import gene_table
 from strandwise.plans.q_tracks import IN_REGION, PLACED, REGION, placed, pooled, region, track
 from strandwise.plans.q_transcripts import txtrack
 from strandwise.plans.registry import query
+from strandwise.session import shared_folder
+from strandwise.sources import features as store
 
 R = 6
 WIDTH = 64
@@ -130,7 +134,7 @@ def fitted_head_scores(spark, sf):
 
 
 SEEDS = (1, 2, 3)
-CAP = 100
+CAP = 60
 
 
 def run_of(spark, sf):
@@ -253,6 +257,49 @@ def _(spark, sf):
     return scoring.key_coverage({"a": b["a"].where("row_idx % 7 <> 0"), "b": b["b"]}, wanted, "row_idx")
 
 
+def stored(spark, sf):
+    """A store of both blocks, written in two runs; the first key lacks each seventh row."""
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    b = blocks(spark, sf)
+    wanted = sv.features(spark, sf).select("row_idx")
+    store.write_store(b["a"].where("row_idx % 7 <> 0").withColumnRenamed("v", "a"), ["a"], wanted, path, block_rows=128)
+    return path, store.write_store(b["b"].withColumnRenamed("v", "b"), ["b"], wanted, path, block_rows=128)
+
+
+@query(
+    "feature_store_provenance",
+    f"""SELECT 'a' AS key, count(*) FILTER (row_idx % 7 <> 0) AS covered, count(*) AS expected, count(*) FILTER (row_idx % 7 <> 0) = count(*) AS complete, {HALF} AS dim FROM feats
+    UNION ALL SELECT 'b', count(*), count(*), true, {HALF} FROM feats""",
+    "feats",
+)
+def _(spark, sf):
+    return stored(spark, sf)[1]
+
+
+@query(
+    "feature_store_manifest",
+    f"""SELECT 'a' AS key, row_idx // 128 AS block, count(*) AS rows, min(row_idx) AS first, max(row_idx) AS last, {HALF} AS dim FROM feats WHERE row_idx % 7 <> 0 GROUP BY ALL
+    UNION ALL SELECT 'b', row_idx // 128, count(*), min(row_idx), max(row_idx), {HALF} FROM feats GROUP BY ALL""",
+    "feats",
+)
+def _(spark, sf):
+    return store.manifest(spark, stored(spark, sf)[0]).drop("block_rows")
+
+
+# A selective read is the feature: training rows of a split, by id.
+@query(
+    "feature_store_read",
+    f"""SELECT row_idx, round(list_sum(list_transform(range(1, {HALF + 1}), lambda j: features[j]::DOUBLE * j)), 4) AS a,
+     round(list_sum(list_transform(range(1, {HALF + 1}), lambda j: features[j + {HALF}]::DOUBLE * j)), 4) AS b FROM feats WHERE row_idx % 7 <> 0 AND label = 1""",
+    "feats",
+)
+def _(spark, sf):
+    wanted = sv.features(spark, sf).where("row_idx % 7 <> 0 AND label = 1")
+    got = store.load_rows(spark, stored(spark, sf)[0], ["a", "b"], wanted)
+    digest = lambda c: F.round(F.aggregate(F.transform(c, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda x, v: x + v), 4)
+    return got.select("row_idx", digest("a").alias("a"), digest("b").alias("b"))
+
+
 @query(
     "row_completeness",
     """SELECT count(*) AS n_rows, count(DISTINCT row_idx) AS n_distinct, min(row_idx) AS first, max(row_idx) AS last, count(*) = count(DISTINCT row_idx) AS is_unique,

@@ -1,5 +1,7 @@
 """Heads, calibration, projections and the multi-seed evaluation."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,27 +165,39 @@ def test_gather(frame):
     assert rows_of(scoring.gather_compact(r, m), "row_idx", "v") == [(0, [0.0, 1.0]), (1, [2.0, 3.0]), (2, [4.0, 5.0])]
 
 
-def test_feature_store(spark, frame, tmp_path):
+def test_feature_store_merges_runs_and_refuses(spark, frame, tmp_path):
     shards = frame("row_idx long, a array<double>, b array<double>", (0, [1.0], [2.0]), (1, [3.0], None))
-    facts = store.write_store(shards, ["a", "b"], shards.select("row_idx"), str(tmp_path))
-    assert rows_of(facts, "key", "covered", "complete") == [("a", 2, True), ("b", 1, False)]
+    store.write_store(shards, ["a"], shards.select("row_idx"), str(tmp_path))
+    facts = store.write_store(shards, ["b"], shards.select("row_idx"), str(tmp_path))
+    assert rows_of(facts, "key", "covered", "complete", "dim") == [("a", 2, True, 1), ("b", 1, False, 1)]
     got = store.load_rows(spark, str(tmp_path), ["a"], shards.where("row_idx = 1"))
     assert rows_of(got) == [(1, [3.0])]
-    with pytest.raises(quality.QualityError, match="b"):
+    with pytest.raises(quality.QualityError, match="cover.*b"):
         store.load_rows(spark, str(tmp_path), ["a", "b"], shards)
-
-
-def test_shard_checks(frame):
-    r = frame("row_idx long, v array<double>", (0, [1.0, 2.0]), (0, [1.0]), (2, None), (3, [float("inf"), 1.0]))
-    got = {x.rule: x.violations for x in quality.shard_violations(r, "row_idx", ["v"]).collect()}
-    assert got == {"null_id": 0, "missing_v": 1, "not_finite_v": 1, "repeated_id": 1, "width_varies_v": 1}
-
-
-def test_completeness_and_parity(frame):
-    r = frame("row_idx long", (0,), (1,), (2,))
-    c = quality.completeness(r, "row_idx", frame("row_idx long", (1,), (7,))).first()
-    assert (c.is_contiguous, c.n_uncovered) == (True, 1)
-    a = frame("k long, v array<double>", (1, [1.0, 2.0]), (2, [1.0]), (3, [5.0]))
-    b = frame("k long, v array<double>", (1, [1.0, 2.5]), (2, [1.0, 1.0]), (4, [5.0]))
-    p = quality.parity(a, b, "k", "v", rtol=0.0, atol=0.1).first()
-    assert tuple(p) == (2, 1, 1, 1, 1, 0.5)
+    with pytest.raises(quality.QualityError, match="no features.*c"):
+        store.load_rows(spark, str(tmp_path), ["a", "c"], shards)
+    again = shards.withColumn("b", F.array(F.lit(7.0), F.lit(8.0)))
+    assert rows_of(store.write_store(again, ["b"], again, str(tmp_path)), "key", "covered", "dim") == [("a", 2, 1), ("b", 2, 2)]
+    ragged = frame("row_idx long, c array<double>", (0, [1.0]), (1, [3.0, 4.0]))
+    with pytest.raises(quality.QualityError, match="1 to 2 values"):
+        store.write_store(ragged, ["c"], ragged, str(tmp_path))
+    with pytest.raises(quality.QualityError, match="repeat"):
+        store.write_store(shards.union(shards), ["a"], shards, str(tmp_path / "twice"))
+
+
+def test_feature_store_opens_wanted_blocks_only(spark, tmp_path):
+    shards = spark.range(1000).select(F.col("id").alias("row_idx"), F.array(F.col("id").cast("double")).alias("a"))
+    store.write_store(shards, ["a"], shards, str(tmp_path), block_rows=50)
+    assert store.manifest(spark, str(tmp_path)).count() == 20
+    got = store.load_rows(spark, str(tmp_path), ["a"], shards.where("row_idx IN (3, 40, 777)"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*block#\d+L? IN \((0,15|15,0)\)", plan)
+    assert rows_of(got) == [(3, [3.0]), (40, [40.0]), (777, [777.0])]
+
+
+def test_feature_store_refuses_short_arrays(spark, frame, tmp_path):
+    shards = frame("row_idx long, a array<double>", (0, [1.0, 2.0]), (1, [3.0, 4.0]))
+    store.write_store(shards, ["a"], shards, str(tmp_path))
+    frame("row_idx long, features array<double>", (5, [1.0])).write.mode("append").parquet(str(tmp_path / "features" / "a" / "block=0"))
+    with pytest.raises(Exception, match="has not 2 values in row 5"):
+        store.load_rows(spark, str(tmp_path), ["a"], frame("row_idx long", (5,))).collect()
