@@ -334,7 +334,7 @@ def bridges(found: DataFrame, words: int, threshold: float) -> DataFrame:
     """
     ends = F.col("start") + F.col("words")
     way = F.struct("there", "shift")
-    runs = _islands(found, F.min_by(way, F.struct("start", -ends)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"))).alias("tail"))
+    runs = _islands(found, F.min_by(way, F.struct("start", -ends, way)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"), way)).alias("tail"))
     by = Window.partitionBy("doc_id", "removed").orderBy("start")
     runs = runs.withColumn("next", F.lead(F.struct("start", "end", "keeper", "head")).over(by))
     here = F.col("next.start") - F.col("end")
