@@ -123,3 +123,19 @@ def test_mask(frame):
     got = rows_of(tracks.mask_unexpressed(t, genes).where("masked"), "library", "strand", "pos")
     want = [("tis", "+", p) for p in range(10, 15)] + [("tis", "-", p) for p in range(30, 40)]
     assert got == sorted(want, key=lambda t: tuple(map(str, t)))
+
+
+def test_overlap_totals_match_pairs(frame):
+    rng = np.random.default_rng(8)
+
+    def some(n):
+        at = rng.integers(-5000, 9000, n)
+        return [(int(a), int(a + w)) for a, w in zip(at, rng.integers(0, 60, n), strict=True)] + [(7, 9)] * 5
+
+    mine, theirs = some(120), some(200)
+    want = []
+    for a, b in mine:
+        met = [min(b, d) - max(a, c) for c, d in theirs if d > c and b > a and a < d and b > c]
+        want += [(a, b, len(met), sum(met))] if met else []
+    got = intervals.overlap_totals(spans(frame, *mine), spans(frame, *theirs), ["chrom"])
+    assert rows_of(got, "start", "end", "n", "shared") == sorted(want, key=lambda t: tuple(map(str, t)))
