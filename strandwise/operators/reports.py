@@ -106,11 +106,15 @@ def stored_run(metrics: DataFrame, strata: DataFrame, cis: DataFrame, arm: str)
     )
 
 
-def aligned_calls(calls: DataFrame, rows: DataFrame, row_id: str, label: str) -> DataFrame:
-    """How well a stored call table matches the wanted rows: both sides must agree exactly."""
-    a = calls.select(row_id, F.col(label).alias("_a"), F.lit(1).alias("_ia"))
-    b = rows.select(row_id, F.col(label).alias("_b"), F.lit(1).alias("_ib"))
-    j = a.join(b, row_id, "full_outer")
+def aligned_calls(calls: DataFrame, rows: DataFrame, row_id: str | Sequence[str], label: str) -> DataFrame:
+    """How well a stored call table matches the wanted rows: both sides must agree exactly.
+
+    ``row_id`` is the column, or columns, by which a row is unique on either side.
+    """
+    ids = [row_id] if isinstance(row_id, str) else list(row_id)
+    a = calls.select(*ids, F.col(label).alias("_a"), F.lit(1).alias("_ia"))
+    b = rows.select(*ids, F.col(label).alias("_b"), F.lit(1).alias("_ib"))
+    j = a.join(b, ids, "full_outer")
     both = F.col("_ia").isNotNull() & F.col("_ib").isNotNull()
     return j.agg(
         count_if(both).alias("n_matched"),

@@ -425,7 +425,7 @@ def _(spark, sf):
     rows = sv.labelled(spark, sf)
     flipped = F.when(F.col("mrna_index") % 100 == 1, 1 - F.col("label")).otherwise(F.col("label"))
     calls = rows.where("mrna_index % 10 <> 0").withColumn("label", flipped)
-    return reports.aligned_calls(calls, rows.where("mrna_index % 7 <> 0"), "row_idx", "label")
+    return reports.aligned_calls(calls, rows.where("mrna_index % 7 <> 0"), ["transcript_id", "mrna_index"], "label")
 
 
 @query(

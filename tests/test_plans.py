@@ -63,3 +63,16 @@ def test_scan_reads_only_what_it_needs(spark):
 def test_top_k_limits_before_the_shuffle(spark):
     plan = entry.queries()["top_k_calls"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_calls_are_aligned_by_transcript_and_place(spark, frame, tmp_path):
+    """Places beyond a million share a ``row_idx`` with other transcripts."""
+    schema = "l_orderkey long, l_partkey long, l_extendedprice double, l_returnflag string, l_linenumber int"
+    frame(schema, (0, 1_000_002, 100.0, "A", 1), (16, 2, 100.0, "R", 1)).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert catalog.QUERIES["calls_alignment_check"](spark, str(tmp_path)).first()["n_matched"] == 2
+
+
+def test_texts_without_a_base_have_no_composition(spark, frame, tmp_path):
+    frame("doc_id long, text string", (1, "12 34"), (2, ""), (3, None), (4, "aac")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["base_composition_codes"](spark, str(tmp_path))
+    assert sorted((r["doc_id"], r["code"], r["n"], r["at"]) for r in got.collect()) == [(4, 0, 2, 1), (4, 1, 1, 2)]
