@@ -1,7 +1,7 @@
 """Rolling and positional features along a transcript or window.
 
 Inputs are dense vectors in long form: one row per key and position, zeros included, because the
-result has one row per position.
+result has one row per position. Positions begin at 0.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def box_features(
 ) -> DataFrame:
     """``log1p`` of the value and of its centred box means."""
     spec = {f"_box{w}": (value, *centred(w)) for w in widths}
-    rolled = rolling_sums(dense, keys, pos, spec)
+    rolled = rolling_sums(dense, keys, pos, spec, first=0)
     out = {f"box{w}": F.log1p(F.col(f"_box{w}") / float(w)) for w in widths}
     return rolled.withColumns({"log1p": F.log1p(value), **out}).drop(*spec)
 
@@ -95,7 +95,7 @@ def one_sided_features(
         down, up = _sides(w, reverse)
         spec[f"_d{w}"] = (value, *down)
         spec[f"_u{w}"] = (value, *up)
-    rolled = rolling_sums(dense, keys, pos, spec)
+    rolled = rolling_sums(dense, keys, pos, spec, first=0)
     contrast = {
         f"contrast{w}": F.log1p(F.col(f"_d{w}") / float(w)) - F.log1p(F.col(f"_u{w}") / float(w))
         for w in widths
@@ -127,7 +127,7 @@ def log_ratio_features(
         down, up = _sides(w, reverse)
         spec[f"_d{w}"] = (value, *down)
         spec[f"_u{w}"] = (value, *up)
-    rolled = rolling_sums(dense, keys, pos, spec)
+    rolled = rolling_sums(dense, keys, pos, spec, first=0)
     out = {
         f"ratio{w}": F.log(
             (F.col(f"_d{w}") / float(w) + eps) / (F.col(f"_u{w}") / float(w) + eps)
