@@ -164,3 +164,23 @@ def test_exon_features(frame):
     assert out[1].exon_index == pytest.approx(np.log1p(1) / 3) and out[1].from_exon_start == 0
     assert out[2].to_junction == pytest.approx(np.log1p(2) / 10)
     assert out[3].to_junction == pytest.approx(np.log1p(10000) / 10)
+
+
+def test_dense_vectors_fill_zeros_and_move_rows_only(frame):
+    rows = frame("tx long, tx_pos long, value double", (1, 2, 5.0), (1, 4, 1.0), (2, 0, 3.0))
+    dense = transcripts.dense_vectors(rows, frame("tx long, length long", (1, 5), (2, 2), (3, 1), (4, 0)), "tx")
+    want = {(1, 2): 5.0, (1, 4): 1.0, (2, 0): 3.0}
+    places = [(1, i) for i in range(5)] + [(2, 0), (2, 1), (3, 0)]
+    assert rows_of(dense, "tx", "tx_pos", "value") == [(t, i, want.get((t, i), 0.0)) for t, i in places]
+    assert {r.length for r in dense.where("tx = 1").collect()} == {5}
+
+
+def test_windows_in_overlapping_chunks(frame):
+    text = "ACGTTGCAAC" * 3
+    s = frame("k long, seq string", (1, text), (2, "AC"))
+    asked = [(k, a, a + 7, "+-"[a % 2]) for k, n in ((1, 30), (2, 2)) for a in range(-3, n)]
+    req = frame("id long, k long, start long, end long, strand string", *[(i, *r) for i, r in enumerate(asked)])
+    one = transcripts.fetch_windows(transcripts.chunk_sequence(s, ["k"], size=8, overlap=6), req, "k", ["id"], size=8, overlap=6)
+    many = transcripts.fetch_windows(transcripts.chunk_sequence(s, ["k"], size=8), req, "k", ["id"], size=8)
+    assert rows_of(one, "id", "seq") == rows_of(many, "id", "seq")
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
