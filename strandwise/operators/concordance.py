@@ -126,6 +126,28 @@ def unit_pearson(
     return full.fillna(0.0, [f"r_{c}" for c in ["rep1", *sources]])
 
 
+def unit_correlations(rows: DataFrame, sources: Sequence[str], scale: str, min_reads: float) -> DataFrame:
+    """:func:`unit_pearson` of one scale, from rows of units that hold ``length`` and ``cds_start`` themselves.
+
+    Two aggregates that begin with ``condition, library, tx``: rows that are dealt by transcript stay where they are.
+    Several rows of a position add up.
+    """
+    size = {"nt": 1, "codon": 3, "bin30": BIN}[scale]
+    off = F.col("cds_start") % 3 if scale == "codon" else F.lit(0)
+    columns = ["rep1", "rep2", *sources]
+    bins = rows.groupBy(*UNIT, F.floor((F.col("tx_pos") - off) / float(size)).cast("long").alias("_bin")).agg(
+        F.max(F.floor((F.col("length") - off) / float(size)).cast("long")).alias("_bins"), *[F.sum(c).alias(c) for c in columns]
+    )
+    held = (F.col("_bin") >= 0) & (F.col("_bin") < F.col("_bins"))
+    aggs = []
+    for c in ["rep1", *sources]:
+        m, r, varies = corr_agg(F.when(held, F.col(c)), F.when(held, F.col("rep2")), F.max("_bins"))
+        aggs.append(F.coalesce(pearson_or_zero(m, r, varies), F.lit(0.0)).alias(f"r_{c}"))
+    stats = bins.groupBy(*UNIT).agg(F.sum("rep2").alias("_reads"), F.max("_bins").alias("_cells"), *aggs)
+    enough = (F.col("_reads") >= min_reads) & (F.col("_cells") >= 2)
+    return stats.where(enough).select(*UNIT, F.lit(scale).alias("scale"), *[f"r_{c}" for c in ["rep1", *sources]])
+
+
 def within_rows(
     rows: DataFrame,
     units: DataFrame,
@@ -183,10 +205,13 @@ def codon_phases(
     return sums.select(*GROUP, "tx", "codon", *[e.alias(n) for n, e in phases.items()])
 
 
-def spliced_fact(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """The rows of the units with their length and CDS, bucketed by (condition, tx)."""
+def spliced_fact(rows: DataFrame, units: DataFrame | None = None) -> DataFrame:
+    """The rows of the units with their length and CDS, bucketed by (condition, tx).
+
+    Without ``units`` the rows are those of the units and have length and CDS already, and are not joined.
+    """
     own = ["length", "cds_start", "cds_end"]
-    joined = rows.drop(*own).join(units.select("condition", "tx", *own), ["condition", "tx"])
+    joined = rows if units is None else rows.drop(*own).join(units.select("condition", "tx", *own), ["condition", "tx"])
     return bucketed(joined, ["condition", "tx"], "spliced")
 
 
