@@ -11,8 +11,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from strandwise.functions.numeric import safe_ratio
 from strandwise.operators.scans import block_of
@@ -91,19 +95,38 @@ def draw_counts(expectations: DataFrame, seed: int, copies: int = 1) -> DataFram
     return _drawn(blocked, [*channel, "_blk"], ["pos", "value"], schema, draw)
 
 
-def draw_to_depth(rows: DataFrame, depth: DataFrame, seed: int) -> DataFrame:
+def draw_to_depth(rows: DataFrame, depth: DataFrame | str, seed: int) -> DataFrame:
     """Redistribute each transcript's read count over its positions, in proportion to ``value``.
 
-    One multinomial draw for each transcript, whose work is in proportion to its positions, not to its reads.
-    ``depth``: ``condition, tx, reads``; reads are rounded, half to even.
+    One multinomial draw for each transcript, whose work is in proportion to its positions, not to its reads. Its
+    positions are one list, and Arrow batches hold many transcripts. ``depth``: ``condition, tx, reads``, or a column of
+    ``rows`` whose sum over a transcript is its reads; they are rounded, half to even. ``expected`` is the ``value`` drawn from.
     """
     keys = ["condition", "tx"]
-    reads = depth.select(*keys, F.rint("reads").cast("long").alias("_n")).where("_n > 0")
-    schema = rows.select(*keys, "tx_pos").schema.simpleString()[7:-1] + ",value:double"
-
-    def draw(key: tuple, part: pd.DataFrame) -> np.ndarray:
-        share = part["value"].to_numpy(float)
-        return generator(seed, *key).multinomial(int(part["_n"].iloc[0]), share / share.sum()).astype(float)
-
-    positive = rows.where("value > 0").select(*keys, "tx_pos", F.col("value").cast("double").alias("value"))
-    return _drawn(positive.join(reads, keys), keys, ["tx_pos", "value"], schema, draw)
+    schema = rows.select(*keys, "tx_pos").schema.simpleString()[7:-1] + ",value:double,expected:double"
+    shape = to_arrow_schema(_parse_datatype_string(schema))
+    row = F.when(F.col("value") > 0, F.struct("tx_pos", F.col("value").cast("double").alias("value")))
+    reads = F.sum(depth) if isinstance(depth, str) else F.lit(None)
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"), reads.alias("reads"))
+    if not isinstance(depth, str):
+        held = held.drop("reads").join(depth.select(*keys, "reads"), keys)
+    held = held.select(*keys, "_rows", F.rint("reads").cast("long").alias("_n")).where("_n > 0 AND size(_rows) > 0")
+
+    def many(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("_rows")).to_numpy(zero_copy_only=False)
+            pos, value = batch.column("_rows").flatten().flatten()
+            share = value.to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            drawn = np.empty(len(share))
+            of = zip(batch.column("condition").to_pylist(), batch.column("tx").to_pylist(), batch.column("_n").to_pylist(), ends - sizes, ends, strict=True)
+            for condition, tx, n, lo, hi in of:
+                part = share[lo:hi]
+                drawn[lo:hi] = generator(seed, condition, tx).multinomial(n, part / part.sum())
+            at = np.flatnonzero(drawn > 0)
+            whose = pa.array(np.repeat(np.arange(len(sizes)), sizes)[at])
+            own = [batch.column(c).take(whose) for c in keys]
+            columns = [*own, pos.take(pa.array(at)), pa.array(drawn[at]), pa.array(share[at])]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
+
+    return held.mapInArrow(many, schema)

@@ -491,12 +491,10 @@ def _(spark, sf):
     "txtrack",
 )
 def _(spark, sf):
-    t = txtrack(spark, sf).where("library = 'tis'")
-    depth = t.groupBy("condition", "tx").agg(F.sum("rep1").alias("reads"))
-    drawn = resample.draw_to_depth(t.select("condition", "tx", "tx_pos", "value"), depth, 5)
-    own = t.where("value > 0").select("condition", "tx", "tx_pos", F.lit(1).alias("own"))
-    both = drawn.join(own, ["condition", "tx", "tx_pos"], "left")
-    return both.groupBy("condition", "tx").agg(F.sum("value").alias("value"), F.count(F.when(F.col("own").isNull(), 1)).alias("off_support"))
+    t = txtrack(spark, sf, ("tis",))
+    drawn = resample.draw_to_depth(t.select("condition", "tx", "tx_pos", "value", "rep1"), "rep1", 5)
+    off = F.coalesce(F.col("expected") <= 0, F.lit(True))
+    return drawn.groupBy("condition", "tx").agg(F.sum("value").alias("value"), F.count(F.when(off, 1)).alias("off_support"))
 
 
 @query(
