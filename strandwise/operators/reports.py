@@ -158,6 +158,40 @@ def examples(
     )
 
 
+def examples_in_place(
+    bases: DataFrame, pooled: DataFrame, rna_scale: DataFrame, features: Sequence[str]
+) -> DataFrame:
+    """:func:`examples` of bases that hold their gene's ``conditions``, a list of ``condition, expressed``.
+
+    A position's values travel as one map by condition. They are written first: where they turn out small, the bases are
+    not moved, and only then do the conditions multiply them.
+    """
+    lib = lambda n: F.sum(F.when(F.col("library") == n, F.col("value")).otherwise(0.0))
+    wide = pooled.groupBy("condition", "chrom", "strand", "pos").agg(lib("tis").alias("tis"), lib("chx").alias("chx"), lib("rna").alias("_rna"))
+    wide = wide.join(rna_scale.select("condition", "scale"), "condition")
+    entry = F.struct("condition", F.struct("tis", "chx", (F.col("_rna") * F.col("scale")).alias("rna")))
+    at = wide.groupBy("chrom", "strand", "pos").agg(F.map_from_entries(F.collect_list(entry)).alias("_at"))
+    each = bases.join(durable(at, "positions"), ["chrom", "strand", "pos"], "left").select("tx", "tx_pos", *features, "_at", F.inline("conditions"))
+    held = each.withColumn("_v", F.try_element_at("_at", F.col("condition")))
+    value = [F.coalesce(F.col(f"_v.{c}"), F.lit(0.0)).alias(c) for c in ("tis", "chx", "rna")]
+    return held.select("tx", "condition", "tx_pos", "expressed", *value, *features)
+
+
+def rna_scaled_in_place(rows: DataFrame, scalars: DataFrame, cpm: DataFrame) -> DataFrame:
+    """Rows of all libraries to rows of the evaluated ones with ``rna_scaled``, as in :func:`rna_scaled` but without a join.
+
+    A row of the RNA library becomes one of each evaluated library, without reads; several rows of a base add up.
+    """
+    known = scalars.withColumnRenamed("evaluated", "condition").join(cpm, "condition")
+    known = known.groupBy("condition").agg(F.collect_list(F.struct("library", "genome_total", "scalar")).alias("_known"))
+    zero = F.lit(0.0)
+    of = lambda k: F.struct(k["library"].alias("library"), zero.alias("rep1"), zero.alias("rep2"), (F.col("value") * 1e6 / k["genome_total"] * k["scalar"]).alias("rna_scaled"))
+    own = F.array(F.struct("library", "rep1", "rep2", zero.alias("rna_scaled")))
+    each = F.when(F.col("library") != "rna", own).otherwise(F.transform("_known", of))
+    rest = [c for c in rows.columns if c not in ("library", "rep1", "rep2", "value")]
+    return rows.join(durable(known, "scalars"), "condition", "left").select(*rest, F.inline(each))
+
+
 def first_per_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """First row per key in an explicit order, by a partial aggregate instead of a sort."""
     rest = [c for c in rows.columns if c not in keys]

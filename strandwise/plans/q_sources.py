@@ -11,10 +11,10 @@ from strandwise.functions import coords as co
 from strandwise.operators import alignments, concordance, intervals, reports, tracks, transcripts
 from strandwise.operators import features as ft
 from strandwise.plans import surrogates as sv
-from strandwise.plans.q_concordance import UNITS, units, within_sql
+from strandwise.plans.q_concordance import UNITS, unit_track, within_sql
 from strandwise.plans.q_intervals import gene_table, islands
 from strandwise.plans.q_tracks import pooled, region, track
-from strandwise.plans.q_transcripts import annotation, exon_table, txtrack
+from strandwise.plans.q_transcripts import annotation, dealt, exon_table, txtrack
 from strandwise.plans.registry import query
 from strandwise.session import durable, shared_folder
 from strandwise.sources import tables
@@ -377,13 +377,10 @@ def _(spark, sf):
     inside = tracks.region_totals(t, region(spark, sf), ["condition", "library"])
     cpm = t.where("library = 'rna'").groupBy("condition").agg(F.sum("value").alias("genome_total"))
     scalars = concordance.fit_scalars(inside.join(cpm, "condition"), ("C0", "C1", "C2"), ("C0", "C1", "C2"))
-    u = durable(units(spark, sf), "units")
-    keep = u.select("condition", "tx")
-    spliced = durable(txtrack(spark, sf).join(keep, ["condition", "tx"], "left_semi"), "spliced")
-    rna = spliced.where("library = 'rna'")
-    rows = spliced.where("library <> 'rna'").drop("length", "value")
-    both = reports.rna_scaled(rows, rna.select("condition", "tx", "tx_pos", "value"), scalars, cpm)
-    out = concordance.within_rows(durable(both, "scaled"), u, ["rna_scaled"], ["codon"], 2)
+    both = reports.rna_scaled_in_place(unit_track(spark, sf, ("tis", "chx", "rna")), scalars, cpm)
+    per_unit = concordance.unit_correlations(both, ["rna_scaled"], "codon", 2)
+    each = F.inline(F.array(*[F.struct(F.lit(c).alias("_c"), F.col(f"r_{c}").alias("r")) for c in ("rep1", "rna_scaled")]))
+    out = concordance.medians(durable(per_unit, "scaled").select("condition", "library", "scale", each), ["rna_scaled"])
     return out.select("condition", "library", F.round("value", 5).alias("value"), F.round("yardstick", 5).alias("yardstick"), "n")
 
 
@@ -450,14 +447,14 @@ def _(spark, sf):
     "track pooled exon_off expression",
 )
 def _(spark, sf):
-    b = transcripts.base_table(exon_table(spark, sf)).withColumns(
-        ft.position_features(F.col("tx_pos"), F.col("length"))
-    )
     rna = track(spark, sf).where("library = 'rna'")
-    rows = reports.examples(
-        b.select("tx", "gene", "chrom", "strand", "pos", "tx_pos", "from_start"), pooled(spark, sf),
-        gene_table(spark, sf), tracks.depth_scale(rna, ["condition"]), ["from_start"],
-    )
+    scale = tracks.depth_scale(rna, ["condition"])
+    states = gene_table(spark, sf).join(scale.select("condition"), "condition", "left_semi")
+    states = states.groupBy("gene").agg(F.collect_list(F.struct("condition", "expressed")).alias("conditions"))
+    held = dealt(spark, annotation(spark, sf).select("tx", "gene", "chrom", "strand", "exons").join(states, "gene"))
+    b = transcripts.base_table(transcripts.exon_offsets(held, ["tx", "chrom", "conditions"]))
+    b = b.withColumns(ft.position_features(F.col("tx_pos"), F.col("length")))
+    rows = reports.examples_in_place(b.select("tx", "chrom", "strand", "pos", "tx_pos", "from_start", "conditions"), pooled(spark, sf), scale, ["from_start"])
     return rows.groupBy("tx", "condition").agg(
         F.bool_and("expressed").alias("expressed"), F.count(F.lit(1)).alias("n"), F.sum("tis").alias("tis"),
         F.sum(F.col("chx") * F.col("tx_pos")).alias("chx_moment"), F.round(F.sum("rna"), 3).alias("rna"),

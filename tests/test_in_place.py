@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandwise.operators import concordance, peaks, reports, resample, transcripts
+from strandwise.operators import concordance, peaks, reports, resample, score_table, transcripts
 
 SF = "/root/testdata/sf0.001"
 ROWS = "condition string, library string, tx long, tx_pos long, value double, rep1 double, rep2 double, length long, cds_start long, cds_end long"
@@ -88,3 +88,22 @@ def test_spliced_rows_are_not_moved(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and ("tx_pos" in line or "condition#" in line.split("],")[0] and "tx#" in line)]
     assert not moved
+
+
+def test_examples_in_place_are_those_of_the_joins(spark):
+    names = ["condition", "library", "chrom", "strand", "pos", "value"]
+    pooled = spark.createDataFrame([(c, lib, "chr7", "+", p, float(p + len(lib))) for c in ("C0", "C1", "C3") for lib in ("tis", "chx", "rna") for p in range(0, 30, 3)], ", ".join(f"{n} {t}" for n, t in zip(names, ["string"] * 4 + ["long", "double"], strict=True)))
+    bases = spark.createDataFrame([(1, 5, "chr7", "+", p, p - 10, 0.5) for p in range(10, 25)], "tx long, gene long, chrom string, strand string, pos long, tx_pos long, f double")
+    states = spark.createDataFrame([(5, "C0", True), (5, "C1", False), (5, "C2", True)], "gene long, condition string, expressed boolean")
+    scale = spark.createDataFrame([("C0", 2.0), ("C1", 3.0), ("C2", 1.0)], "condition string, scale double")
+    listed = bases.join(states.groupBy("gene").agg(F.collect_list(F.struct("condition", "expressed")).alias("conditions")), "gene")
+    want = reports.examples(bases, pooled, states, scale, ["f"])
+    assert table(reports.examples_in_place(listed, pooled, scale, ["f"]).select(want.columns)) == table(want)
+
+
+def test_held_out_card_makes_no_peaks(spark, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("the scorecard needs no site windows")
+
+    monkeypatch.setattr(score_table, "site_stats", refuse)
+    assert entry.queries()["heldout_scorecard"](spark, SF).columns[0] == "condition"
