@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandwise.operators import concordance, features, score_table
-from strandwise.plans.q_concordance import ALLSCALES, LONGCARD, PERCENT, SITES, R, rounded, scored_rows, sites, units
+from strandwise.plans.q_concordance import ALLSCALES, LONGCARD, PERCENT, SITES, R, rounded, scored_rows, sites, unit_lists, unit_rows, units, units_of
 from strandwise.plans.registry import query
 from strandwise.session import durable
 
@@ -129,7 +129,10 @@ def _(spark, sf):
     "txtrack tx expression",
 )
 def _(spark, sf):
-    card, _ = tables(spark, sf)
+    # the scorecard alone: peaks and draws have queries of their own
+    lists = durable(unit_lists(spark, sf), "units")
+    fact = concordance.spliced_fact(unit_rows(spark, sf, lists=lists))
+    card = score_table.card_of(fact, units_of(lists), ["mixed"], heldout=("C0",), min_reads=LIMITS["min_reads"], min_frame_reads=LIMITS["min_frame_reads"])
     return rounded(card.where("source = 'mixed'"), "value", "yardstick").withColumn("percent", F.round("percent", 4))
 
 
