@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandwise.operators import bootstrap, ranking
 from strandwise.plans import surrogates as sv
 from strandwise.plans.registry import query
+from strandwise.session import durable
 
 THRESHOLD = 0.8
 SEED = 20260909
@@ -373,9 +374,9 @@ def _(spark, sf):
     "labelled",
 )
 def _(spark, sf):
-    out = bootstrap.rank_replicates(
-        test_rows(spark, sf), "score", "label", "transcript_id", draws(spark, sf)
-    )
+    rows = durable(test_rows(spark, sf).select("transcript_id", "score", "label"), "test")
+    drawn = bootstrap.draw_vectors(rows, "transcript_id", REPLICATES, SEED)
+    out = bootstrap.rank_replicates(rows, "score", "label", "transcript_id", drawn)
     return rounded(out, "auprc", "auroc")
 
 

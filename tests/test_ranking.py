@@ -120,3 +120,35 @@ def test_bootstrap_against_numpy(rows, world):
 def test_variant_ties_follow_the_list(frame):
     t = frame("variant string, recall double, auprc double, threshold double", ("x", 0.5, 0.3, 1.0), ("y", 0.5, 0.3, 2.0), ("z", 0.4, 0.9, 3.0))
     assert ranking.select_variant(t, ("y", "x", "z")).first().variant == "y"
+
+
+def test_draws_do_not_move_with_each_row(frame, monkeypatch):
+    """Rows meet their group's draws and are summed by score before they move on; both forms of draws agree."""
+    rng, written = np.random.default_rng(3), []
+    rows = [(arm, g, float(s) / 20, int(rng.random() < 0.4)) for arm in "xy" for g in range(30) for s in rng.integers(0, 20, 20)]
+    df = frame("arm string, g long, score double, label int", *rows, ("x", 1, None, 1), ("x", None, 0.5, 1))
+
+    def durable(table, name):
+        written.append(kept := keep(table, name))
+        return kept
+
+    keep = bootstrap.durable
+    monkeypatch.setattr(bootstrap, "durable", durable)
+    groups = df.where("g IS NOT NULL")
+    w = bootstrap.draw_weights(groups, "g", 64, 7)
+    drawn = {(r.b, r.g): r.weight for r in w.collect()}
+    got = {(r.arm, r.b): (r.auprc, r.auroc) for r in bootstrap.rank_replicates(df, "score", "label", "g", bootstrap.draw_vectors(groups, "g", 64, 7), ["arm"]).collect()}
+    moved = 0
+    for t in written:
+        lists = [c for c, kind in t.dtypes if kind.startswith("array")]
+        moved += sum(len(r[c]) for r in t.select(*lists).collect() for c in lists)
+    assert moved < len(rows) * 64 / 2
+    again = bootstrap.rank_replicates(df, "score", "label", "g", w.where("b > 1"), ["arm"])
+    assert {(r.arm, r.b): (r.auprc, r.auroc) for r in again.collect()} == {k: v for k, v in got.items() if k[1] > 1}
+    assert len(got) == 128
+    for (arm, b), (auprc, auroc) in got.items():
+        of = [(s, y, drawn.get((b, g), 0)) for a, g, s, y in rows if a == arm]
+        p, q = (sum(k for _, y, k in of if y == v) for v in (1, 0))
+        above = lambda s, v: sum(k for t, y, k in of if y == v and t >= s)
+        assert auprc == pytest.approx(sum(k * above(s, 1) / (above(s, 1) + above(s, 0)) for s, y, k in of if y and k) / p)
+        assert auroc == pytest.approx(sum(k * (above(s, 1) - sum(j for t, z, j in of if z and t == s) / 2) for s, y, k in of if not y) / p / q)
