@@ -73,6 +73,32 @@ def test_enumerate_codons_over_chunks(frame):
     assert got == sorted(want, key=lambda t: tuple(map(str, t)))
 
 
+def test_codons_are_counted_where_they_are_cut(frame):
+    rng = np.random.default_rng(4)
+    seq = "".join(rng.choice(list("ACGTN"), 9001, p=[0.3, 0.2, 0.2, 0.29, 0.01]))
+    texts = [("a", seq), ("b", "AC"), ("c", ""), ("d", None), ("e", "ATGATGR")]
+    places = [("a", int(i)) for i in rng.choice(9100, 3000, replace=False)] + [("e", 3), ("e", 3), ("e", -1), ("x", 0)]
+    t, known = frame("k string, seq string", *texts), frame("k string, mrna_index int", *places)
+    want = {}
+    for k, s in texts:
+        for i in range(len(s or "") - 2):
+            if "N" not in s[i : i + 3]:
+                n, at, hit = want.get((k, s[i : i + 3]), (0, 0, 0))
+                want[k, s[i : i + 3]] = (n + 1, at + i, hit + ((k, i) in places))
+    c = transcripts.codon_totals(t, ["k"], known).groupBy("k", "codon").agg(*[F.sum(x).alias(x) for x in ("n", "index_sum", "positives")])
+    assert {(r.k, r.codon): tuple(r)[2:] for r in c.collect()} == want
+    assert transcripts.codon_totals(t, ["k"]).where("positives > 0").count() == 0
+    only = transcripts.enumerate_codons(t, ["k"], ["ATG", "TGR"]).where("k = 'e'")
+    assert rows_of(only, "mrna_index", "codon") == [(0, "ATG"), (3, "ATG"), (4, "TGR")]
+
+
+def test_a_text_is_cut_once(frame):
+    """No filter on the explode's list repeats the cut below it."""
+    t = frame("k string, text string", ("a", "ACGT")).repartition("k").select("k", F.upper("text").alias("seq"))
+    plan = transcripts.chunk_sequence(t, ["k"], overlap=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
 def test_sequence_windows_pad_and_reverse(frame):
     seq = "".join(np.random.default_rng(1).choice(list("ACGT"), 8100))
     chunks = transcripts.chunk_sequence(frame("k string, seq string", ("a", seq)), ["k"])
