@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandwise.llm.common import components, octets, packed, runs_of, unpacked
-from strandwise.session import durable, forget
+from strandwise.session import forget, settled
 
 #: Odd multipliers of the hashes; their arithmetic is modulo 2^64.
 STEP, MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -44,7 +44,7 @@ def shingles(h: np.ndarray, words: int) -> np.ndarray:
     out = np.zeros_like(h)
     for j in range(words):
         out = out * np.uint64(STEP)
-        out[: len(h) - j] += h[j:]
+        out[: max(0, len(h) - j)] += h[j:]
     return scrambled(out)
 
 
@@ -207,7 +207,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of the cells with up to ``crowd`` paragraphs, and the (cell, key) of larger ones."""
     sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(members.join(sizes, "cell"), "cells")
+    members = settled(members.join(sizes, "cell"), "cells")
     few = members.where(F.col("n") <= crowd).select("cell", "key")
     pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b").select("a", "b").distinct()
     return pairs, members.where(F.col("n") > crowd).select("cell", "key")
@@ -227,16 +227,16 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
     share = threshold / (1 + threshold)
     while not crowds.isEmpty():
-        members = durable(crowds.join(sets, "key"), "members")
+        members = settled(crowds.join(sets, "key"), "members")
         each = members.select("cell", "key", F.explode("s").alias("x"))
         common = each.groupBy("cell", "x").agg(F.count("*").alias("n"))
         centre = each.join(common, ["cell", "x"]).groupBy("cell", "key").agg(F.avg("n").alias("n"))
         hubs = centre.groupBy("cell").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("key"))
-        hubs = durable(members.join(hubs, ["cell", "key"]).select("cell", F.col("key").alias("hub"), F.col("s").alias("hs")), "hubs")
+        hubs = settled(members.join(hubs, ["cell", "key"]).select("cell", F.col("key").alias("hub"), F.col("s").alias("hs")), "hubs")
         least = members.groupBy("cell").agg(F.min(F.size("s")).alias("least"))
         met = members.join(hubs, "cell").where("key <> hub").join(least, "cell")
         met = met.withColumn("both", F.size(F.array_intersect("s", "hs"))).withColumn("linked", F.col("both") >= threshold * (F.size("s") + F.size("hs") - F.col("both")))
-        met = durable(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
+        met = settled(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
         links = links.unionByName(met.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")))
         apart = met.where("open").select("cell", F.col("key").alias("a")).join(members.select("cell", F.col("key").alias("b")), "cell").where("a <> b")
         # u holds at least ``need`` of its extra shingles together with what is similar to it, so the first few in order meet one of them
@@ -247,14 +247,14 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
         # cells that hold the same members (the shingles of one edit) count once
         sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("asks").alias("asks"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and asks = 1")
         sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
-        cells = durable(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
+        cells = settled(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
         roots = components(links if known is None else links.unionByName(known)).withColumnRenamed("node", "key")
         rooted = cells.join(roots, "key", "left").groupBy("cell").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
-        cells = durable(cells.join(rooted.where("least < most").select("cell"), "cell"), "cells")
+        cells = settled(cells.join(rooted.where("least < most").select("cell"), "cell"), "cells")
         few = cells.where(F.col("n") <= crowd)
         pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
         pairs = pairs.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        links = links.unionByName(durable(similar(pairs.distinct(), sets, threshold), "links"))
+        links = links.unionByName(settled(similar(pairs.distinct(), sets, threshold), "links"))
         crowds = cells.where(F.col("n") > crowd).select("cell", "key")
     return links
 
@@ -280,8 +280,8 @@ def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataF
     another. Where what follows a seed is shared no further in one document, the words there of all that hold the
     seed are compared (``_grown``).
     """
-    shared = durable(_shared(seeds, "gap_key", "gap"), "seeds")
-    spans = durable(_shared(shared.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
+    shared = settled(_shared(seeds, "gap_key", "gap"), "seeds")
+    spans = settled(_shared(shared.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
     # by place: is the side closed by a shared span, and do rows that repeat the doc_id differ there?
     none, mark = F.lit(None), F.lit(1)
     facts = shared.select("doc_id", "start", "key", none.cast("int").alias("l"), none.cast("int").alias("r"))
@@ -293,16 +293,17 @@ def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataF
     ends = held.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") | F.col("right"))
     places = shared.select("key", "doc_id", "start").distinct().join(ends, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "left", "right")).alias("places"))
     beside = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
-    beside = durable(beside.where(F.size("near") > 0).withColumn("class", F.xxhash64("key", "side", "near")), "beside")
+    beside = settled(beside.where(F.size("near") > 0).withColumn("class", F.xxhash64("key", "side", "near")), "beside")
     unit = ["doc_id", "start", "words", "keeper", "there", "shift"]
-    found = shared.select(unit).unionByName(spans.select(unit)).unionByName(_grown(beside, size).select(unit))
-    out = durable(found.withColumn("removed", F.col("doc_id") > F.col("keeper")), "exact")
-    forget(shared, spans, beside)
+    grown, begun = _grown(beside, size)
+    found = shared.select(unit).unionByName(spans.select(unit)).unionByName(grown.select(unit))
+    out = settled(found.withColumn("removed", F.col("doc_id") > F.col("keeper")), "exact")
+    forget(shared, spans, beside, begun)
     return out
 
 
-def _grown(beside: DataFrame, size: int) -> DataFrame:
-    """Seeds with as many words beside them as another document shares.
+def _grown(beside: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Seeds with as many words beside them as another document shares, and the table to forget once they are written.
 
     Places with the same words beside the seed are one class. The classes' beginnings of 1, 2, ... words are counted,
     not the places', so copies cost one row each; a place then takes the longest beginning that a smaller doc_id
@@ -311,7 +312,7 @@ def _grown(beside: DataFrame, size: int) -> DataFrame:
     place = F.struct("doc_id", "start")
     classes = beside.groupBy("class", "key", "side", "near").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     begun = classes.select("class", "low", "high", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("j"), "key", "side", "near")
-    begun = durable(begun.select("class", "low", "high", "j", F.xxhash64("key", "side", F.slice("near", 1, F.col("j"))).alias("head")), "begun")
+    begun = settled(begun.select("class", "low", "high", "j", F.xxhash64("key", "side", F.slice("near", 1, F.col("j"))).alias("head")), "begun")
     heads = begun.groupBy("head").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first.doc_id < last.doc_id")
     levels = begun.join(heads, "head").groupBy("class").agg(F.collect_list(F.struct("j", "first", "last")).alias("levels"))
     doc = F.col("doc_id")
@@ -323,7 +324,7 @@ def _grown(beside: DataFrame, size: int) -> DataFrame:
     other = F.when(F.col("best.first.doc_id") == doc, F.col("best.last")).otherwise(F.col("best.first"))
     begin = F.when(F.col("side"), F.col("start")).otherwise(F.col("start") - j)
     out = each.select("doc_id", begin.alias("start"), (j + size).alias("words"), F.col("best.first.doc_id").alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift"))
-    return out
+    return out, begun
 
 
 def bridges(found: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -378,27 +379,28 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     size = min(8, run)
     wide = run - size + 1
     shape = "key long, doc_id long, start int, words int, marks array<long>, gap_key long, gap int"
-    units = durable(rows.mapInArrow(_units(words, least, band, bands, size, wide), shape), "units")
+    units = settled(rows.mapInArrow(_units(words, least, band, bands, size, wide), shape), "units")
     exact = exact_runs(rows, units.where(F.size("marks") == 0).drop("marks"), size, wide)
-    whole = units.where(F.size("marks") > 0)
+    whole = settled(units.where(F.size("marks") > 0), "lines")
+    forget(units)
     # equal paragraphs once, with one place where the words stand
     place = F.struct("doc_id", "start", "words")
-    paragraphs = durable(whole.groupBy("key").agg(F.min(place).alias("at"), F.first("marks").alias("marks")), "paragraphs")
+    paragraphs = settled(whole.groupBy("key").agg(F.min(place).alias("at"), F.first("marks").alias("marks")), "paragraphs")
     cells = paragraphs.select("key", F.posexplode("marks").alias("band", "mark")).select(F.xxhash64("band", "mark").alias("cell"), "key")
     pairs, crowds = small_cells(cells, crowd)
-    pairs, crowds = durable(pairs, "pairs"), durable(crowds, "crowds")
+    pairs, crowds = settled(pairs, "pairs"), settled(crowds, "crowds")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select("key")).distinct()
     places = paragraphs.join(wanted, "key", "left_semi").select(F.col("at.doc_id").alias("_doc"), F.struct("key", "at.start", "at.words").alias("p"))
     places = places.groupBy("_doc").agg(F.collect_list("p").alias("places"))
     sets = rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_shingled(words), "key long, s array<long>")
-    sets = durable(sets.dropDuplicates(["key"]), "shingles")
-    links = durable(similar(pairs, sets, threshold), "links")
+    sets = settled(sets.dropDuplicates(["key"]), "shingles")
+    links = settled(similar(pairs, sets, threshold), "links")
     if not crowds.isEmpty():
         links = links.unionByName(hub_links(crowds, sets, threshold, crowd, links))
     roots = components(links.distinct()).withColumnRenamed("node", "key")
     # paragraphs by cluster; first and last document tell whether there are several
-    kept = durable(whole.drop("marks").join(roots, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key"), "members")
-    forget(units, paragraphs, pairs, crowds, sets)
+    kept = settled(whole.drop("marks").join(roots, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key"), "members")
+    forget(whole, paragraphs, pairs, crowds, sets)
     held = kept.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
     unit = ["doc_id", "start", "words", "keeper", "removed"]

@@ -1,9 +1,11 @@
 """Repeated passages that were planted, exact similarity of links, crowded cells, and odd rows."""
 
+import os
 import random
 
 import pytest
 
+from strandwise.llm import passages
 from strandwise.llm.common import components
 from strandwise.llm.passages import hub_links, repeated_passages, tune_bands, without_passages
 
@@ -132,3 +134,24 @@ def test_passages_in_long_lines_are_found_to_the_word(spark):
             want.add((d, at, len(p), 2 * i, d % 2 == 1))
     got = repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert set(map(tuple, got)) == want and len(got) == len(want)
+
+
+def test_tables_and_shuffles_go_when_they_are_read(spark, monkeypatch):
+    """What is kept until the result is read: no shuffle of a table that is written, no table of seeds."""
+    keep, kept, told = passages.settled, {}, []
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    set_conf = spark.conf.set
+
+    def settled(df, name):
+        kept[name] = out = keep(df, name)
+        return out
+
+    monkeypatch.setattr(passages, "settled", settled)
+    monkeypatch.setattr(type(spark.conf), "set", lambda self, k, v: (told.append((k, v)), set_conf(k, v))[1])
+    words = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, words), (2, f"a b c {words} d e"), (3, "other words")], "doc_id long, text string")
+    got = passages.repeated_passages(docs)
+    assert {r.doc_id for r in got.collect()} == {1, 2}
+    assert (key, "true") in told and spark.conf.get(key) == "false"
+    gone = {n for n, t in kept.items() if not any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())}
+    assert {"units", "begun", "beside", "seeds", "spans"} <= gone
