@@ -273,14 +273,13 @@ def _shared(units: DataFrame, *more: str) -> DataFrame:
     return joined.select("doc_id", "start", "words", "key", F.col("low.doc_id").alias("keeper"), F.col("other.doc_id").alias("there"), (F.col("other.start") - F.col("start")).alias("shift"), *more)
 
 
-def exact_runs(rows: DataFrame, seeds: DataFrame, size: int, wide: int) -> DataFrame:
+def exact_runs(rows: DataFrame, shared: DataFrame, size: int, wide: int) -> DataFrame:
     """Shared seeds, shared words from a seed to the end of the next, and what seeds at the ends of runs share beside them.
 
     A run goes on for less than ``wide`` words behind its last seed, since the next ``wide`` shingles would hold
     another. Where what follows a seed is shared no further in one document, the words there of all that hold the
     seed are compared (``_grown``).
     """
-    shared = settled(_shared(seeds, "gap_key", "gap"), "seeds")
     spans = settled(_shared(shared.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
     # by place: is the side closed by a shared span, and do rows that repeat the doc_id differ there?
     none, mark = F.lit(None), F.lit(1)
@@ -380,9 +379,11 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     wide = run - size + 1
     shape = "key long, doc_id long, start int, words int, marks array<long>, gap_key long, gap int"
     units = settled(rows.mapInArrow(_units(words, least, band, bands, size, wide), shape), "units")
-    exact = exact_runs(rows, units.where(F.size("marks") == 0).drop("marks"), size, wide)
+    # most units are seeds that nobody shares: they go before anything else is written
+    shared = settled(_shared(units.where(F.size("marks") == 0).drop("marks"), "gap_key", "gap"), "seeds")
     whole = settled(units.where(F.size("marks") > 0), "lines")
     forget(units)
+    exact = exact_runs(rows, shared, size, wide)
     # equal paragraphs once, with one place where the words stand
     place = F.struct("doc_id", "start", "words")
     paragraphs = settled(whole.groupBy("key").agg(F.min(place).alias("at"), F.first("marks").alias("marks")), "paragraphs")
