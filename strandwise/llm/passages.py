@@ -57,13 +57,13 @@ def banded(marks: np.ndarray, rows: int) -> np.ndarray:
 
 
 def minhash(s: np.ndarray, begin: np.ndarray, end: np.ndarray, seeds: range) -> np.ndarray:
-    """Least scrambled value of s[begin:end] of each range, by seed."""
+    """Least value of s[begin:end] times the seed's factor, of each range; ``s`` is scrambled, so its products with odd factors are in random order."""
     out = np.empty((len(begin), len(seeds)), np.uint64)
     edges = np.stack([begin, end], axis=1).ravel()
     padded = np.append(s, np.uint64(2**64 - 1))
     for k, seed in enumerate(seeds):
-        salt = np.uint64((2 * seed + 1) * STEP % 2**64)
-        out[:, k] = np.minimum.reduceat(scrambled(padded * salt), edges)[::2] if len(begin) else 0
+        salt = scrambled(np.array([(2 * seed + 1) * STEP % 2**64], np.uint64)) | np.uint64(1)
+        out[:, k] = np.minimum.reduceat(padded * salt, edges)[::2] if len(begin) else 0
     return out
 
 
@@ -105,21 +105,27 @@ class Units:
         s = shingles(self.h, size)
         n = max(len(s) - wide + 1, 0)
         place = np.arange(n)
-        low, at = s[:n], place
-        for j in range(1, wide):
-            less = s[j : j + n] < low
-            low, at = np.where(less, s[j : j + n], low), np.where(less, place + j, at)
+        low, at, reach = s, np.arange(len(s)), 1
+        while reach < wide:  # the least of ``reach`` and of as many further on, at most twice as many together
+            step = min(reach, wide - reach)
+            less = low[step:] < low[:-step]
+            low, at, reach = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step]), reach + step
         sizes = self.doc_end - self.doc_begin
         doc = np.repeat(np.arange(len(sizes)), sizes)
         at = np.unique(at[place + wide + size - 1 <= self.doc_end[doc[:n]]])
         return doc[at], at
 
+    def around(self, doc: np.ndarray, at: np.ndarray, size: int, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Seeds with up to ``reach`` words of their text on both sides: begin, end, and a hash of the words and of the seed's place among them."""
+        begin, end = np.maximum(at - reach, self.doc_begin[doc]), np.minimum(at + size + reach, self.doc_end[doc])
+        return begin, end, self.keys(begin, end) + (at - begin)
+
 
 def _units(words: int, least: int, rows_a_band: int, bands: int, size: int, wide: int):
-    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words, and key and number of further words.
+    """Arrow batches of (doc_id, text) to units: key, doc_id, start and number of words, and a further key and number of words.
 
     Of paragraphs also the bands of MinHashes; their further words are those in short lines up to the document's next
-    paragraph. Of seeds they are all from the seed to the end of the next one.
+    paragraph. Of seeds the key is that of the ``size`` words, and all else is of the words around them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,44 +141,42 @@ def _units(words: int, least: int, rows_a_band: int, bands: int, size: int, wide
                 upto = end.copy()
                 upto[:-1] = np.where(doc[1:] == doc[:-1], begin[1:], end[:-1])
                 held, seed = u.seeds(size, wide)
-                at, to, own = (np.concatenate(x) for x in ((begin, seed), (end, seed + size), (doc, held)))
-                then = seed.copy()  # the end of the document's next seed, or the seed's own start
-                then[:-1] = np.where(held[1:] == held[:-1], seed[1:] + size, seed[:-1])
+                low, high, around = u.around(held, seed, size, wide - 1)
+                keys, more = np.append(u.keys(begin, end), u.keys(seed, seed + size)), np.append(u.keys(end, upto), around)
+                at, to, own = (np.concatenate(x) for x in ((begin, low), (end, high), (doc, held)))
                 lists = pa.ListArray.from_arrays(pa.array(np.append(np.arange(len(begin) + 1) * bands, np.full(len(seed), len(begin) * bands)), pa.int32()), pa.array(marks.ravel()))
-                columns = [pa.array(u.keys(at, to)), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists, pa.array(u.keys(np.append(end, seed), np.append(upto, then))), pa.array(np.append(upto - end, then - seed), pa.int32())]
+                columns = [pa.array(keys), pa.array(ids[own]), pa.array(at - u.doc_begin[own], pa.int32()), pa.array(to - at, pa.int32()), lists, pa.array(more), pa.array(np.append(upto - end, np.zeros(len(seed), np.int64)), pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "words", "marks", "gap_key", "gap"])
 
     return run
 
 
 def _beside(size: int, reach: int):
-    """(doc_id, text, places of seeds) to the hashes of up to ``reach`` words beside each seed's open sides, outwards."""
+    """(doc_id, text, classes of seeds) to the hashes of up to ``reach`` words on either side of each such seed, outwards."""
+
+    def mixed(kind: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        return scrambled(kind.view(np.uint64) + doc.astype(np.uint64) * np.uint64(STEP))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         out = np.arange(reach)
         for batch in batches:
-            places = batch.column(2)
-            stops = np.append(0, np.cumsum(places.value_lengths().to_numpy()))
-            fields = [places.flatten().field(f).to_numpy(zero_copy_only=False) for f in ("start", "key", "left", "right")]
-            parts = []
-            for i, (d, text) in enumerate(zip(batch.column(0).to_pylist(), octets(batch.column(1)), strict=True)):
-                u = Units(known, [text])
-                at, keys, left, right = (f[stops[i] : stops[i + 1]] for f in fields)
-                at = at.astype(np.int64)
-                inside = at + size <= len(u.h)
-                at, keys, left, right = at[inside], keys[inside], left[inside], right[inside]
-                same = u.keys(at, at + size) == keys
+            rows = list(zip(batch.column(0).to_pylist(), octets(batch.column(1)), batch.column(2).to_pylist(), strict=True))
+            for part in runs_of(rows, (len(t) // 6 + 1 for _, t, _ in rows), WORK):
+                u = Units(known, [t for _, t, _ in part])
+                doc, at = u.seeds(size, reach + 1)
+                asked = np.array([c for _, _, own in part for c in own], np.int64)
+                by = np.repeat(np.arange(len(part)), [len(own) for _, _, own in part])
+                hit = np.isin(mixed(u.around(doc, at, size, reach)[2], doc), mixed(asked, by))
+                doc, at = doc[hit], at[hit]
+                keys, ids, start = u.keys(at, at + size), np.array([d for d, _, _ in part], np.int64)[doc], at - u.doc_begin[doc]
                 short = (u.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                for side, mine in ((False, same & left), (True, same & right)):
-                    place = at[mine][:, None]
-                    near = place + size + out if side else place - 1 - out
-                    whole = (near >= 0) & (near < len(short))
-                    parts.append((keys[mine], np.full(mine.sum(), d, np.int64), at[mine], np.full(mine.sum(), side), whole.sum(axis=1), short[near[whole]]))
-            if parts:
-                key, doc, at, side, many, near = (np.concatenate(x) for x in zip(*parts, strict=True))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(many)), pa.int32()), pa.array(near, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at, pa.int32()), pa.array(side), lists], ["key", "doc_id", "start", "side", "near"])
+                for side in (False, True):
+                    place = at[:, None] + size + out if side else at[:, None] - 1 - out
+                    whole = place < u.doc_end[doc][:, None] if side else place >= u.doc_begin[doc][:, None]
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(whole.sum(axis=1))), pa.int32()), pa.array(short[place[whole]], pa.int32()))
+                    columns = [pa.array(keys), pa.array(ids), pa.array(start, pa.int32()), pa.array(np.full(len(at), side)), lists]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "start", "side", "near"])
 
     return run
 
@@ -183,15 +187,17 @@ def _shingled(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Hashes()
         for batch in batches:
-            keys, sets = [], []
-            for text, places in zip(octets(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                u = Units(known, [text])
+            rows = list(zip(octets(batch.column(0)), batch.column(1).to_pylist(), strict=True))
+            for part in runs_of(rows, (len(t) // 6 + 1 for t, _ in rows), WORK):
+                u = Units(known, [t for t, _ in part])
                 s = shingles(u.h, words).view(np.int64)
-                for p in places:
-                    if p["start"] + p["words"] <= len(s) and u.keys(np.array([p["start"]]), np.array([p["start"] + p["words"]]))[0] == p["key"]:
-                        keys.append(p["key"])
-                        sets.append(np.unique(s[p["start"] : p["start"] + p["words"] - words + 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
+                asked = np.array([(d, p["key"], p["start"], p["words"]) for d, (_, own) in enumerate(part) for p in own], np.int64).reshape(-1, 4)
+                begin = u.doc_begin[asked[:, 0]] + asked[:, 2]
+                asked, begin = (x[begin + asked[:, 3] <= u.doc_end[asked[:, 0]]] for x in (asked, begin))
+                end = begin + asked[:, 3]
+                same = np.flatnonzero(u.keys(begin, end) == asked[:, 1])
+                sets = [np.unique(s[begin[i] : end[i] - words + 1]) for i in same]
+                yield pa.RecordBatch.from_arrays([pa.array(asked[same, 1]), pa.array(sets, pa.list_(pa.int64()))], ["key", "s"])
 
     return run
 
@@ -207,7 +213,7 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Candidate pairs of the cells with up to ``crowd`` paragraphs, and the (cell, key) of larger ones."""
     sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = settled(members.join(sizes, "cell"), "cells")
+    members = settled(members.join(sizes.hint("shuffle_hash"), "cell"), "cells")
     few = members.where(F.col("n") <= crowd).select("cell", "key")
     pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b").select("a", "b").distinct()
     return pairs, members.where(F.col("n") > crowd).select("cell", "key")
@@ -220,8 +226,9 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
     the paragraph. It meets all members. Let u be one that it is not similar to. Whatever is similar to u
     then holds some of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
     has in common with the hub are too few. So the first of the shingles that the hub lacks, as many as must
-    meet one of them, make smaller cells, which go the same way where they are large; the few u for which
-    size decides meet the whole cell. A smaller cell whose members are already connected, by these links or
+    meet one of them, make smaller cells, which go the same way where they are large. The few u for which size
+    decides, as they are cut-down copies of the hub, make one more smaller cell with all that is small enough to be
+    similar to one of them; it is without the hub. A smaller cell whose members are already connected, by these links or
     the ``known`` ones, needs no more work.
     """
     links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
@@ -236,9 +243,13 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
         least = members.groupBy("cell").agg(F.min(F.size("s")).alias("least"))
         met = members.join(hubs, "cell").where("key <> hub").join(least, "cell")
         met = met.withColumn("both", F.size(F.array_intersect("s", "hs"))).withColumn("linked", F.col("both") >= threshold * (F.size("s") + F.size("hs") - F.col("both")))
+        # what is similar to u has threshold times its size at least
+        met = met.withColumn("least", F.greatest("least", F.ceil(threshold * F.size("s") - 1e-6)))
         met = settled(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
         links = links.unionByName(met.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-        apart = met.where("open").select("cell", F.col("key").alias("a")).join(members.select("cell", F.col("key").alias("b")), "cell").where("a <> b")
+        limits = met.where("open").groupBy("cell").agg(F.max(F.col("both") / share - F.size("s")).alias("most"))
+        apart = met.join(limits, "cell").where(F.col("open") | (F.size("s") <= F.col("most") + 1e-6)).select(F.xxhash64("cell", F.lit("small")).alias("cell"), "key")
+        apart = apart.join(apart.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell")
         # u holds at least ``need`` of its extra shingles together with what is similar to it, so the first few in order meet one of them
         need = F.greatest(F.ceil(share * (F.size("s") + F.col("least")) - 1e-6) - F.col("both"), F.lit(1))
         extra = met.select("cell", "key", (~F.col("linked")).alias("out"), need.alias("need"), F.array_except("s", "hs").alias("e"))
@@ -247,94 +258,91 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int,
         # cells that hold the same members (the shingles of one edit) count once
         sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("asks").alias("asks"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and asks = 1")
         sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
-        cells = settled(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n"), "cells")
+        cells = settled(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n").unionByName(apart), "cells")
         roots = components(links if known is None else links.unionByName(known)).withColumnRenamed("node", "key")
         rooted = cells.join(roots, "key", "left").groupBy("cell").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
         cells = settled(cells.join(rooted.where("least < most").select("cell"), "cell"), "cells")
         few = cells.where(F.col("n") <= crowd)
         pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
-        pairs = pairs.select("a", "b").unionByName(apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        pairs = pairs.select("a", "b")
         links = links.unionByName(settled(similar(pairs.distinct(), sets, threshold), "links"))
         crowds = cells.where(F.col("n") > crowd).select("cell", "key")
     return links
 
 
-def _shared(units: DataFrame, *more: str) -> DataFrame:
-    """The units that other documents hold: doc_id, start, words, key, keeper, the place of one other document's, and columns ``more``.
-
-    Whether several documents hold a key is told from two numbers a key, so units that stand alone leave early.
-    """
-    several = units.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
-    units = units.join(several, "key", "left_semi")
-    place = F.struct("doc_id", "start")
-    held = units.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    other = F.when(F.col("doc_id") == F.col("low.doc_id"), F.col("high")).otherwise(F.col("low"))
-    joined = units.join(held, "key").withColumn("other", other)
-    return joined.select("doc_id", "start", "words", "key", F.col("low.doc_id").alias("keeper"), F.col("other.doc_id").alias("there"), (F.col("other.start") - F.col("start")).alias("shift"), *more)
+def _shared(seeds: DataFrame) -> DataFrame:
+    """The seeds that other documents hold, with the smallest of these: whether several do is told from two numbers a key, so most rows move once and are gone."""
+    held = seeds.groupBy("key").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
+    held = settled(held, "keys")
+    shared = settled(seeds.join(held.hint("shuffle_hash"), "key"), "seeds")
+    forget(held)
+    return shared
 
 
 def exact_runs(rows: DataFrame, shared: DataFrame, size: int, wide: int) -> DataFrame:
-    """Shared seeds, shared words from a seed to the end of the next, and what seeds at the ends of runs share beside them.
+    """Runs of the words that shared seeds and the words beside them share with other documents (see ``_islands``).
 
     A run goes on for less than ``wide`` words behind its last seed, since the next ``wide`` shingles would hold
-    another. Where what follows a seed is shared no further in one document, the words there of all that hold the
-    seed are compared (``_grown``).
+    another. Seeds with the same ``wide`` - 1 words on both sides are one class. Where several documents hold a
+    class, all these words are shared, and there is no more to find for any but its smallest document. What classes
+    share with each other is found from one document of each, where a seed has several (``_grown``).
     """
-    spans = settled(_shared(shared.where("gap > 0").select(F.col("gap_key").alias("key"), "doc_id", "start", F.col("gap").alias("words"))), "spans")
-    # by place: is the side closed by a shared span, and do rows that repeat the doc_id differ there?
-    none, mark = F.lit(None), F.lit(1)
-    facts = shared.select("doc_id", "start", "key", none.cast("int").alias("l"), none.cast("int").alias("r"))
-    facts = facts.unionByName(spans.select("doc_id", "start", none.cast("long").alias("key"), none.cast("int").alias("l"), mark.alias("r")))
-    facts = facts.unionByName(spans.select("doc_id", (F.col("start") + F.col("words") - size).alias("start"), none.cast("long").alias("key"), mark.alias("l"), none.cast("int").alias("r")))
-    several = F.min("key") < F.max("key")
-    facts = facts.groupBy("doc_id", "start").agg((F.max("l").isNull() | several).alias("left"), (F.max("r").isNull() | several).alias("right"))
-    held = shared.select("key", "doc_id", "start").distinct().join(facts, ["doc_id", "start"])
-    ends = held.groupBy("key").agg(F.max("left").alias("left"), F.max("right").alias("right")).where(F.col("left") | F.col("right"))
-    places = shared.select("key", "doc_id", "start").distinct().join(ends, "key").groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct("key", "start", "left", "right")).alias("places"))
+    place = F.struct("doc_id", "start")
+    classes = settled(shared.groupBy("key", "class").agg(F.min(place).alias("low"), F.max(place).alias("high")), "classes")
+    several = classes.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
+    places = classes.join(several, "key", "left_semi").groupBy(F.col("low.doc_id").alias("_doc")).agg(F.collect_list("class").alias("places"))
+    whole = shared.join(classes.where("low.doc_id < high.doc_id").hint("shuffle_hash"), ["key", "class"])
+    later = F.col("doc_id") > F.col("low.doc_id")
+    other = F.when(later, F.col("low")).otherwise(F.col("high"))
+    keeper = F.when(later, F.col("keeper")).otherwise(F.col("doc_id"))
+    spans = settled(whole.select("doc_id", "start", "words", keeper.alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift")), "spans")
+    forget(shared)
     beside = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
-    beside = settled(beside.where(F.size("near") > 0).withColumn("class", F.xxhash64("key", "side", "near")), "beside")
-    unit = ["doc_id", "start", "words", "keeper", "there", "shift"]
+    beside = settled(beside.withColumn("class", F.xxhash64("key", "side", "near")), "beside")
+    forget(classes)
     grown, begun = _grown(beside, size)
-    found = shared.select(unit).unionByName(spans.select(unit)).unionByName(grown.select(unit))
-    out = settled(found.withColumn("removed", F.col("doc_id") > F.col("keeper")), "exact")
-    forget(shared, spans, beside, begun)
+    way = F.struct("there", "shift")
+    ends = F.col("start") + F.col("words")
+    found = spans.unionByName(grown).withColumn("removed", F.col("doc_id") > F.col("keeper"))
+    runs = _islands(found, F.min_by(way, F.struct("start", -ends, way)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"), way)).alias("tail"))
+    out = settled(runs, "exact")
+    forget(spans, beside, begun)
     return out
 
 
 def _grown(beside: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Seeds with as many words beside them as another document shares, and the table to forget once they are written.
 
-    Places with the same words beside the seed are one class. The classes' beginnings of 1, 2, ... words are counted,
-    not the places', so copies cost one row each; a place then takes the longest beginning that a smaller doc_id
-    holds, and the longest that it is the smallest to hold.
+    Places with the same words beside the seed are one class. The classes' beginnings of 0, 1, 2, ... words are
+    counted, not the places', so copies cost one row each; a place then takes the longest beginning that a smaller
+    doc_id holds, and the longest that it is the smallest to hold.
     """
     place = F.struct("doc_id", "start")
     classes = beside.groupBy("class", "key", "side", "near").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    begun = classes.select("class", "low", "high", F.explode(F.sequence(F.lit(1), F.size("near"))).alias("j"), "key", "side", "near")
+    begun = classes.select("class", "low", "high", F.explode(F.sequence(F.lit(0), F.size("near"))).alias("j"), "key", "side", "near")
     begun = settled(begun.select("class", "low", "high", "j", F.xxhash64("key", "side", F.slice("near", 1, F.col("j"))).alias("head")), "begun")
     heads = begun.groupBy("head").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first.doc_id < last.doc_id")
-    levels = begun.join(heads, "head").groupBy("class").agg(F.collect_list(F.struct("j", "first", "last")).alias("levels"))
+    levels = begun.join(heads.hint("shuffle_hash"), "head").groupBy("class").agg(F.collect_list(F.struct("j", "first", "last")).alias("levels"))
     doc = F.col("doc_id")
     later = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] < doc))
     first = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] == doc))
     one = F.explode(F.filter(F.array(later.alias("a"), first.alias("a")), lambda x: x.isNotNull()))
-    each = beside.join(levels, "class").select("doc_id", "start", "side", one.alias("best"))
+    keeper = F.array_min(F.transform("levels", lambda x: x["first"]["doc_id"]))
+    each = beside.join(levels, "class").select("doc_id", "start", "side", keeper.alias("keeper"), one.alias("best"))
     j = F.col("best.j")
-    other = F.when(F.col("best.first.doc_id") == doc, F.col("best.last")).otherwise(F.col("best.first"))
+    own = F.col("best.first.doc_id") == doc
+    other = F.when(own, F.col("best.last")).otherwise(F.col("best.first"))
     begin = F.when(F.col("side"), F.col("start")).otherwise(F.col("start") - j)
-    out = each.select("doc_id", begin.alias("start"), (j + size).alias("words"), F.col("best.first.doc_id").alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift"))
+    out = each.select("doc_id", begin.alias("start"), (j + size).alias("words"), F.when(own, doc).otherwise(F.col("keeper")).alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift"))
     return out, begun
 
 
-def bridges(found: DataFrame, words: int, threshold: float) -> DataFrame:
+def bridges(runs: DataFrame, words: int, threshold: float) -> DataFrame:
     """Neighbouring exact runs as one, where they and what lies between them are similar in both documents.
 
     The shingles of the two runs are common; those over the words between them, here and there, are not. Their
     Jaccard similarity must be ``threshold`` or more.
     """
-    ends = F.col("start") + F.col("words")
-    way = F.struct("there", "shift")
-    runs = _islands(found, F.min_by(way, F.struct("start", -ends, way)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"), way)).alias("tail"))
     by = Window.partitionBy("doc_id", "removed").orderBy("start")
     runs = runs.withColumn("next", F.lead(F.struct("start", "end", "keeper", "head")).over(by))
     here = F.col("next.start") - F.col("end")
@@ -366,6 +374,8 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     costs them eight shingles or more; runs beside an edit are joined over it if they are similar together
     (``bridges``). Of such a passage only a part of under ``run`` words between an edit and its edge can be missed.
     Neighbouring units of the same fate join, and runs of ``run`` words or more are returned, by word numbers.
+    What lies inside a removed run is not returned as kept too. A kept run may lack words that smaller documents hold
+    in part on either side of a seed; removed runs lack none.
 
     Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. Cells with more than
     ``crowd`` paragraphs are linked by hubs, which lose no connection inside the cell.
@@ -380,7 +390,7 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     shape = "key long, doc_id long, start int, words int, marks array<long>, gap_key long, gap int"
     units = settled(rows.mapInArrow(_units(words, least, band, bands, size, wide), shape), "units")
     # most units are seeds that nobody shares: they go before anything else is written
-    shared = settled(_shared(units.where(F.size("marks") == 0).drop("marks"), "gap_key", "gap"), "seeds")
+    shared = _shared(units.where(F.size("marks") == 0).select("key", F.col("gap_key").alias("class"), "doc_id", "start", "words"))
     whole = settled(units.where(F.size("marks") > 0), "lines")
     forget(units)
     exact = exact_runs(rows, shared, size, wide)
@@ -405,8 +415,12 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     held = kept.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
     lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
     unit = ["doc_id", "start", "words", "keeper", "removed"]
-    found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(exact.select(unit)).unionByName(bridges(exact, words, threshold))
+    runs = exact.withColumn("words", F.col("end") - F.col("start")).select(unit)
+    found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(runs).unionByName(bridges(exact, words, threshold))
     joined = _islands(found)
+    # what lies inside a run that is removed is not kept for others as well
+    gone = F.last(F.when(F.col("removed"), F.col("end")), ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("start", F.desc("removed")))
+    joined = joined.withColumn("gone", gone).where(F.col("removed") | F.col("gone").isNull() | (F.col("gone") < F.col("end")))
     return joined.select("doc_id", "start", (F.col("end") - F.col("start")).alias("words"), "keeper", "removed").where(F.col("words") >= run)
 
 

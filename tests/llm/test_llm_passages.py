@@ -155,3 +155,51 @@ def test_tables_and_shuffles_go_when_they_are_read(spark, monkeypatch):
     assert (key, "true") in told and spark.conf.get(key) == "false"
     gone = {n for n, t in kept.items() if not any(os.path.exists(f.removeprefix("file:")) for f in t.inputFiles())}
     assert {"units", "begun", "beside", "seeds", "spans"} <= gone
+
+
+def test_crowds_of_different_sizes_make_no_pairs_of_all(spark, monkeypatch):
+    """A small paragraph in a cell of larger ones that are all different makes nobody meet the whole cell."""
+    rng = random.Random(5)
+    fresh = lambda n: [rng.randrange(10**9) + 1000 for _ in range(n)]
+    sets = {k: sorted([*range(30), *fresh(20)]) for k in range(150)} | {150: list(range(50)), 151: list(range(4))}
+    met = []
+    keep = passages.similar
+    monkeypatch.setattr(passages, "similar", lambda pairs, *a: (met.append(pairs.count()), keep(pairs, *a))[1])
+    table = spark.createDataFrame(list(sets.items()), "key long, s array<long>")
+    crowds = spark.createDataFrame([(1, k) for k in sets], "cell long, key long")
+    assert hub_links(crowds, table, 0.8, 8).where("a <> b").count() == 0
+    assert sum(met) < 10 * len(sets)
+
+
+def test_runs_of_twenty_words_are_all_found_and_written_as_runs(spark, monkeypatch):
+    """Against all windows of 20 words; what is kept on disk of exact runs is a row a run, not some rows a seed."""
+    rng = random.Random(14)
+    keep, kept = passages.settled, {}
+
+    def settled(df, name):
+        kept[name] = out = keep(df, name)
+        if name == "exact":
+            kept["rows"] = out.count()
+        return out
+
+    monkeypatch.setattr(passages, "settled", settled)
+    pool = [words(rng, 90) for _ in range(6)]
+    docs = {}
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            at = rng.randrange(60)
+            parts += [*words(rng, rng.randrange(15)), *p[at : at + rng.randrange(10, 60)]]
+        docs[i] = parts
+    first = {}
+    for d, w in docs.items():
+        for j in range(len(w) - 19):
+            first.setdefault(tuple(w[j : j + 20]), d)
+    want = {(d, j + x) for d, w in docs.items() for j in range(len(w) - 19) if first[tuple(w[j : j + 20])] < d for x in range(20)}
+    got = repeated_passages(spark.createDataFrame([(d, lined(w, [7, 5])) for d, w in docs.items()], "doc_id long, text string")).collect()
+    removed = {(r.doc_id, x) for r in got if r.removed for x in range(r.start, r.start + r.words)}
+    assert want <= removed and len(removed) < 1.2 * len(want)
+    assert kept["rows"] < 12 * len(docs)
+    for r in got:  # what is kept does not lie inside what is removed
+        assert r.removed or not {(r.doc_id, x) for x in range(r.start, r.start + r.words)} <= removed
