@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -181,6 +183,73 @@ def _beside(size: int, reach: int):
     return run
 
 
+def _grow(key: np.ndarray, side: np.ndarray, near: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray, low: tuple, high: tuple) -> Iterator[tuple]:
+    """Of each place, the longest beginning of the words beside its seed that a smaller document holds, and the longest that it is the first to hold.
+
+    Yields (rows, number of words, first document of any beginning, document and start of the other place). ``near`` has
+    a row a place; ``low`` and ``high`` are the first and last (document, start) of the seed, which is the beginning of no words.
+    """
+    order = np.lexsort([*near.T[::-1], side, key])
+    key, side, near, size, doc, start = (x[order] for x in (key, side, near, size, doc, start))
+    low, high = (tuple(x[order] for x in place) for place in (low, high))
+    by = np.lexsort([start, doc])
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    fresh = np.append(True, (key[1:] != key[:-1]) | (side[1:] != side[:-1]))
+    keeper = np.where(low[0] < high[0], low[0], np.iinfo(np.int64).max)
+    later, own = ((low[0] < high[0]) & mine for mine in (low[0] < doc, low[0] == doc))
+    best = [(later, np.zeros(len(doc), np.int64), low[0].copy(), low[1].copy()), (own, np.zeros(len(doc), np.int64), high[0].copy(), high[1].copy())]
+    for j in range(1, near.shape[1] + 1):
+        fresh = fresh | np.append(True, near[1:, j - 1] != near[:-1, j - 1])
+        begin = np.flatnonzero(fresh)
+        many = np.diff(np.append(begin, len(doc)))
+        first, last = (by[np.repeat(least.reduceat(rank, begin), many)] for least in (np.minimum, np.maximum))
+        shared = (size >= j) & (doc[first] < doc[last])
+        keeper = np.where(shared, np.minimum(keeper, doc[first]), keeper)
+        for (has, words, there, at), mine, other in zip(best, (doc[first] < doc, doc[first] == doc), (first, last), strict=True):
+            hit = shared & mine
+            has[hit], words[hit], there[hit], at[hit] = True, j, doc[other][hit], start[other][hit]
+    for (has, words, there, at), kept in zip(best, (keeper, doc), strict=True):
+        yield order[has], words[has], kept[has], there[has], at[has]
+
+
+def _growing(size: int, reach: int):
+    """Places of seeds with the words beside them, sorted by ``key``, ``side`` and first word, to runs of words (doc_id, start, words, keeper, there, shift)."""
+
+    def grown(rows: pa.Table) -> pa.RecordBatch:
+        c = {n: rows.column(n).to_numpy() for n in rows.column_names if n != "near"}
+        lists = rows.column("near").combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        many = pc.list_value_length(lists).to_numpy()
+        near = np.full((len(many), reach), 2**40)  # no word's hash of 32 bits
+        near[np.arange(reach) < many[:, None]] = lists.flatten().to_numpy()
+        side, doc, start = c["side"].astype(bool), c["doc_id"], c["start"].astype(np.int64)
+        found = _grow(c["key"], side, near, many, doc, start, (c["low_doc"], c["low_start"]), (c["high_doc"], c["high_start"]))
+        at, words, keeper, there, other = (np.concatenate(x) for x in zip(*found, strict=True))
+        columns = [doc[at], np.where(side[at], start[at], start[at] - words), words + size, keeper, there, other - start[at]]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["doc_id", "start", "words", "keeper", "there", "shift"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            if n >= WORK // 4 and len(batch):  # up to where the next group begins
+                last, own = held[-1].slice(len(held[-1]) - 1), pa.Table.from_batches([batch])
+                same = np.ones(len(batch), bool)
+                for name in ("key", "side", "word"):
+                    same &= own.column(name).to_numpy() == last.column(name)[0].as_py()
+                if not same.all():
+                    cut = int(same.argmin())
+                    yield grown(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+                    held, n, batch = [], 0, batch.slice(cut)
+            if len(batch):
+                held.append(batch)
+                n += len(batch)
+        if held:
+            yield grown(pa.Table.from_batches(held))
+
+    return run
+
+
 def _shingled(words: int):
     """(text, places of paragraphs) to (key, set of shingle hashes)."""
 
@@ -210,64 +279,76 @@ def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.where(common >= threshold * (F.size("x") + F.size("y") - common)).drop("x", "y")
 
 
-def small_cells(members: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs of the cells with up to ``crowd`` paragraphs, and the (cell, key) of larger ones."""
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = settled(members.join(sizes.hint("shuffle_hash"), "cell"), "cells")
-    few = members.where(F.col("n") <= crowd).select("cell", "key")
-    pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b").select("a", "b").distinct()
-    return pairs, members.where(F.col("n") > crowd).select("cell", "key")
+def shared_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs, from cells of two paragraphs, and the (cell, key) of larger ones; cells with the same members count once."""
+    held = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b"), F.bit_xor(F.xxhash64("key")).alias("all")).where("n > 1")
+    held = settled(held, "cells")
+    larger = settled(held.where("n > 2").groupBy("n", "a", "b", "all").agg(F.min("cell").alias("cell")).select("cell"), "larger")
+    return held.where("n = 2").select("a", "b").distinct(), cells.join(larger, "cell")
 
 
-def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int, known: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) in large cells without all pairs, so that all that is connected inside a cell stays connected.
+def _connect(keys: np.ndarray, sizes: np.ndarray, flat: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Links between similar sets, enough to connect all that is connected: a forest, not all pairs.
 
-    The hub of a cell is the member whose shingles the most members hold: of a paragraph and its edited copies,
-    the paragraph. It meets all members. Let u be one that it is not similar to. Whatever is similar to u
-    then holds some of u's shingles that the hub lacks, unless it is much smaller than the hub: the shingles u
-    has in common with the hub are too few. So the first of the shingles that the hub lacks, as many as must
-    meet one of them, make smaller cells, which go the same way where they are large. The few u for which size
-    decides, as they are cut-down copies of the hub, make one more smaller cell with all that is small enough to be
-    similar to one of them; it is without the hub. A smaller cell whose members are already connected, by these links or
-    the ``known`` ones, needs no more work.
+    The set whose elements the most others hold meets all; whatever is not in the largest component then meets all as
+    well. Of two similar sets one is always outside it, so no link between components is missed.
     """
-    links = crowds.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    share = threshold / (1 + threshold)
-    while not crowds.isEmpty():
-        members = settled(crowds.join(sets, "key"), "members")
-        each = members.select("cell", "key", F.explode("s").alias("x"))
-        common = each.groupBy("cell", "x").agg(F.count("*").alias("n"))
-        centre = each.join(common, ["cell", "x"]).groupBy("cell", "key").agg(F.avg("n").alias("n"))
-        hubs = centre.groupBy("cell").agg(F.max_by("key", F.struct("n", -F.col("key"))).alias("key"))
-        hubs = settled(members.join(hubs, ["cell", "key"]).select("cell", F.col("key").alias("hub"), F.col("s").alias("hs")), "hubs")
-        least = members.groupBy("cell").agg(F.min(F.size("s")).alias("least"))
-        met = members.join(hubs, "cell").where("key <> hub").join(least, "cell")
-        met = met.withColumn("both", F.size(F.array_intersect("s", "hs"))).withColumn("linked", F.col("both") >= threshold * (F.size("s") + F.size("hs") - F.col("both")))
-        # what is similar to u has threshold times its size at least
-        met = met.withColumn("least", F.greatest("least", F.ceil(threshold * F.size("s") - 1e-6)))
-        met = settled(met.withColumn("open", ~F.col("linked") & (F.col("both") + 1e-6 >= share * (F.size("s") + F.col("least")))), "met")
-        links = links.unionByName(met.where("linked").select(F.col("hub").alias("a"), F.col("key").alias("b")))
-        limits = met.where("open").groupBy("cell").agg(F.max(F.col("both") / share - F.size("s")).alias("most"))
-        apart = met.join(limits, "cell").where(F.col("open") | (F.size("s") <= F.col("most") + 1e-6)).select(F.xxhash64("cell", F.lit("small")).alias("cell"), "key")
-        apart = apart.join(apart.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1"), "cell")
-        # u holds at least ``need`` of its extra shingles together with what is similar to it, so the first few in order meet one of them
-        need = F.greatest(F.ceil(share * (F.size("s") + F.col("least")) - 1e-6) - F.col("both"), F.lit(1))
-        extra = met.select("cell", "key", (~F.col("linked")).alias("out"), need.alias("need"), F.array_except("s", "hs").alias("e"))
-        cells = extra.select("cell", "key", "out", (F.size("e") - F.col("need")).alias("last"), F.posexplode("e").alias("i", "x"))
-        cells = cells.select("cell", "key", "x", (F.col("out") & (F.col("i") <= F.col("last"))).cast("int").alias("asks"))
-        # cells that hold the same members (the shingles of one edit) count once
-        sizes = cells.groupBy("cell", "x").agg(F.count("*").alias("n"), F.max("asks").alias("asks"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum")).where("n > 1 and asks = 1")
-        sizes = sizes.groupBy("cell", "n", "sum").agg(F.min("x").alias("x")).drop("sum")
-        cells = settled(cells.drop("asks").join(sizes, ["cell", "x"]).select(F.xxhash64("cell", "x").alias("cell"), "key", "n").unionByName(apart), "cells")
-        roots = components(links if known is None else links.unionByName(known)).withColumnRenamed("node", "key")
-        rooted = cells.join(roots, "key", "left").groupBy("cell").agg(F.min(F.coalesce("root", "key")).alias("least"), F.max(F.coalesce("root", "key")).alias("most"))
-        cells = settled(cells.join(rooted.where("least < most").select("cell"), "cell"), "cells")
-        few = cells.where(F.col("n") <= crowd)
-        pairs = few.select("cell", F.col("key").alias("a")).join(few.select("cell", F.col("key").alias("b")), "cell").where("a < b")
-        pairs = pairs.select("a", "b")
-        links = links.unionByName(settled(similar(pairs.distinct(), sets, threshold), "links"))
-        crowds = cells.where(F.col("n") > crowd).select("cell", "key")
-    return links
+    _, ids = np.unique(flat, return_inverse=True)
+    begin = np.append(0, np.cumsum(sizes))
+    central = np.add.reduceat(np.bincount(ids)[ids], begin[:-1]) / sizes
+    label, met, held = np.arange(len(keys)), np.zeros(len(keys), bool), np.zeros(len(flat), bool)
+    out: list[tuple[int, int]] = []
+    while True:
+        open_ = ~met & (label != np.bincount(label).argmax()) if met.any() else ~met
+        if not open_.any():
+            return out
+        u = int(np.where(open_, central, -1).argmax())
+        met[u] = True
+        own = ids[begin[u] : begin[u + 1]]
+        held[own] = True
+        both = np.add.reduceat(held[ids], begin[:-1], dtype=np.int64)
+        held[own] = False
+        near = np.flatnonzero((both >= threshold * (sizes + sizes[u] - both)) & (label != label[u]))
+        names, first = np.unique(label[near], return_index=True)
+        out += [(int(keys[u]), int(keys[i])) for i in near[first]]
+        label[np.isin(label, names)] = label[u]
+
+
+def _linked(threshold: float):
+    """(cell, key, set), sorted by cell, to links (a, b); a cell may pass over the ends of batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def slices() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                cell = batch.column("cell").to_numpy()
+                for lo, hi in pairwise([0, *(np.flatnonzero(np.diff(cell)) + 1), len(cell)] if len(cell) else []):
+                    yield int(cell[lo]), batch.slice(lo, hi - lo)
+
+        for _, parts in groupby(slices(), lambda x: x[0]):
+            own = [part for _, part in parts]
+            sets = pa.concat_arrays([part.column("s") for part in own])
+            keys = np.concatenate([part.column("key").to_numpy() for part in own])
+            links = _connect(keys, pc.list_value_length(sets).to_numpy(), sets.flatten().to_numpy(), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int) -> DataFrame:
+    """Links (a, b) in cells of any size, so that all that is connected inside a cell stays connected.
+
+    A cell's members meet in one task (``_connect``). A cell with more than ``crowd`` of them, a long one counting
+    as several, is cut into blocks of that size by hash, and each two of its blocks meet, so no task holds more than two.
+    """
+    sets = sets.where(F.size("s") > 0)
+    weight = sets.select("key", F.ceil(F.size("s") / F.lit(100.0)).alias("weight"))
+    blocks = crowds.join(weight, "key").groupBy("cell").agg(F.ceil(F.sum("weight") / F.lit(float(crowd))).cast("int").alias("blocks"))
+    placed = crowds.join(settled(blocks.where("blocks > 1"), "blocks"), "cell", "left").withColumn("own", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
+    others = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    met = placed.withColumn("other", F.explode(others))
+    both = F.when(F.col("blocks").isNull(), F.col("cell")).otherwise(F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+    dealt = met.select(both.alias("cell"), "key").join(sets, "key").select("cell", "key", "s")
+    return settled(dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_linked(threshold), "a long, b long"), "links")
 
 
 def _shared(seeds: DataFrame) -> DataFrame:
@@ -298,43 +379,32 @@ def exact_runs(rows: DataFrame, shared: DataFrame, size: int, wide: int) -> Data
     spans = settled(whole.select("doc_id", "start", "words", keeper.alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift")), "spans")
     forget(shared)
     beside = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
-    beside = settled(beside.withColumn("class", F.xxhash64("key", "side", "near")), "beside")
+    beside = settled(beside, "beside")
     forget(classes)
-    grown, begun = _grown(beside, size)
+    begun = settled(_grown(beside, size, wide - 1), "begun")
+    forget(beside)
     way = F.struct("there", "shift")
     ends = F.col("start") + F.col("words")
-    found = spans.unionByName(grown).withColumn("removed", F.col("doc_id") > F.col("keeper"))
+    found = spans.unionByName(begun).withColumn("removed", F.col("doc_id") > F.col("keeper"))
     runs = _islands(found, F.min_by(way, F.struct("start", -ends, way)).alias("head"), F.max_by(way, F.struct(ends, -F.col("start"), way)).alias("tail"))
     out = settled(runs, "exact")
-    forget(spans, beside, begun)
+    forget(spans, begun)
     return out
 
 
-def _grown(beside: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """Seeds with as many words beside them as another document shares, and the table to forget once they are written.
-
-    Places with the same words beside the seed are one class. The classes' beginnings of 0, 1, 2, ... words are
-    counted, not the places', so copies cost one row each; a place then takes the longest beginning that a smaller
+def _grown(beside: DataFrame, size: int, reach: int) -> DataFrame:
+    """Seeds with as many words beside them as another document shares: a place takes the longest beginning that a smaller
     doc_id holds, and the longest that it is the smallest to hold.
+
+    Places whose seed has the same first word beside it meet in one task, where their beginnings of 1, 2, ... words are
+    groups of sorted rows; the seed itself, which all its places share, is summed up before.
     """
     place = F.struct("doc_id", "start")
-    classes = beside.groupBy("class", "key", "side", "near").agg(F.min(place).alias("low"), F.max(place).alias("high"))
-    begun = classes.select("class", "low", "high", F.explode(F.sequence(F.lit(0), F.size("near"))).alias("j"), "key", "side", "near")
-    begun = settled(begun.select("class", "low", "high", "j", F.xxhash64("key", "side", F.slice("near", 1, F.col("j"))).alias("head")), "begun")
-    heads = begun.groupBy("head").agg(F.min("low").alias("first"), F.max("high").alias("last")).where("first.doc_id < last.doc_id")
-    levels = begun.join(heads.hint("shuffle_hash"), "head").groupBy("class").agg(F.collect_list(F.struct("j", "first", "last")).alias("levels"))
-    doc = F.col("doc_id")
-    later = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] < doc))
-    first = F.array_max(F.filter("levels", lambda x: x["first"]["doc_id"] == doc))
-    one = F.explode(F.filter(F.array(later.alias("a"), first.alias("a")), lambda x: x.isNotNull()))
-    keeper = F.array_min(F.transform("levels", lambda x: x["first"]["doc_id"]))
-    each = beside.join(levels, "class").select("doc_id", "start", "side", keeper.alias("keeper"), one.alias("best"))
-    j = F.col("best.j")
-    own = F.col("best.first.doc_id") == doc
-    other = F.when(own, F.col("best.last")).otherwise(F.col("best.first"))
-    begin = F.when(F.col("side"), F.col("start")).otherwise(F.col("start") - j)
-    out = each.select("doc_id", begin.alias("start"), (j + size).alias("words"), F.when(own, doc).otherwise(F.col("keeper")).alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift"))
-    return out, begun
+    seeds = beside.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    seeds = seeds.select("key", *[F.col(f"{x}.{of}").cast("long").alias(f"{x}_{name}") for x in ("low", "high") for of, name in (("doc_id", "doc"), ("start", "start"))])
+    met = beside.join(seeds, "key").withColumn("word", F.coalesce(F.get("near", F.lit(0)), F.lit(0)))
+    met = met.repartition("key", "side", "word").sortWithinPartitions("key", "side", "word")
+    return met.mapInArrow(_growing(size, reach), "doc_id long, start int, words int, keeper long, there long, shift int")
 
 
 def bridges(runs: DataFrame, words: int, threshold: float) -> DataFrame:
@@ -360,7 +430,7 @@ def _over_short_lines(found: DataFrame) -> DataFrame:
     return gaps.join(same, ["cluster", "gap_key"], "left_semi").select("doc_id", "start", (F.col("words") + F.col("gap")).alias("words"), "keeper", "removed")
 
 
-def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 32, band: int = 4) -> DataFrame:
+def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 4096, band: int = 4) -> DataFrame:
     """(doc_id, start, words, keeper, removed): the runs of words that other documents hold as well.
 
     Paragraphs of ``least`` words or more are linked if the Jaccard similarity of their sets of ``words``-word
@@ -377,8 +447,9 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     What lies inside a removed run is not returned as kept too. A kept run may lack words that smaller documents hold
     in part on either side of a seed; removed runs lack none.
 
-    Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. Cells with more than
-    ``crowd`` paragraphs are linked by hubs, which lose no connection inside the cell.
+    Words are ASCII-lower-cased runs without ASCII white space. Equal paragraphs meet once. A cell's
+    paragraphs are linked by those that the most others resemble, which loses no connection inside the cell; cells of
+    more than ``crowd`` are cut into blocks that meet two at a time.
 
     Edge cases: null or empty texts, and rows without doc_id, take no part; rows that repeat a doc_id are one
     document; very long texts and lines are read whole; an empty table gives no rows; other columns are not read.
@@ -398,16 +469,14 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     place = F.struct("doc_id", "start", "words")
     paragraphs = settled(whole.groupBy("key").agg(F.min(place).alias("at"), F.first("marks").alias("marks")), "paragraphs")
     cells = paragraphs.select("key", F.posexplode("marks").alias("band", "mark")).select(F.xxhash64("band", "mark").alias("cell"), "key")
-    pairs, crowds = small_cells(cells, crowd)
+    pairs, crowds = shared_cells(cells)
     pairs, crowds = settled(pairs, "pairs"), settled(crowds, "crowds")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select("key")).distinct()
     places = paragraphs.join(wanted, "key", "left_semi").select(F.col("at.doc_id").alias("_doc"), F.struct("key", "at.start", "at.words").alias("p"))
     places = places.groupBy("_doc").agg(F.collect_list("p").alias("places"))
     sets = rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_shingled(words), "key long, s array<long>")
     sets = settled(sets.dropDuplicates(["key"]), "shingles")
-    links = settled(similar(pairs, sets, threshold), "links")
-    if not crowds.isEmpty():
-        links = links.unionByName(hub_links(crowds, sets, threshold, crowd, links))
+    links = settled(similar(pairs, sets, threshold), "links").unionByName(hub_links(crowds, sets, threshold, crowd))
     roots = components(links.distinct()).withColumnRenamed("node", "key")
     # paragraphs by cluster; first and last document tell whether there are several
     kept = settled(whole.drop("marks").join(roots, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key"), "members")

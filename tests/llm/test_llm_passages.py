@@ -203,3 +203,33 @@ def test_runs_of_twenty_words_are_all_found_and_written_as_runs(spark, monkeypat
     assert kept["rows"] < 12 * len(docs)
     for r in got:  # what is kept does not lie inside what is removed
         assert r.removed or not {(r.doc_id, x) for x in range(r.start, r.start + r.words)} <= removed
+
+
+def test_a_crowd_of_cut_and_edited_copies_is_written_as_a_few_rows_a_member(spark, monkeypatch):
+    """Copies of different sizes with edits: what is written grows with the members, and what is connected stays so."""
+    rng = random.Random(6)
+    base, sets = list(range(100)), {}
+    for k in range(120):
+        own = base[: rng.choice([100, 95, 80, 70])]
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(own) - 5)
+            own[at : at + 5] = [rng.randrange(10**9) + 1000 for _ in range(5)]
+        sets[k] = sorted({*own})
+    keep, wrote = passages.settled, []
+
+    def settled(df, name):
+        out = keep(df, name)
+        wrote.append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "settled", settled)
+    table = spark.createDataFrame(list(sets.items()), "key long, s array<long>")
+    crowds = spark.createDataFrame([(1, k) for k in sets], "cell long, key long")
+    got = components(hub_links(crowds, table, 0.8, 32)).where("root = 1").count()
+    alike = lambda a, b: len({*a} & {*b}) >= 0.8 * len({*a} | {*b})
+    reached = todo = {1}
+    while todo:
+        todo = {k for k in sets if k not in reached and any(alike(sets[k], sets[j]) for j in todo)}
+        reached = reached | todo
+    assert got == len(reached) > 60
+    assert sum(wrote) < 20 * len(sets)
