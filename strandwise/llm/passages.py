@@ -273,6 +273,7 @@ def _shingled(words: int):
 
 def similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have a Jaccard similarity of ``threshold`` or more, exactly."""
+    sets = sets.hint("merge")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("s").alias("y")), "b")
     both = both.where(F.least(F.size("x"), F.size("y")) >= threshold * F.greatest(F.size("x"), F.size("y")))
     common = F.size(F.array_intersect("x", "y"))
@@ -340,7 +341,7 @@ def hub_links(crowds: DataFrame, sets: DataFrame, threshold: float, crowd: int)
     A cell's members meet in one task (``_connect``). A cell with more than ``crowd`` of them, a long one counting
     as several, is cut into blocks of that size by hash, and each two of its blocks meet, so no task holds more than two.
     """
-    sets = sets.where(F.size("s") > 0)
+    sets = sets.where(F.size("s") > 0).hint("merge")
     weight = sets.select("key", F.ceil(F.size("s") / F.lit(100.0)).alias("weight"))
     blocks = crowds.join(weight, "key").groupBy("cell").agg(F.ceil(F.sum("weight") / F.lit(float(crowd))).cast("int").alias("blocks"))
     placed = crowds.join(settled(blocks.where("blocks > 1"), "blocks"), "cell", "left").withColumn("own", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))))
@@ -371,14 +372,14 @@ def exact_runs(rows: DataFrame, shared: DataFrame, size: int, wide: int) -> Data
     place = F.struct("doc_id", "start")
     classes = settled(shared.groupBy("key", "class").agg(F.min(place).alias("low"), F.max(place).alias("high")), "classes")
     several = classes.groupBy("key").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a < b").select("key")
-    places = classes.join(several, "key", "left_semi").groupBy(F.col("low.doc_id").alias("_doc")).agg(F.collect_list("class").alias("places"))
+    places = classes.join(several.hint("merge"), "key", "left_semi").groupBy(F.col("low.doc_id").alias("_doc")).agg(F.collect_list("class").alias("places"))
     whole = shared.join(classes.where("low.doc_id < high.doc_id").hint("shuffle_hash"), ["key", "class"])
     later = F.col("doc_id") > F.col("low.doc_id")
     other = F.when(later, F.col("low")).otherwise(F.col("high"))
     keeper = F.when(later, F.col("keeper")).otherwise(F.col("doc_id"))
     spans = settled(whole.select("doc_id", "start", "words", keeper.alias("keeper"), other["doc_id"].alias("there"), (other["start"] - F.col("start")).alias("shift")), "spans")
     forget(shared)
-    beside = rows.join(places, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
+    beside = rows.join(places.hint("merge"), F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "places").mapInArrow(_beside(size, wide - 1), "key long, doc_id long, start int, side boolean, near array<int>")
     beside = settled(beside, "beside")
     forget(classes)
     begun = settled(_grown(beside, size, wide - 1), "begun")
@@ -402,7 +403,7 @@ def _grown(beside: DataFrame, size: int, reach: int) -> DataFrame:
     place = F.struct("doc_id", "start")
     seeds = beside.groupBy("key").agg(F.min(place).alias("low"), F.max(place).alias("high"))
     seeds = seeds.select("key", *[F.col(f"{x}.{of}").cast("long").alias(f"{x}_{name}") for x in ("low", "high") for of, name in (("doc_id", "doc"), ("start", "start"))])
-    met = beside.join(seeds, "key").withColumn("word", F.coalesce(F.get("near", F.lit(0)), F.lit(0)))
+    met = beside.join(seeds.hint("merge"), "key").withColumn("word", F.coalesce(F.get("near", F.lit(0)), F.lit(0)))
     met = met.repartition("key", "side", "word").sortWithinPartitions("key", "side", "word")
     return met.mapInArrow(_growing(size, reach), "doc_id long, start int, words int, keeper long, there long, shift int")
 
@@ -427,7 +428,7 @@ def _over_short_lines(found: DataFrame) -> DataFrame:
     by = Window.partitionBy("doc_id", "removed").orderBy("start")
     gaps = found.withColumn("next", F.lead("start").over(by)).where((F.col("gap") > 0) & (F.col("next") == F.col("start") + F.col("words") + F.col("gap")))
     same = found.where("gap > 0").groupBy("cluster", "gap_key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    return gaps.join(same, ["cluster", "gap_key"], "left_semi").select("doc_id", "start", (F.col("words") + F.col("gap")).alias("words"), "keeper", "removed")
+    return gaps.join(same.hint("merge"), ["cluster", "gap_key"], "left_semi").select("doc_id", "start", (F.col("words") + F.col("gap")).alias("words"), "keeper", "removed")
 
 
 def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, least: int = 8, run: int = 20, recall: float = 0.99, crowd: int = 4096, band: int = 4) -> DataFrame:
@@ -451,6 +452,9 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     paragraphs are linked by those that the most others resemble, which loses no connection inside the cell; cells of
     more than ``crowd`` are cut into blocks that meet two at a time.
 
+    Joins with what grows with the texts are hinted as merges: Spark sizes tables after an explode or a list too low,
+    and would send them through the driver.
+
     Edge cases: null or empty texts, and rows without doc_id, take no part; rows that repeat a doc_id are one
     document; very long texts and lines are read whole; an empty table gives no rows; other columns are not read.
     """
@@ -472,9 +476,9 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     pairs, crowds = shared_cells(cells)
     pairs, crowds = settled(pairs, "pairs"), settled(crowds, "crowds")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).unionByName(crowds.select("key")).distinct()
-    places = paragraphs.join(wanted, "key", "left_semi").select(F.col("at.doc_id").alias("_doc"), F.struct("key", "at.start", "at.words").alias("p"))
+    places = paragraphs.join(wanted.hint("merge"), "key", "left_semi").select(F.col("at.doc_id").alias("_doc"), F.struct("key", "at.start", "at.words").alias("p"))
     places = places.groupBy("_doc").agg(F.collect_list("p").alias("places"))
-    sets = rows.join(places, F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_shingled(words), "key long, s array<long>")
+    sets = rows.join(places.hint("merge"), F.col("doc_id") == F.col("_doc")).select("text", "places").mapInArrow(_shingled(words), "key long, s array<long>")
     sets = settled(sets.dropDuplicates(["key"]), "shingles")
     links = settled(similar(pairs, sets, threshold), "links").unionByName(hub_links(crowds, sets, threshold, crowd))
     roots = components(links.distinct()).withColumnRenamed("node", "key")
@@ -482,7 +486,7 @@ def repeated_passages(docs: DataFrame, words: int = 5, threshold: float = 0.8, l
     kept = settled(whole.drop("marks").join(roots, "key", "left").withColumn("cluster", F.coalesce("root", "key")).drop("root", "key"), "members")
     forget(whole, paragraphs, pairs, crowds, sets)
     held = kept.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper < last").drop("last")
-    lines = kept.join(held, "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
+    lines = kept.join(held.hint("merge"), "cluster").withColumn("removed", F.col("doc_id") > F.col("keeper"))
     unit = ["doc_id", "start", "words", "keeper", "removed"]
     runs = exact.withColumn("words", F.col("end") - F.col("start")).select(unit)
     found = lines.select(unit).unionByName(_over_short_lines(lines)).unionByName(runs).unionByName(bridges(exact, words, threshold))

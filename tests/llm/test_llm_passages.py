@@ -233,3 +233,22 @@ def test_a_crowd_of_cut_and_edited_copies_is_written_as_a_few_rows_a_member(spar
         reached = reached | todo
     assert got == len(reached) > 60
     assert sum(wrote) < 20 * len(sets)
+
+
+def test_nothing_that_grows_with_the_texts_is_broadcast(spark, monkeypatch):
+    keep, plans = passages.settled, {}
+
+    def settled(df, name):
+        plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(passages, "settled", settled)
+    rng = random.Random(15)
+    line = words(rng, 40)
+    docs = [(i, "\n".join(" ".join(x) for x in ([*line[:i], "edit", *line[i + 1 :]], line, words(rng, 30)))) for i in range(6)]
+    got = repeated_passages(spark.createDataFrame(docs, "doc_id long, text string"))
+    plans["result"] = got._jdf.queryExecution().executedPlan().toString()
+    assert got.count() > 0
+    for name in ("beside", "begun", "shingles", "links"):
+        assert "Join" in plans[name] and "Broadcast" not in plans[name], name
+    assert "BroadcastHashJoin" not in plans["result"]
