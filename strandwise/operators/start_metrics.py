@@ -12,6 +12,7 @@ from strandwise.functions.coords import IN_CDS, START_KEY
 from strandwise.functions.numeric import count_if, safe_ratio
 
 ALL = "all"
+COUNTS = ("n_calls", "n_tp", "n_truth", "n_recalled", "n_truth_unscored")
 STRATA = (ALL, *[f"codon_class:{c}" for c in CODON_CLASSES], "cds:in", "cds:out")
 
 
@@ -91,29 +92,38 @@ def start_metrics(candidates: DataFrame, truth: DataFrame, ks: Sequence[int] = (
     """Precision and recall of the top ``k`` calls by condition and stratum.
 
     Precision strata use the call's tags and recall strata the truth's. Recall counts truth that
-    is among the candidates; the rest is ``n_truth_unscored``.
+    is among the candidates; the rest is ``n_truth_unscored``. Candidates are ranked once: a called
+    site is one row with its best call at each ``k``, and meets the truth of the site once.
     """
     ks = sorted(set(ks))
-    ranked = ranked_candidates(candidates, max(ks))
-    at_k = ranked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rank <= k")
-    calls = start_hits(best_per_site(at_k, ("k", *START_KEY)), truth)
-    precision = (
-        _by_stratum(calls.select("k", "condition", "codon_class", "region", "hit"))
-        .groupBy("k", "condition", "stratum")
-        .agg(F.count(F.lit(1)).alias("n_calls"), count_if(F.col("hit")).alias("n_tp"))
-    )
-    known = truth_coverage(candidates, truth, max(ks)).withColumn(
-        "k", F.explode(F.array(*[F.lit(k) for k in ks]))
-    )
-    recall = (
-        _by_stratum(known)
-        .groupBy("k", "condition", "stratum")
-        .agg(
-            count_if(F.col("covered")).alias("n_truth"),
-            count_if(F.col("covered") & (F.col("called_rank") <= F.col("k"))).alias("n_recalled"),
-            count_if(~F.col("covered")).alias("n_truth_unscored"),
-        )
+    used = candidates.select("transcript_id", *START_KEY, "codon_class", "region", "score")
+    order = F.struct(-F.col("score"), "transcript_id", "rank", "codon_class", "region")
+    called = ranked_candidates(used, max(ks)).groupBy(*START_KEY).agg(
+        F.min("rank").alias("called_rank"),
+        *[F.min(F.when(F.col("rank") <= k, order)).alias(f"_best{k}") for k in ks],
     )
+    names = candidates.select("condition").distinct()
+    known = truth.where("reproducible").join(names, "condition", "left_semi").groupBy(*START_KEY)
+    known = known.agg(F.collect_list(F.struct("codon_class", "region")).alias("_known"))
+    sites = used.select(*START_KEY).distinct().withColumn("_covered", F.lit(True))
+    met = known.join(sites, list(START_KEY), "left").join(called, list(START_KEY), "full")
+    covered = F.coalesce("_covered", F.lit(False))
+    hit = F.col("_known").isNotNull()
+
+    def entry(k: int, of: Column, *flags: Column) -> Column:
+        tags = [of["codon_class"].alias("codon_class"), of["region"].alias("region")]
+        named = [f.cast("int").alias(c) for c, f in zip(COUNTS, flags, strict=True)]
+        return F.struct(F.lit(k).alias("k"), *tags, *named)
+
+    no, yes = F.lit(False), F.lit(True)
+    each = []
+    for k in ks:
+        best = F.col(f"_best{k}")
+        each.append(F.when(best.isNotNull(), F.array(entry(k, best, yes, hit, no, no, no))))
+        recalled = covered & F.coalesce(F.col("called_rank") <= k, no)
+        each.append(F.transform("_known", lambda t: entry(k, t, no, no, covered, recalled, ~covered)))  # noqa: B023
+    rows = met.select("condition", F.inline(F.flatten(F.array_compact(F.array(*each)))))
+    sums = _by_stratum(rows).groupBy("k", "condition", "stratum").agg(*[F.sum(c).alias(c) for c in COUNTS])
     conditions = (
         candidates.select("condition")
         .distinct()
@@ -124,9 +134,8 @@ def start_metrics(candidates: DataFrame, truth: DataFrame, ks: Sequence[int] = (
         "k", F.explode(F.array(*[F.lit(k) for k in ks]))
     ).withColumn("stratum", F.explode(F.array(*[F.lit(s) for s in STRATA])))
     keys = ["k", "condition", "stratum"]
-    counts = ("n_calls", "n_tp", "n_truth", "n_recalled", "n_truth_unscored")
-    joined = scaffold.join(precision, keys, "left").join(recall, keys, "left")
-    filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts})
+    joined = scaffold.join(sums, keys, "left")
+    filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in COUNTS})
     return filled.select(
         *keys,
         "n_calls",

@@ -83,3 +83,21 @@ def test_candidate_violations(candidates):
     assert {r["violations"] for r in quality.candidate_violations(candidates).collect()} == {0}
     odd = candidates.withColumn("region", candidates.strand)
     assert quality.candidate_violations(odd).where("rule = 'unknown_region'").first()["violations"] == 10
+
+
+def test_candidates_are_ranked_once_for_all_k(spark):
+    c = spark.createDataFrame(
+        [("a", i // 4, "chr1", "+", i % 9, "AUG", "utr5", float(i % 7)) for i in range(40)],
+        "condition string, transcript_id long, chrom string, strand string, gpos long, codon_class string, region string, score double",
+    )
+    t = c.select("condition", "chrom", "strand", "gpos", "codon_class", "region").distinct().selectExpr("*", "true AS reproducible")
+    out = start_metrics.start_metrics(c, t, (1, 2, 3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [row_number") == 1
+    got = {r.k: (r.n_calls, r.n_tp, r.n_truth, r.n_recalled) for r in out.where("condition = 'a' AND stratum = 'all'").collect()}
+    for k in (1, 2, 3):
+        best = {}
+        for i in range(40):
+            best.setdefault(i // 4, []).append((-float(i % 7), i % 9))
+        called = {p for own in best.values() for _, p in sorted(own)[:k]}
+        assert got[k] == (len(called), len(called), 9, len(called))
