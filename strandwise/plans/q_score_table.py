@@ -18,11 +18,14 @@ DRAWN = ("top1_resampled", "chx_pause_pred", "chx_pause_ratio")
 STOPS = "(tx * 7 + {p}) % 19 = 0"
 
 
-def spliced(spark, sf):
-    rows = scored_rows(spark, sf)
+def with_pred(rows):
     return rows.withColumn("pred", F.col("rep1") + (F.col("tx_pos") % 5) / 8.0)
 
 
+def spliced(spark, sf):
+    return with_pred(scored_rows(spark, sf))
+
+
 def sites_with_stops(rows, u):
     """Sites with the end of the frame they open; stops come from each transcript's codons."""
     s = sites((rows, u)).select("site_id", "condition", "tx", "tx_pos", "codon", "utr5")
@@ -182,8 +185,8 @@ def _(spark, sf):
     "txtrack tx expression",
 )
 def _(spark, sf):
-    rows, u = durable(spliced(spark, sf), "spliced"), durable(units(spark, sf), "units")
-    draws = score_table.transcript_draws(concordance.spliced_fact(rows, u), SOURCES, min_reads=5.0, pause_reads=1.0, pause_height=3.0)
+    # rows of units stay where their transcript's exons are, so neither rows nor units are written
+    draws = score_table.transcript_draws(with_pred(unit_rows(spark, sf)), SOURCES, min_reads=5.0, pause_reads=1.0, pause_height=3.0)
     # a share of the top places is at least that of one read, and at most all
     fits = (F.col("top1_resampled") * F.col("reads") >= 1 - 1e-9) & (F.col("top1_resampled") <= 1) & (F.col("drawn") == F.col("reads"))
     kept = draws.where("source <> 'real' AND drawn IS NOT NULL")
