@@ -83,11 +83,11 @@ def _sides(width: int, reverse: bool) -> tuple[tuple[int, int], tuple[int, int]]
 
 
 def one_sided_features(
-    dense: DataFrame, keys: Sequence[str], pos: str, value: str, *, reverse: bool = False
+    dense: DataFrame, keys: Sequence[str], pos: str, value: str, *, reverse: bool = False, in_place: bool = False
 ) -> DataFrame:
     """Downstream minus upstream contrasts and the distance since the last coverage rise.
 
-    ``reverse`` reads the key from its high end (minus strand).
+    ``reverse`` reads the key from its high end (minus strand). ``in_place``: see ``previous_marked``.
     """
     widths = sorted({*ONE_SIDED_WIDTHS, RISE_WIDTH})
     spec = {}
@@ -95,7 +95,7 @@ def one_sided_features(
         down, up = _sides(w, reverse)
         spec[f"_d{w}"] = (value, *down)
         spec[f"_u{w}"] = (value, *up)
-    rolled = rolling_sums(dense, keys, pos, spec, first=0)
+    rolled = rolling_sums(dense, keys, pos, spec, first=0, in_place=in_place)
     contrast = {
         f"contrast{w}": F.log1p(F.col(f"_d{w}") / float(w)) - F.log1p(F.col(f"_u{w}") / float(w))
         for w in widths
@@ -103,7 +103,7 @@ def one_sided_features(
     rows = rolled.withColumns(contrast).drop(*spec)
     ordered = rows.withColumn("_p", -F.col(pos) if reverse else F.col(pos))
     marked = previous_marked(
-        ordered, keys, "_p", F.col(f"contrast{RISE_WIDTH}") > RISE_THRESHOLD, "_last"
+        ordered, keys, "_p", F.col(f"contrast{RISE_WIDTH}") > RISE_THRESHOLD, "_last", in_place=in_place
     )
     gap = F.coalesce(F.col("_p") - F.col("_last"), F.lit(DISTANCE_CAP))
     return marked.withColumn(

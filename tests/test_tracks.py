@@ -195,3 +195,14 @@ def test_box_and_heights(frame):
             assert high[i].height_v == pytest.approx(x[i] / (pad[270 + i : 331 + i].mean()))
     with pytest.raises(ValueError, match="odd"):
         features.centred(4)
+
+
+def test_one_sided_features_in_place_move_nothing(frame):
+    """Keys that are dealt already: the same features as by blocks, without a further exchange."""
+    x = np.random.default_rng(4).poisson(0.4, 5000)
+    held = dense_frame(frame, x).repartition(4, "k")
+    by_blocks = features.one_sided_features(held, ["k"], "pos", "v")
+    out = features.one_sided_features(held, ["k"], "pos", "v", in_place=True)
+    assert out.columns == by_blocks.columns and out.exceptAll(by_blocks).count() == 0 == by_blocks.exceptAll(out).count()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Sort ") == 1
