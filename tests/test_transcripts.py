@@ -210,3 +210,23 @@ def test_windows_in_overlapping_chunks(frame):
     many = transcripts.fetch_windows(transcripts.chunk_sequence(s, ["k"], size=8), req, "k", ["id"], size=8)
     assert rows_of(one, "id", "seq") == rows_of(many, "id", "seq")
     assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_window_requests_move_as_runs(frame):
+    """Requests that follow each other in a chunk are one row where they are joined; nulls and repeats stay as they are."""
+    s = frame("k long, seq string", (1, "ACGTTGCAAC" * 30), (2, "ACGT"))
+    asked = [(None if i == 5 else i, f"t{i % 3}" if i != 7 else None, i / 2, k, i, i + 5, "+-"[i % 2]) for k, n in ((1, 290), (2, 4), (3, 2)) for i in range(-2, n)]
+    req = frame("id long, name string, x double, k long, start long, end long, strand string", *asked)
+    got = transcripts.fetch_windows(transcripts.chunk_sequence(s, ["k"], size=50, overlap=6), req, "k", ["id", "name", "x"], size=50, overlap=6)
+    text = {1: "ACGTTGCAAC" * 30, 2: "ACGT", 3: ""}
+    flip = str.maketrans("ACGTN", "TGCAN")
+
+    def cut(k, a, b, strand):
+        own = "".join(text[k][p] if 0 <= p < len(text[k]) else "N" for p in range(a, b))
+        return own if strand == "+" else own.translate(flip)[::-1]
+
+    want = [(*r, cut(*r[3:])) for r in asked]
+    key = lambda r: tuple(map(repr, r))
+    assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    runs, _ = transcripts._in_runs(req.withColumn("_c", F.floor(F.greatest(F.col("start"), F.lit(0)) / 50)), ["k", "_c"])
+    assert runs.count() < 40 < len(asked)
